@@ -48,3 +48,31 @@ def pct_text(x, decimals: int = 2) -> Column:
 def thousands_text(x) -> Column:
     """Integer with blank thousands separators, ``f'{v:,}'.replace(',', ' ')`` (C20)."""
     return F.replace(F.format_number(_c(x).cast("long"), 0), F.lit(","), F.lit(" "))
+
+
+def _int_div(a: Column, b: Column) -> Column:
+    """Exact floor division of non-negative long ``a`` by positive long ``b``."""
+    return F.round((a - F.pmod(a, b)) / b).cast("long")
+
+
+def round_ratio(num, den, digits: int) -> Column:
+    """``ROUND(num / den, digits)`` for integer-valued ``num``/``den`` with exact half-away-from-
+    zero rounding (decimal semantics, no binary floating-point tie errors); NULL when den = 0.
+
+    Used for every rounded share or mean so that results are identical on any engine.
+    """
+    n, d = _c(num).cast("long"), _c(den).cast("long")
+    scale = 10 ** digits
+    q = _int_div(2 * F.abs(n) * scale + d, 2 * d)
+    signed = F.when(n < 0, -q).otherwise(q)
+    return F.when(d != 0, signed.cast("double") / scale)
+
+
+def avg_round(x, digits: int, scale: int = 0) -> Column:
+    """Aggregate: ``ROUND(AVG(x), digits)`` with exact decimal semantics.
+
+    ``scale`` is the number of decimals ``x`` carries (0 for integers / 0-1 flags, 2 for money),
+    so ``x * 10**scale`` is an exact integer.
+    """
+    units = F.round(_c(x) * (10 ** scale)).cast("long")
+    return round_ratio(F.sum(units), F.count(_c(x)) * (10 ** scale), digits)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from retainr.plans import cohorts
+from retainr.plans import cohorts, kpis
 
 Tables = dict[str, DataFrame]
 
@@ -23,4 +23,12 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "repeat_rate_30d_by_month_calendar":
         lambda t: cohorts.repeat_rate_30d_by_month_calendar(t["fact_orders"]),
     "repeat_rate_30d_summary": lambda t: cohorts.repeat_rate_30d_summary(t["fact_orders"]),
+    # 2.11 KPIs
+    "daily_kpis": lambda t: kpis.daily_kpis(t["fact_app_sessions"], t["fact_orders"]),
+    "wau_mau_stickiness": lambda t: kpis.wau_mau_stickiness(t["fact_app_sessions"]),
+    "repeat_rate_by_channel": lambda t: kpis.repeat_rate_by_channel(t["dim_users"], t["fact_orders"]),
+    "city_profit_sla": lambda t: kpis.city_profit_sla(t["dim_users"], t["fact_orders"]),
+    "revenue_at_risk": lambda t: kpis.revenue_at_risk(t["fact_orders"]),
+    "eda_overview": lambda t: kpis.eda_overview(t["dim_users"], t["fact_orders"], t["fact_app_sessions"]),
+    "daily_orders_gmv": lambda t: kpis.daily_orders_gmv(t["fact_orders"]),
 }
