@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from retainr.plans import cohorts, kpis
+from retainr.plans import cohorts, experiments, kpis, rfm
 
 Tables = dict[str, DataFrame]
 
@@ -23,6 +23,18 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "repeat_rate_30d_by_month_calendar":
         lambda t: cohorts.repeat_rate_30d_by_month_calendar(t["fact_orders"]),
     "repeat_rate_30d_summary": lambda t: cohorts.repeat_rate_30d_summary(t["fact_orders"]),
+    # 2.11 RFM
+    "rfm_user_ltv": lambda t: rfm.rfm_user_ltv(t["fact_orders"]),
+    "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(t["fact_orders"]),
+    "rfm_segments_calendar": lambda t: rfm.rfm_segments_calendar(t["fact_orders"]),
+    "rfm_segments_calendar_summary": lambda t: rfm.rfm_segments_calendar_summary(t["fact_orders"]),
+    # 2.11 experiments
+    "ab_sample_ratio": lambda t: experiments.ab_sample_ratio(t["fact_ab_test_assignments"]),
+    "ab_conversion_7d":
+        lambda t: experiments.ab_conversion_7d(t["fact_ab_test_assignments"], t["fact_orders"]),
+    "ab_ztest": lambda t: experiments.ab_ztest(t["fact_ab_test_assignments"], t["fact_orders"]),
+    "ab_business_impact":
+        lambda t: experiments.ab_business_impact(t["fact_ab_test_assignments"], t["fact_orders"]),
     # 2.11 KPIs
     "daily_kpis": lambda t: kpis.daily_kpis(t["fact_app_sessions"], t["fact_orders"]),
     "wau_mau_stickiness": lambda t: kpis.wau_mau_stickiness(t["fact_app_sessions"]),
