@@ -10,10 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from retainr.plans import cohorts, experiments, kpis, rfm
+from retainr.plans import cohorts, experiments, features, kpis, rfm
 
 Tables = dict[str, DataFrame]
 
+def _user_features(t: Tables) -> DataFrame:
+    return features.user_features(t["dim_users"], t["fact_orders"], t["fact_app_sessions"],
+                                  t["fact_ab_test_assignments"])
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # 2.11 cohorts
     "cohort_retention_daily": lambda t: cohorts.cohort_retention_daily(t["fact_orders"]),
@@ -23,6 +28,12 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "repeat_rate_30d_by_month_calendar":
         lambda t: cohorts.repeat_rate_30d_by_month_calendar(t["fact_orders"]),
     "repeat_rate_30d_summary": lambda t: cohorts.repeat_rate_30d_summary(t["fact_orders"]),
+    # 2.12 features
+    "order_features": lambda t: features.order_features(t["fact_orders"]),
+    "session_features": lambda t: features.session_features(t["fact_app_sessions"]),
+    "ab_features": lambda t: features.ab_features(t["fact_ab_test_assignments"]),
+    "user_features": lambda t: _user_features(t),
+    "modeling_dataset": lambda t: features.modeling_dataset(_user_features(t)),
     # 2.11 RFM
     "rfm_user_ltv": lambda t: rfm.rfm_user_ltv(t["fact_orders"]),
     "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(t["fact_orders"]),
