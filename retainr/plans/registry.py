@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from retainr.plans import cohorts, experiments, features, kpis, rfm
+from retainr.plans import cohorts, experiments, features, kpis, quality, rfm
 
 Tables = dict[str, DataFrame]
 
@@ -34,6 +34,14 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "ab_features": lambda t: features.ab_features(t["fact_ab_test_assignments"]),
     "user_features": lambda t: _user_features(t),
     "modeling_dataset": lambda t: features.modeling_dataset(_user_features(t)),
+    # 2.15 data quality
+    "check_constraints": lambda t: quality.check_constraints(t),
+    "active_campaigns":
+        lambda t: quality.active_campaigns(t["fact_orders"], t["dim_promo_campaigns"]),
+    "reconcile_items": lambda t: quality.reconcile_items(t["fact_orders"], t["fact_order_items"]),
+    "audit_margin": lambda t: quality.audit_margin(t["fact_orders"]),
+    "link_sessions_orders":
+        lambda t: quality.link_sessions_orders(t["fact_app_sessions"], t["fact_orders"]),
     # 2.11 RFM
     "rfm_user_ltv": lambda t: rfm.rfm_user_ltv(t["fact_orders"]),
     "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(t["fact_orders"]),
