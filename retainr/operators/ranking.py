@@ -73,30 +73,48 @@ def _split_points(df: DataFrame, cols: list[str], n: int, buckets: int, seed: in
 
 def global_rank(df: DataFrame, keys: list[str], tie: str, rank_col: str = "rank",
                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
-                n_rows: int | None = None) -> tuple[DataFrame, int]:
+                n_rows: int | None = None, weight: str | None = None) -> tuple[DataFrame, int]:
     """Add ``rank_col`` = 1-based position of each row in ascending ``(keys..., tie)`` order.
 
     ``tie`` must be unique per row (e.g. ``user_id``) so that the order is total.  Key columns
-    must be non-NULL.  Returns the ranked DataFrame and the row count N.  Runs three small jobs
-    (count, sample, per-range counts); materialise an expensive input first (e.g.
-    ``df.checkpoint()``) so they do not recompute it.
+    must be non-NULL.  Returns the ranked DataFrame and the row count N.
+
+    With ``weight`` the added column is instead the inclusive running sum of that (integer)
+    column in the same order, e.g. cumulative positives over distinct scores.
+
+    Runs three small jobs (count, sample, per-range totals); materialise an expensive input
+    first (e.g. ``df.checkpoint()``) so they do not recompute it.
     """
     cols = list(keys) + [tie]
     n = df.count() if n_rows is None else n_rows
     buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(rows_per_bucket, 1))))
     splits = _split_points(df, cols, n, buckets, seed) if buckets > 1 else []
     bucketed = df.withColumn(_BUCKET, _range_index(df, cols, splits))
-    counts = dict(bucketed.groupBy(_BUCKET).count().collect()) if splits else {0: n}
+    measure = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("long"))
+    if splits:
+        totals = {b: (v or 0) for b, v in
+                  bucketed.groupBy(_BUCKET).agg(measure.alias("v")).collect()}
+    else:
+        totals = {0: n}
     offsets, acc = [], 0
     for b in range(len(splits) + 1):
         offsets.append(acc)
-        acc += counts.get(b, 0)
+        acc += totals.get(b, 0)
     w = Window.partitionBy(_BUCKET).orderBy(*[F.col(c).asc() for c in cols])
+    inner = (F.row_number().over(w) if weight is None
+             else F.sum(F.col(weight).cast("long")).over(
+                 w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(_BUCKET) + 1)
-    ranked = bucketed.withColumn(rank_col, offset + F.row_number().over(w)).drop(_BUCKET)
+    ranked = bucketed.withColumn(rank_col, offset + inner).drop(_BUCKET)
     return ranked, n
 
 
+def running_sum(df: DataFrame, keys: list[str], tie: str, weight: str, out_col: str,
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Inclusive running sum of ``weight`` in ascending ``(keys..., tie)`` order, distributed."""
+    return global_rank(df, keys, tie, out_col, rows_per_bucket, weight=weight)[0]
+
+
 def ntile_of_rank(rank: Column, n: int, k: int) -> Column:
     """SQL ``NTILE(k)`` from an exact 1-based rank among n rows: the first ``n mod k`` tiles
     hold one row more."""

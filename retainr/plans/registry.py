@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from retainr.plans import cohorts, experiments, features, kpis, quality, rfm
+from retainr.plans import churn, cohorts, experiments, features, kpis, quality, rfm
 
 Tables = dict[str, DataFrame]
 
@@ -19,6 +19,16 @@ def _user_features(t: Tables) -> DataFrame:
                                   t["fact_ab_test_assignments"])
 
 
+def _scores(t: Tables) -> DataFrame:
+    return churn.recency_scores(_user_features(t))
+
+
+def _churn_metrics(t: Tables) -> DataFrame:
+    scored = _scores(t)
+    thr = churn.best_threshold(scored).select("threshold").scalar()
+    return churn.classification_metrics(scored, thr)
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # 2.11 cohorts
     "cohort_retention_daily": lambda t: cohorts.cohort_retention_daily(t["fact_orders"]),
@@ -42,6 +52,15 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "audit_margin": lambda t: quality.audit_margin(t["fact_orders"]),
     "link_sessions_orders":
         lambda t: quality.link_sessions_orders(t["fact_app_sessions"], t["fact_orders"]),
+    # 2.13 churn model: metrics and economics on a score derived from the feature table
+    "churn_threshold": lambda t: churn.best_threshold(_scores(t)),
+    "churn_metrics": lambda t: _churn_metrics(t),
+    "campaign_economics": lambda t: churn.campaign_economics(_scores(t)),
+    "top_k_precision": lambda t: churn.top_k_precision(_scores(t)),
+    "winsorize_basket": lambda t: churn.winsorize(
+        t["fact_orders"].select("order_id", "basket_value_rub"), "basket_value_rub",
+        out_col="basket_value_rub_winsorized").drop("basket_value_rub"),
+    "target_summary": lambda t: churn.target_summary(_user_features(t), "churn_label", "churn_label"),
     # 2.11 RFM
     "rfm_user_ltv": lambda t: rfm.rfm_user_ltv(t["fact_orders"]),
     "rfm_segment_summary": lambda t: rfm.rfm_segment_summary(t["fact_orders"]),
