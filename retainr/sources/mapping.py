@@ -14,6 +14,7 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +66,21 @@ def _plus_minutes(ts: Column, n: Column) -> Column:
     return F.timestamp_add("MINUTE", n.cast("int"), ts)
 
 
+class _LazyReads(dict):
+    """Driver tables, each read (file listing + footer) only when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self._spark, self._dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        self[name] = df
+        return df
+
+
 def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
+    return _LazyReads(spark, sf_dir)
 
 
 def _geo(raw: dict[str, DataFrame]) -> DataFrame:
@@ -244,21 +258,52 @@ def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def canonical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All eight canonical tables as lazy DataFrames over the driver's Parquet files."""
-    raw = read_driver_tables(spark, sf_dir)
-    users = map_users(raw)
-    return {
-        "dim_users": users,
-        "dim_restaurants": map_restaurants(raw),
-        "dim_couriers": map_couriers(raw),
-        "dim_promo_campaigns": map_campaigns(raw),
-        "fact_orders": map_orders(raw),
-        "fact_order_items": map_order_items(raw),
-        "fact_app_sessions": map_sessions(raw, users),
-        "fact_ab_test_assignments": map_assignments(raw),
+class CanonicalTables(Mapping):
+    """The eight canonical tables as lazy DataFrames over the driver's Parquet files.
+
+    A table's plan is built on first access only, so a query touching ``fact_orders`` never
+    resolves the other files.  The plans hold no data: every action re-reads Parquet.
+    """
+
+    _builders = {
+        "dim_users": lambda self: map_users(self._raw),
+        "dim_restaurants": lambda self: map_restaurants(self._raw),
+        "dim_couriers": lambda self: map_couriers(self._raw),
+        "dim_promo_campaigns": lambda self: map_campaigns(self._raw),
+        "fact_orders": lambda self: map_orders(self._raw),
+        "fact_order_items": lambda self: map_order_items(self._raw),
+        "fact_app_sessions": lambda self: map_sessions(self._raw, self["dim_users"]),
+        "fact_ab_test_assignments": lambda self: map_assignments(self._raw),
     }
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._raw = read_driver_tables(spark, sf_dir)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            if name not in self._builders:
+                raise KeyError(name)
+            self._built[name] = self._builders[name](self)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(CANONICAL_TABLES)
+
+    def __len__(self) -> int:
+        return len(CANONICAL_TABLES)
+
+
+_PLANS: dict[tuple[int, str], CanonicalTables] = {}
+
+
+def canonical_tables(spark: SparkSession, sf_dir: str) -> CanonicalTables:
+    """Lazy canonical tables for ``sf_dir``; plan definitions are reused per session."""
+    key = (id(spark), sf_dir)
+    if key not in _PLANS:
+        _PLANS[key] = CanonicalTables(spark, sf_dir)
+    return _PLANS[key]
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
