@@ -31,13 +31,14 @@ def round_money(x, digits: int = 2) -> Column:
 
 
 def clip(x, lower=None, upper=None) -> Column:
-    """``clip(lower, upper)``."""
+    """``clip(lower, upper)`` (C16); NULL stays NULL (``least``/``greatest`` alone would skip
+    it and return a bound)."""
     out = _c(x)
     if upper is not None:
         out = F.least(out, F.lit(upper) if not isinstance(upper, Column) else upper)
     if lower is not None:
         out = F.greatest(out, F.lit(lower) if not isinstance(lower, Column) else lower)
-    return out
+    return F.when(_c(x).isNotNull(), out)
 
 
 def pct_text(x, decimals: int = 2) -> Column:

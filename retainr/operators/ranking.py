@@ -8,6 +8,8 @@ order ``(keys..., tie)`` is cut into P contiguous ranges:
 2. every row gets the number of its range by a binary search over the literal split array
    (``aggregate`` over ``log2(P)`` steps, JVM-side, no UDF);
 3. rows per range are counted (P numbers to the driver) and turned into offsets;
+   P is at least the cluster's default parallelism once there are enough rows, and a single
+   range only for inputs below ``MIN_ROWS_PER_BUCKET`` rows;
 4. ``row_number()`` over ``partitionBy(range).orderBy(keys, tie)`` plus the range offset is the
    exact global rank.
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 64
 MAX_BUCKETS = 20_000
+MIN_ROWS_PER_BUCKET = 256
 _BUCKET = "__rank_bucket"
 
 
@@ -87,7 +90,8 @@ def global_rank(df: DataFrame, keys: list[str], tie: str, rank_col: str = "rank"
     """
     cols = list(keys) + [tie]
     n = df.count() if n_rows is None else n_rows
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(rows_per_bucket, 1))))
+    parallel = min(df.sparkSession.sparkContext.defaultParallelism, n // MIN_ROWS_PER_BUCKET)
+    buckets = max(1, min(MAX_BUCKETS, max(math.ceil(n / max(rows_per_bucket, 1)), parallel)))
     splits = _split_points(df, cols, n, buckets, seed) if buckets > 1 else []
     bucketed = df.withColumn(_BUCKET, _range_index(df, cols, splits))
     measure = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("long"))
