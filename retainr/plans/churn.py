@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retainr.session import materialize
+
 from retainr.functions.numeric import clip
 from retainr.operators.ranking import ROWS_PER_BUCKET, global_rank, running_sum
 
@@ -124,30 +126,39 @@ def score(model: PipelineModel, df: DataFrame, out_col: str = SCORE) -> DataFram
 # ---------------------------------------------------------------- M5 / M6 threshold and metrics
 
 def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
-                with_bounds: bool = False,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int = ROWS_PER_BUCKET, checkpoint: bool = True) -> DataFrame:
     """One row per distinct score: pos, neg, and cum_pos / cum_neg = positives / negatives with
-    a score >= this one (running sums in descending score order)."""
+    a score >= this one (running sums in descending score order).  Thresholds 0 and 1 are
+    always present (with zero counts when no row has that score).
+
+    The grouped table (at most one row per distinct score) is materialised, so the running
+    sums' small jobs and every metric derived from it read it instead of re-running the
+    scoring plan.
+    """
     grouped = scored.groupBy(F.col(score_col).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    if with_bounds:  # thresholds 0 and 1 are always candidates
-        spark = scored.sparkSession
-        bounds = spark.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "score double, pos long, neg long")
-        grouped = (grouped.unionByName(bounds).groupBy("score")
-                   .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    bounds = scored.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)],
+                                                 "score double, pos long, neg long")
+    grouped = (grouped.unionByName(bounds).groupBy("score")
+               .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    if checkpoint:
+        grouped = materialize(grouped, "score_table")
     desc = grouped.withColumn("__neg_score", -F.col("score"))
     t = running_sum(desc, ["__neg_score"], "__neg_score", "pos", "cum_pos", rows_per_bucket)
     t = running_sum(t, ["__neg_score"], "__neg_score", "neg", "cum_neg", rows_per_bucket)
     return t.drop("__neg_score")
 
 
-def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCORE) -> DataFrame:
+def _with_totals(table: DataFrame) -> DataFrame:
+    totals = table.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row
+    return table.crossJoin(F.broadcast(totals))
+
+
+def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
+                   table: DataFrame | None = None) -> DataFrame:
     """Balanced accuracy and F1 of ``score >= t`` for every candidate threshold t (all distinct
-    scores plus 0 and 1)."""
-    t = score_table(scored, label, score_col, with_bounds=True)
-    totals = scored.agg(F.count_if(F.col(label) == 1).alias("P"),
-                        F.count_if(F.col(label) != 1).alias("N"))
-    t = t.crossJoin(F.broadcast(totals))  # one-row relation
+    scores plus 0 and 1), with the confusion counts."""
+    t = _with_totals(table if table is not None else score_table(scored, label, score_col))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     fn, tn = F.col("P") - tp, F.col("N") - fp
     tpr = F.try_divide(tp.cast("double"), F.nullif(F.col("P"), F.lit(0)))
@@ -160,25 +171,28 @@ def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCOR
                     f1.alias("f1"), tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"))
 
 
-def best_threshold(scored: DataFrame, label: str = TARGET, score_col: str = SCORE) -> DataFrame:
+def best_threshold(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
+                   table: DataFrame | None = None) -> DataFrame:
     """M5: the threshold with the best balanced accuracy, then the best F1, then the smallest
     threshold (order-free form of the greedy scan, trap T20).  One row."""
-    scan = threshold_scan(scored, label, score_col)
+    scan = threshold_scan(scored, label, score_col, table)
     best = F.max_by(F.struct("threshold", "balanced_accuracy", "f1"),
                     F.struct("balanced_accuracy", "f1", (-F.col("threshold")).alias("neg_t")))
     return scan.agg(best.alias("b")).select("b.*")
 
 
-def ranking_metrics(scored: DataFrame, label: str = TARGET, score_col: str = SCORE) -> DataFrame:
+def ranking_metrics(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
+                    table: DataFrame | None = None) -> DataFrame:
     """ROC-AUC (Mann-Whitney with ties counted one half) and average precision
     (sum over distinct scores of recall increase x precision, trap T21).  One row; NULL when a
     class is missing."""
-    t = score_table(scored, label, score_col)
+    t = table if table is not None else score_table(scored, label, score_col)
+    prec = F.try_divide(F.col("cum_pos").cast("double"),
+                        F.nullif(F.col("cum_pos") + F.col("cum_neg"), F.lit(0)))
     agg = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                 F.sum(F.col("neg") * ((F.col("cum_pos") - F.col("pos")) + F.col("pos") / 2.0))
                 .alias("auc_num"),
-                F.sum(F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))))
-                .alias("ap_num"))
+                F.sum(F.when(F.col("pos") > 0, F.col("pos") * prec)).alias("ap_num"))
     return agg.select(
         F.try_divide(F.col("auc_num"), F.nullif(F.col("P") * F.col("N"), F.lit(0)).cast("double"))
         .alias("roc_auc"),
@@ -186,26 +200,37 @@ def ranking_metrics(scored: DataFrame, label: str = TARGET, score_col: str = SCO
     )
 
 
-def classification_metrics(scored: DataFrame, threshold, label: str = TARGET,
+def classification_metrics(scored: DataFrame, threshold=None, label: str = TARGET,
                            score_col: str = SCORE) -> DataFrame:
-    """M6: roc_auc, pr_auc, f1, precision, recall, tp, fp, tn, fn at ``score >= threshold``
-    (``threshold`` may be a number or a scalar Column).  One row."""
-    thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    pred = F.col(score_col) >= thr
-    pos = F.col(label) == 1
-    cm = scored.agg(F.count_if(pred & pos).alias("tp"), F.count_if(pred & ~pos).alias("fp"),
-                    F.count_if(~pred & ~pos).alias("tn"), F.count_if(~pred & pos).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    """M6: roc_auc, pr_auc, f1, precision, recall, tp, fp, tn, fn at ``score >= threshold``.
+
+    ``threshold`` may be a number, a scalar Column, or None for the best balanced-accuracy
+    threshold (M5) chosen on the same rows.  Everything comes from one per-distinct-score
+    table: the confusion counts at t are the running sums at the smallest score >= t.
+    """
+    table = score_table(scored, label, score_col)
+    if threshold is None:
+        thr = best_threshold(scored, label, score_col, table).select("threshold").scalar()
+    else:
+        thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    t = _with_totals(table)
+    at = t.where(F.col("score") >= thr).agg(
+        F.max("P").alias("P"), F.max("N").alias("N"),
+        F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    tp, fp = F.coalesce(F.col("tp"), F.lit(0)), F.coalesce(F.col("fp"), F.lit(0))
+    totals = table.agg(F.sum("pos").alias("P_all"), F.sum("neg").alias("N_all"))
+    fn, tn = F.col("P_all") - tp, F.col("N_all") - fp
 
     def ratio(a, b):
         return F.coalesce(F.try_divide(a.cast("double"), F.nullif(b, F.lit(0))), F.lit(0.0))
 
-    return cm.crossJoin(ranking_metrics(scored, label, score_col)).select(
+    return at.crossJoin(totals).crossJoin(ranking_metrics(scored, label, score_col, table)).select(
         "roc_auc", "pr_auc",
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
-        *[F.col(c).cast("double").alias(c) for c in ("tp", "fp", "tn", "fn")],
+        tp.cast("double").alias("tp"), fp.cast("double").alias("fp"),
+        tn.cast("double").alias("tn"), fn.cast("double").alias("fn"),
     )
 
 
@@ -258,36 +283,44 @@ def top_k_precision(scored: DataFrame, label: str = TARGET, score_col: str = SCO
                    F.avg(F.col(label).cast("double")).alias("precision_at_k"))
 
 
-def quantile(df: DataFrame, col: str, q: float, n: int | None = None,
-             rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
-    """Exact quantile with linear interpolation (pandas / ``quantile_cont``) as a scalar
-    Column, from running counts over distinct values (no single-task percentile buffer)."""
+def _value_counts(df: DataFrame, col: str, checkpoint: bool = True) -> DataFrame:
     vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).count()
-    if n is None:
-        n = df.where(F.col(col).isNotNull()).count()
+    return materialize(vals, "value_counts") if checkpoint else vals
+
+
+def quantiles(df: DataFrame, col: str, qs: list[float],
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> list[Column]:
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``) as scalar
+    Columns, from running counts over the distinct values (one checkpointed value table for
+    all of them; no single-task percentile buffer)."""
+    vals = _value_counts(df, col)
+    n = vals.agg(F.sum("count")).first()[0] or 0
     if n == 0:
-        return F.lit(None).cast("double")
+        return [F.lit(None).cast("double") for _ in qs]
     cum = running_sum(vals, ["v"], "v", "count", "cum", rows_per_bucket)
-    h = (n - 1) * q
-    lo = int(h // 1)
-    frac = h - lo
 
     def value_at(rank: int) -> Column:
         return cum.where(F.col("cum") >= rank).agg(F.min("v")).scalar()
 
-    v_lo = value_at(lo + 1)
-    if frac == 0:
-        return v_lo
-    v_hi = value_at(min(lo + 2, n))
-    return v_lo + F.lit(frac) * (v_hi - v_lo)
+    out = []
+    for q in qs:
+        h = (n - 1) * q
+        lo = int(h // 1)
+        frac = h - lo
+        v_lo = value_at(lo + 1)
+        out.append(v_lo if frac == 0 else v_lo + F.lit(frac) * (value_at(min(lo + 2, n)) - v_lo))
+    return out
+
+
+def quantile(df: DataFrame, col: str, q: float,
+             rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
+    return quantiles(df, col, [q], rows_per_bucket)[0]
 
 
 def winsorize(df: DataFrame, col: str, lower_q: float = 0.01, upper_q: float = 0.99,
               out_col: str | None = None) -> DataFrame:
     """Clip ``col`` to its [lower_q, upper_q] quantiles; NULL stays NULL."""
-    n = df.where(F.col(col).isNotNull()).count()
-    lo = quantile(df, col, lower_q, n)
-    hi = quantile(df, col, upper_q, n)
+    lo, hi = quantiles(df, col, [lower_q, upper_q])
     return df.withColumn(out_col or col, clip(F.col(col).cast("double"), lo, hi))
 
 
@@ -343,5 +376,5 @@ def train_churn_model(dataset: DataFrame, target: str = TARGET, test_size: float
     model = churn_pipeline(names, seed, **gbt_overrides).fit(train)
     scored = score(model, test).cache()
     thr = best_threshold(scored, target, SCORE).first()["threshold"]
-    metrics = classification_metrics(scored, thr, target, SCORE)
+    metrics = classification_metrics(scored, thr, target, SCORE).cache()
     return ChurnModelResult(model, float(thr), metrics, names, scored, train)

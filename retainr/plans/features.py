@@ -19,6 +19,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retainr.session import materialize
+
 from retainr.functions.dates import elapsed_days_floor, minutes_between, plus_days
 from retainr.functions.numeric import clip
 from retainr.plans.common import delivered
@@ -170,6 +172,9 @@ def modeling_dataset(features: DataFrame, eligible_only: bool = True,
     if eligible_only and "is_model_eligible" in df.columns:
         df = df.where(F.col("is_model_eligible") == 1)
     df = df.fillna("unknown", subset=CATEGORICAL_COLUMNS)
+    if categories is None:
+        # read twice (category discovery, then the output): materialise once
+        df = materialize(df, "features")
     cats = categories if categories is not None else category_values(df)
     keep = [c for c in df.columns
             if c not in DATE_COLUMNS + ["is_model_eligible"] + CATEGORICAL_COLUMNS]

@@ -29,14 +29,16 @@ CANCELLED_MARGIN_MIN, CANCELLED_MARGIN_MAX = -260, -20
 _RESULT_COLS = ["table_name", "rule", "column_name", "violations"]
 
 
-def _rows(table: str, rule: str, pairs: list[tuple[str, object]], agg_source: DataFrame) -> DataFrame:
-    """One aggregate pass over ``agg_source`` producing one result row per (column, count expr)."""
-    one = agg_source.agg(*[expr.alias(f"c{i}") for i, (_, expr) in enumerate(pairs)])
+def _rows(table: str, checks: list[tuple[str, str, object]], agg_source: DataFrame) -> DataFrame:
+    """One aggregate pass over ``agg_source`` for all (rule, column, count expr) checks, one
+    result row per check."""
+    one = agg_source.agg(*[expr.alias(f"c{i}") for i, (_, _, expr) in enumerate(checks)])
     stacked = F.explode(F.array(*[
-        F.struct(F.lit(col).alias("column_name"), F.col(f"c{i}").cast("long").alias("violations"))
-        for i, (col, _) in enumerate(pairs)]))
-    return one.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                      stacked.alias("s")).select("table_name", "rule", "s.*")
+        F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("column_name"),
+                 F.col(f"c{i}").cast("long").alias("violations"))
+        for i, (rule, col, _) in enumerate(checks)]))
+    return one.select(F.lit(table).alias("table_name"), stacked.alias("s")).select(
+        "table_name", "s.*")
 
 
 def _duplicates(df: DataFrame, table: str, rule: str, key: list[str]) -> DataFrame:
@@ -65,13 +67,11 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
         if name not in tables:
             continue
         df = tables[name]
-        not_null = [(f.name, F.count_if(F.col(f.name).isNull()))
-                    for f in schema.fields if not f.nullable]
-        parts.append(_rows(name, "not_null", not_null, df))
-        lengths = VARCHAR_LENGTHS.get(name, {})
-        if lengths:
-            parts.append(_rows(name, "max_length",
-                               [(c, F.count_if(F.length(c) > n)) for c, n in lengths.items()], df))
+        checks = [("not_null", f.name, F.count_if(F.col(f.name).isNull()))
+                  for f in schema.fields if not f.nullable]
+        checks += [("max_length", c, F.count_if(F.length(c) > n))
+                   for c, n in VARCHAR_LENGTHS.get(name, {}).items()]
+        parts.append(_rows(name, checks, df))
         parts.append(_duplicates(df, name, "primary_key", PRIMARY_KEYS[name]))
         for key in UNIQUE_KEYS.get(name, []):
             parts.append(_duplicates(df, name, "unique", key))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retainr.session import materialize
+
 from retainr.functions.numeric import avg_round, round_money, round_ratio
 from retainr.operators.ranking import (ROWS_PER_BUCKET, global_rank, ntile_of_rank,
                                        quantile_bin_of_rank)
@@ -35,7 +37,7 @@ DEFAULT_LIFETIME_MONTHS = 3
 
 
 def _materialise(df: DataFrame, checkpoint: bool) -> DataFrame:
-    return df.checkpoint(eager=True) if checkpoint else df
+    return materialize(df, "rfm_metrics") if checkpoint else df
 
 
 def _score(df: DataFrame, key: str, out: str, n: int | None, rows_per_bucket: int,

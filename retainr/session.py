@@ -52,3 +52,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="retainr-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, label: str = "stage"):
+    """Cut the lineage of ``df`` by writing it as Parquet under the shared checkpoint folder and
+    reading it back.
+
+    One job (``Dataset.checkpoint`` would compute the plan twice unless persisted), a columnar
+    file with statistics for AQE, and a result that survives executor loss.  The folder comes
+    from the session's ``spark.checkpoint.dir``; it is only set locally when unset (tests).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/retainr-materialized/{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
