@@ -47,6 +47,7 @@ GROSS_MARGIN_PCT = 0.28
 CAMPAIGN_COST_RUB = 95.0
 EXPECTED_SAVE_RATE = 0.19
 TOP_K = 1000
+TOP_K_IN_MEMORY = 100_000
 
 
 # ---------------------------------------------------------------- M1 feature matrix
@@ -278,7 +279,14 @@ def top_k_precision(scored: DataFrame, label: str = TARGET, score_col: str = SCO
     if n == 0:
         return scored.sparkSession.createDataFrame([(0, 0.0)], "k long, precision_at_k double")
     kk = int(min(max(k, 1), n))
-    top = scored.orderBy(F.desc(score_col), F.asc(id_col)).limit(kk)
+    if kk <= TOP_K_IN_MEMORY:
+        # TakeOrderedAndProject: a k-row heap per task, then one merge of k x tasks rows
+        top = scored.orderBy(F.desc(score_col), F.asc(id_col)).limit(kk)
+    else:
+        # large k: exact distributed rank instead of a k-row heap per task
+        neg = scored.withColumn("__neg", -F.col(score_col).cast("double"))
+        ranked, _ = global_rank(neg, ["__neg"], id_col, "__r", n_rows=n)
+        top = ranked.where(F.col("__r") <= kk)
     return top.agg(F.lit(kk).cast("long").alias("k"),
                    F.avg(F.col(label).cast("double")).alias("precision_at_k"))
 

@@ -3,9 +3,9 @@
 ``conversions`` is shared: exposures of one test, each flagged when the user has a delivered
 order in ``[assigned_at, assigned_at + days)`` (trap T23: half-open).
 
-Scale notes: the window test needs the order rows, so orders (filtered to delivered, two
-columns) are inner-joined to the exposures on ``user_id`` with the time range as a residual
-condition.  Orders are the streamed side of an *inner* join, which AQE's skew handling can
+Scale notes: orders are first cut to the test's time span (first assignment .. last
+assignment + 7 days, two scalar subqueries), then (delivered, two columns) inner-joined to the
+exposures on ``user_id`` with the time range as a residual condition.  Orders are the streamed side of an *inner* join, which AQE's skew handling can
 split when one user owns a large share of them; the per-exposure flag is then a distinct on
 (user, variant) and a left join of one-row-per-user relations.  The per-variant results have
 one row per variant, so the control x treatment cross join is 1 x 1.
@@ -35,7 +35,14 @@ def conversions(assignments: DataFrame, orders: DataFrame, test_id: str = TEST_I
                 days: int = CONVERSION_DAYS) -> DataFrame:
     """One row per exposed (user_id, variant) with ``converted`` 0/1."""
     exp = exposures(assignments, test_id)
-    o = delivered(orders).select(F.col("user_id").alias("o_user"), "order_ts")
+    # Only orders inside [first assignment, last assignment + days) can convert anyone: prune
+    # the order side before it is shuffled (a test lasts weeks, the order history years).
+    lo = exp.select(F.min("assigned_at")).scalar()
+    hi = exp.select(F.max("assigned_at")).scalar()
+    o = (delivered(orders)
+         .where((F.col("order_ts") >= lo)
+                & (F.col("order_ts") < F.timestamp_add("DAY", F.lit(days), hi)))
+         .select(F.col("user_id").alias("o_user"), "order_ts"))
     hit = (
         o.join(exp, (F.col("o_user") == F.col("user_id"))
                & (F.col("order_ts") >= F.col("assigned_at"))

@@ -149,15 +149,13 @@ def user_features(users: DataFrame, orders: DataFrame, sessions: DataFrame,
 
 def category_values(features: DataFrame, columns=CATEGORICAL_COLUMNS,
                     max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Distinct values of low-cardinality columns (one small aggregate; fails above the cap so
-    that an id-like column never explodes into columns)."""
-    row = features.agg(*[
-        F.slice(F.array_sort(F.collect_set(F.coalesce(F.col(c), F.lit("unknown")))), 1,
-                max_categories + 1).alias(c)
-        for c in columns]).first()
+    """Distinct values of low-cardinality columns.  Each column is a distributed ``distinct``
+    of which at most ``max_categories + 1`` values reach the driver; more than the cap is an
+    error, so an id-like column never explodes into columns or into one task's memory."""
     out = {}
     for c in columns:
-        vals = list(row[c] or [])
+        vals = [r[0] for r in features.select(F.coalesce(F.col(c), F.lit("unknown")).alias("v"))
+                .distinct().limit(max_categories + 1).collect()]
         if len(vals) > max_categories:
             raise ValueError(f"column {c!r} has more than {max_categories} distinct values")
         out[c] = sorted(vals)

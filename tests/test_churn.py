@@ -114,3 +114,13 @@ def test_small_model_fit_save_load(spark, scratch):
     again = churn.score(churn.load_model(path), res.scored_test.drop("churn_proba"))
     a = res.scored_test.select("user_id", F.col("churn_proba").alias("a"))
     assert again.join(a, "user_id").where(F.abs(F.col("churn_proba") - F.col("a")) > 1e-12).count() == 0
+
+
+def test_top_k_large_k_uses_distributed_rank(spark, monkeypatch):
+    df, pdf = _scores(spark, 400)
+    small = churn.top_k_precision(df, k=123).first()
+    monkeypatch.setattr(churn, "TOP_K_IN_MEMORY", 10)
+    big = churn.top_k_precision(df, k=123).first()
+    want = pdf.sort_values(["churn_proba", "user_id"], ascending=[False, True]).head(123)
+    assert small["precision_at_k"] == pytest.approx(want["churn_label"].mean())
+    assert big["precision_at_k"] == pytest.approx(small["precision_at_k"])
