@@ -28,3 +28,23 @@ def assignments(spark, rows):
     out = [(i + 1, r["user_id"], r.get("test_id", "free_delivery_banner_v1"), r["variant"],
             ts(r["assigned_at"]), "push") for i, r in enumerate(rows)]
     return spark.createDataFrame(out, SCHEMAS["fact_ab_test_assignments"])
+
+
+def users(spark, ids, channel="organic", city="EUROPE"):
+    rows = [(i, ts("2024-01-01 00:00:00"), channel if isinstance(channel, str) else channel[k],
+             city, "iOS", 30, "male", "gold") for k, i in enumerate(ids)]
+    return spark.createDataFrame(rows, SCHEMAS["dim_users"])
+
+
+def sessions(spark, rows):
+    out = [(r["session_id"], r["user_id"], ts(r["start"]), ts(r.get("end", r["start"])),
+            "push", "EUROPE", "iOS", 0, r.get("did_order", 0)) for r in rows]
+    return spark.createDataFrame(out, SCHEMAS["fact_app_sessions"])
+
+
+def campaigns(spark, rows):
+    from datetime import date
+    out = [(r["campaign_id"], "c", date.fromisoformat(r["start"]), date.fromisoformat(r["end"]),
+            Decimal(str(r.get("pct", "10.00"))), Decimal(str(r.get("min_basket", "100.00"))),
+            "free_delivery") for r in rows]
+    return spark.createDataFrame(out, SCHEMAS["dim_promo_campaigns"])
