@@ -20,12 +20,12 @@ def date_range_join(left: DataFrame, date_col: str, right: DataFrame, start_col:
     """Rows of ``left`` joined to every ``right`` row whose ``[start, end]`` (dates, inclusive)
     holds ``left[date_col]``.
 
-    Small right side (checked): broadcast nested-loop join, no shuffle of ``left``.  Otherwise
-    the right side is exploded to one row per covered day and joined on the date with an equi
-    join, so neither side is ever compared all-pairs.
+    The right side is exploded to one row per covered day and joined on the date with an equi
+    join: a hash lookup per left row instead of a comparison with every interval (a nested
+    loop).  The exploded side is broadcast when its checked size is small, else both sides are
+    shuffled on the date and AQE splits a skewed day.
     """
-    if fits_broadcast(right, max_broadcast_rows):
-        cond = F.col(date_col).between(F.col(start_col), F.col(end_col))
-        return left.join(F.broadcast(right), cond, how)
     days = right.withColumn("__day", F.explode(F.sequence(F.col(start_col), F.col(end_col))))
+    if fits_broadcast(days, max_broadcast_rows):
+        days = F.broadcast(days)
     return left.join(days, left[date_col] == days["__day"], how).drop("__day")

@@ -151,8 +151,9 @@ def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
 
 
 def _with_totals(table: DataFrame) -> DataFrame:
-    totals = table.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row
-    return table.crossJoin(F.broadcast(totals))
+    """Add the class totals P and N (scalar subqueries over the score table)."""
+    return table.withColumns({"P": table.select(F.sum("pos")).scalar(),
+                              "N": table.select(F.sum("neg")).scalar()})
 
 
 def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
@@ -214,19 +215,18 @@ def classification_metrics(scored: DataFrame, threshold=None, label: str = TARGE
         thr = best_threshold(scored, label, score_col, table).select("threshold").scalar()
     else:
         thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    t = _with_totals(table)
-    at = t.where(F.col("score") >= thr).agg(
-        F.max("P").alias("P"), F.max("N").alias("N"),
-        F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    at = table.where(F.col("score") >= thr).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
     tp, fp = F.coalesce(F.col("tp"), F.lit(0)), F.coalesce(F.col("fp"), F.lit(0))
-    totals = table.agg(F.sum("pos").alias("P_all"), F.sum("neg").alias("N_all"))
-    fn, tn = F.col("P_all") - tp, F.col("N_all") - fp
+    fn = table.select(F.sum("pos")).scalar() - tp
+    tn = table.select(F.sum("neg")).scalar() - fp
+    ranking = ranking_metrics(scored, label, score_col, table)
+    auc, ap = (ranking.select(c).scalar() for c in ("roc_auc", "pr_auc"))
 
     def ratio(a, b):
         return F.coalesce(F.try_divide(a.cast("double"), F.nullif(b, F.lit(0))), F.lit(0.0))
 
-    return at.crossJoin(totals).crossJoin(ranking_metrics(scored, label, score_col, table)).select(
-        "roc_auc", "pr_auc",
+    return at.select(
+        auc.alias("roc_auc"), ap.alias("pr_auc"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),

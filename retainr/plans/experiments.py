@@ -7,8 +7,8 @@ Scale notes: orders are first cut to the test's time span (first assignment .. l
 assignment + 7 days, two scalar subqueries), then (delivered, two columns) inner-joined to the
 exposures on ``user_id`` with the time range as a residual condition.  Orders are the streamed side of an *inner* join, which AQE's skew handling can
 split when one user owns a large share of them; the per-exposure flag is then a distinct on
-(user, variant) and a left join of one-row-per-user relations.  The per-variant results have
-one row per variant, so the control x treatment cross join is 1 x 1.
+(user, variant) and a left join of one-row-per-user relations.  Control and treatment are put
+side by side by one conditional aggregate (no join).
 """
 
 from __future__ import annotations
@@ -61,12 +61,10 @@ def ab_sample_ratio(assignments: DataFrame, test_id: str = TEST_ID) -> DataFrame
     """Q06: assigned users per variant and share of all (2 dp); the guardrail is the share."""
     per_variant = (assignments.where(F.col("test_id") == test_id)
                    .groupBy("variant").agg(F.count(F.lit(1)).alias("assigned_users")))
-    total = per_variant.agg(F.sum("assigned_users").alias("_total"))  # one row
-    return (
-        per_variant.crossJoin(F.broadcast(total))
-        .select("variant", "assigned_users",
-                round_ratio(100 * F.col("assigned_users"), F.col("_total"), 2).alias("share_pct"))
-    )
+    total = per_variant.select(F.sum("assigned_users")).scalar()  # SUM(COUNT(*)) OVER ()
+    return per_variant.select(
+        "variant", "assigned_users",
+        round_ratio(100 * F.col("assigned_users"), total, 2).alias("share_pct"))
 
 
 def _per_variant(conv: DataFrame) -> DataFrame:
@@ -93,13 +91,20 @@ def ab_conversion_7d(assignments: DataFrame, orders: DataFrame, test_id: str = T
 def _control_treatment(assignments: DataFrame, orders: DataFrame, test_id: str,
                        days: int) -> DataFrame:
     """One row: n_c, x_c, p_c, n_t, x_t, p_t (empty when a variant is missing, trap T24)."""
-    agg = _per_variant(conversions(assignments, orders, test_id, days))
-    rate = F.col("x").cast("double") / F.col("n")
-    c = agg.where(F.col("variant") == "control").select(
-        F.col("n").alias("n_c"), F.col("x").alias("x_c"), rate.alias("p_c"))
-    t = agg.where(F.col("variant") == "treatment").select(
-        F.col("n").alias("n_t"), F.col("x").alias("x_t"), rate.alias("p_t"))
-    return c.crossJoin(t)
+    conv = conversions(assignments, orders, test_id, days)
+
+    def of(variant: str, col: str):
+        return F.when(F.col("variant") == variant, F.col(col))
+
+    # control and treatment side by side: one conditional aggregate instead of a 1 x 1 join
+    one = conv.agg(
+        F.count(of("control", "converted")).alias("n_c"),
+        F.sum(of("control", "converted")).cast("long").alias("x_c"),
+        F.count(of("treatment", "converted")).alias("n_t"),
+        F.sum(of("treatment", "converted")).cast("long").alias("x_t"))
+    return (one.where((F.col("n_c") > 0) & (F.col("n_t") > 0))
+            .withColumn("p_c", F.col("x_c").cast("double") / F.col("n_c"))
+            .withColumn("p_t", F.col("x_t").cast("double") / F.col("n_t")))
 
 
 def ab_ztest(assignments: DataFrame, orders: DataFrame, test_id: str = TEST_ID,

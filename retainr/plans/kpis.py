@@ -148,13 +148,10 @@ def eda_overview(users: DataFrame, orders: DataFrame, sessions: DataFrame) -> Da
     """Q15: row counts of users, orders, sessions and the delivered share (4 dp)."""
     o = orders.agg(F.count(F.lit(1)).alias("orders_n"),
                    F.count_if(F.col("order_status") == "delivered").alias("delivered_n"))
-    u = users.agg(F.count(F.lit(1)).alias("users_n"))
-    s = sessions.agg(F.count(F.lit(1)).alias("sessions_n"))
-    return (
-        u.crossJoin(o).crossJoin(s)  # three one-row relations
-        .select("users_n", "orders_n", "sessions_n",
-                round_ratio(F.col("delivered_n"), F.col("orders_n"), 4).alias("delivered_share"))
-    )
+    users_n = users.select(F.count(F.lit(1))).scalar()
+    sessions_n = sessions.select(F.count(F.lit(1))).scalar()
+    return o.select(users_n.alias("users_n"), "orders_n", sessions_n.alias("sessions_n"),
+                    round_ratio(F.col("delivered_n"), F.col("orders_n"), 4).alias("delivered_share"))
 
 
 def daily_orders_gmv(orders: DataFrame) -> DataFrame:
