@@ -30,7 +30,6 @@ ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 64
 MAX_BUCKETS = 20_000
 MIN_ROWS_PER_BUCKET = 256
-_BUCKET = "__rank_bucket"
 
 
 def _literal(value, dtype) -> Column:
@@ -63,60 +62,110 @@ def _range_index(df: DataFrame, cols: list[str], splits: list[tuple]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
-def _split_points(df: DataFrame, cols: list[str], n: int, buckets: int, seed: int) -> list[tuple]:
-    want = SAMPLE_PER_BUCKET * buckets
-    fraction = min(1.0, want / max(n, 1))
-    sample = sorted(tuple(r) for r in df.select(*cols).sample(fraction=fraction, seed=seed).collect())
+def _n_buckets(df: DataFrame, n: int, rows_per_bucket: int) -> int:
+    parallel = min(df.sparkSession.sparkContext.defaultParallelism, n // MIN_ROWS_PER_BUCKET)
+    return max(1, min(MAX_BUCKETS, max(math.ceil(n / max(rows_per_bucket, 1)), parallel)))
+
+
+def _splits_from_sample(sample: list[tuple], buckets: int) -> list[tuple]:
+    sample = sorted(sample)
     if len(sample) < buckets:
         return sorted(set(sample))
     step = len(sample) / buckets
-    picks = [sample[int(round(i * step))] for i in range(1, buckets)]
-    return sorted(set(picks))
+    return sorted(set(sample[int(round(i * step))] for i in range(1, buckets)))
+
+
+def _plan_ranges(df: DataFrame, orders: dict[str, list[str]], n: int, rows_per_bucket: int,
+                 seed: int) -> dict[str, list[tuple]]:
+    """Split tuples per order, all drawn from ONE sample pass over ``df``."""
+    buckets = _n_buckets(df, n, rows_per_bucket)
+    if buckets <= 1:
+        return {out: [] for out in orders}
+    cols = list(dict.fromkeys(c for cs in orders.values() for c in cs))
+    fraction = min(1.0, SAMPLE_PER_BUCKET * buckets / max(n, 1))
+    rows = df.select(*cols).sample(fraction=fraction, seed=seed).collect()
+    return {out: _splits_from_sample([tuple(r[c] for c in cs) for r in rows], buckets)
+            for out, cs in orders.items()}
+
+
+def _offsets(bucketed: DataFrame, splits: dict[str, list[tuple]],
+             measures: dict[str, Column]) -> dict[tuple[str, str], list[int]]:
+    """Per (order, measure): the measure summed over all earlier ranges, from ONE aggregation
+    over the (order, range) pairs of every row."""
+    totals: dict[tuple[str, str, int], int] = {}
+    multi = [out for out, sp in splits.items() if sp]
+    if multi:
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(out).alias("o"), F.col(f"__b_{out}").alias("b")) for out in multi]))
+        exploded = bucketed.select(pairs.alias("p"), *[m.alias(f"__m_{k}") for k, m in measures.items()])
+        agg = exploded.groupBy("p.o", "p.b").agg(*[F.sum(f"__m_{k}").alias(k) for k in measures])
+        for r in agg.collect():
+            for k in measures:
+                totals[(r["o"], k, r["b"])] = r[k] or 0
+    out = {}
+    for o, sp in splits.items():
+        for k in measures:
+            acc, offs = 0, []
+            for b in range(len(sp) + 1):
+                offs.append(acc)
+                acc += totals.get((o, k, b), 0)
+            out[(o, k)] = offs
+    return out
+
+
+def global_ranks(df: DataFrame, orders: dict[str, list[str]], tie: str,
+                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
+                 n_rows: int | None = None) -> tuple[DataFrame, int]:
+    """For every ``out_col -> keys`` in ``orders`` add ``out_col`` = 1-based position of the row in
+    ascending ``(keys..., tie)`` order.
+
+    ``tie`` must be unique per row (e.g. ``user_id``) so that each order is total; key columns
+    must be non-NULL.  All orders share one count, one sample pass and one range-count pass;
+    each order then costs one window shuffle.  Returns the ranked DataFrame and N.
+    """
+    full = {out: list(keys) + [tie] for out, keys in orders.items()}
+    n = df.count() if n_rows is None else n_rows
+    splits = _plan_ranges(df, full, n, rows_per_bucket, seed)
+    bucketed = df.withColumns({f"__b_{o}": _range_index(df, cols, splits[o]) for o, cols in full.items()})
+    offs = _offsets(bucketed, splits, {"rows": F.lit(1)})
+    out = bucketed
+    for o, cols in full.items():
+        w = Window.partitionBy(f"__b_{o}").orderBy(*[F.col(c).asc() for c in cols])
+        arr = F.array(*[F.lit(v).cast("long") for v in offs[(o, "rows")]])
+        out = out.withColumn(o, F.element_at(arr, F.col(f"__b_{o}") + 1) + F.row_number().over(w))
+    return out.drop(*[f"__b_{o}" for o in full]), n
+
+
+def running_sums(df: DataFrame, keys: list[str], tie: str, weights: dict[str, str],
+                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
+                 n_rows: int | None = None) -> DataFrame:
+    """For every ``out_col -> weight column`` add the inclusive running sum of that integer column
+    in ascending ``(keys..., tie)`` order, distributed; all sums share one window."""
+    cols = list(keys) + [tie]
+    n = df.count() if n_rows is None else n_rows
+    splits = _plan_ranges(df, {"s": cols}, n, rows_per_bucket, seed)
+    bucketed = df.withColumn("__b_s", _range_index(df, cols, splits["s"]))
+    offs = _offsets(bucketed, splits, {o: F.col(w).cast("long") for o, w in weights.items()})
+    w = (Window.partitionBy("__b_s").orderBy(*[F.col(c).asc() for c in cols])
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = bucketed
+    for o, wc in weights.items():
+        arr = F.array(*[F.lit(v).cast("long") for v in offs[("s", o)]])
+        out = out.withColumn(o, F.element_at(arr, F.col("__b_s") + 1) + F.sum(F.col(wc).cast("long")).over(w))
+    return out.drop("__b_s")
 
 
 def global_rank(df: DataFrame, keys: list[str], tie: str, rank_col: str = "rank",
                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
-                n_rows: int | None = None, weight: str | None = None) -> tuple[DataFrame, int]:
-    """Add ``rank_col`` = 1-based position of each row in ascending ``(keys..., tie)`` order.
-
-    ``tie`` must be unique per row (e.g. ``user_id``) so that the order is total.  Key columns
-    must be non-NULL.  Returns the ranked DataFrame and the row count N.
-
-    With ``weight`` the added column is instead the inclusive running sum of that (integer)
-    column in the same order, e.g. cumulative positives over distinct scores.
-
-    Runs three small jobs (count, sample, per-range totals); materialise an expensive input
-    first (e.g. ``df.checkpoint()``) so they do not recompute it.
-    """
-    cols = list(keys) + [tie]
-    n = df.count() if n_rows is None else n_rows
-    parallel = min(df.sparkSession.sparkContext.defaultParallelism, n // MIN_ROWS_PER_BUCKET)
-    buckets = max(1, min(MAX_BUCKETS, max(math.ceil(n / max(rows_per_bucket, 1)), parallel)))
-    splits = _split_points(df, cols, n, buckets, seed) if buckets > 1 else []
-    bucketed = df.withColumn(_BUCKET, _range_index(df, cols, splits))
-    measure = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast("long"))
-    if splits:
-        totals = {b: (v or 0) for b, v in
-                  bucketed.groupBy(_BUCKET).agg(measure.alias("v")).collect()}
-    else:
-        totals = {0: n}
-    offsets, acc = [], 0
-    for b in range(len(splits) + 1):
-        offsets.append(acc)
-        acc += totals.get(b, 0)
-    w = Window.partitionBy(_BUCKET).orderBy(*[F.col(c).asc() for c in cols])
-    inner = (F.row_number().over(w) if weight is None
-             else F.sum(F.col(weight).cast("long")).over(
-                 w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(_BUCKET) + 1)
-    ranked = bucketed.withColumn(rank_col, offset + inner).drop(_BUCKET)
-    return ranked, n
+                n_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Single-order form of ``global_ranks``."""
+    return global_ranks(df, {rank_col: list(keys)}, tie, rows_per_bucket, seed, n_rows)
 
 
 def running_sum(df: DataFrame, keys: list[str], tie: str, weight: str, out_col: str,
                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Inclusive running sum of ``weight`` in ascending ``(keys..., tie)`` order, distributed."""
-    return global_rank(df, keys, tie, out_col, rows_per_bucket, weight=weight)[0]
+    """Single-weight form of ``running_sums``."""
+    return running_sums(df, keys, tie, {out_col: weight}, rows_per_bucket)
 
 
 def ntile_of_rank(rank: Column, n: int, k: int) -> Column:

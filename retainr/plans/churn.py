@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from retainr.session import materialize
 
 from retainr.functions.numeric import clip
-from retainr.operators.ranking import ROWS_PER_BUCKET, global_rank, running_sum
+from retainr.operators.ranking import ROWS_PER_BUCKET, global_rank, running_sums
 
 TARGET = "churn_label"
 SCORE = "churn_proba"
@@ -142,11 +142,13 @@ def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
                                                  "score double, pos long, neg long")
     grouped = (grouped.unionByName(bounds).groupBy("score")
                .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    n = None
     if checkpoint:
-        grouped = materialize(grouped, "score_table")
+        grouped, seen = materialize(grouped, "score_table", observe={"n": F.count(F.lit(1))})
+        n = int(seen["n"])
     desc = grouped.withColumn("__neg_score", -F.col("score"))
-    t = running_sum(desc, ["__neg_score"], "__neg_score", "pos", "cum_pos", rows_per_bucket)
-    t = running_sum(t, ["__neg_score"], "__neg_score", "neg", "cum_neg", rows_per_bucket)
+    t = running_sums(desc, ["__neg_score"], "__neg_score", {"cum_pos": "pos", "cum_neg": "neg"},
+                     rows_per_bucket, n_rows=n)
     return t.drop("__neg_score")
 
 
@@ -291,32 +293,34 @@ def top_k_precision(scored: DataFrame, label: str = TARGET, score_col: str = SCO
                    F.avg(F.col(label).cast("double")).alias("precision_at_k"))
 
 
-def _value_counts(df: DataFrame, col: str, checkpoint: bool = True) -> DataFrame:
-    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).count()
-    return materialize(vals, "value_counts") if checkpoint else vals
-
-
 def quantiles(df: DataFrame, col: str, qs: list[float],
               rows_per_bucket: int = ROWS_PER_BUCKET) -> list[Column]:
-    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``) as scalar
-    Columns, from running counts over the distinct values (one checkpointed value table for
-    all of them; no single-task percentile buffer)."""
-    vals = _value_counts(df, col)
-    n = vals.agg(F.sum("count")).first()[0] or 0
+    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``) as literal
+    Columns.
+
+    Distinct values with their counts are materialised once (row and value totals observed
+    during the write), running counts come from the distributed running sum, and one aggregate
+    fetches the values at all needed ranks; only those few numbers reach the driver.  No
+    single-task percentile buffer.
+    """
+    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).count()
+    vals, seen = materialize(vals, "value_counts",
+                             observe={"rows": F.count(F.lit(1)), "n": F.sum("count")})
+    n = int(seen["n"] or 0)
     if n == 0:
         return [F.lit(None).cast("double") for _ in qs]
-    cum = running_sum(vals, ["v"], "v", "count", "cum", rows_per_bucket)
-
-    def value_at(rank: int) -> Column:
-        return cum.where(F.col("cum") >= rank).agg(F.min("v")).scalar()
-
-    out = []
+    cum = running_sums(vals, ["v"], "v", {"cum": "count"}, rows_per_bucket, n_rows=int(seen["rows"]))
+    plan = []
     for q in qs:
         h = (n - 1) * q
         lo = int(h // 1)
-        frac = h - lo
-        v_lo = value_at(lo + 1)
-        out.append(v_lo if frac == 0 else v_lo + F.lit(frac) * (value_at(min(lo + 2, n)) - v_lo))
+        plan.append((lo + 1, min(lo + 2, n), h - lo))
+    ranks = sorted({r for a, b, _ in plan for r in (a, b)})
+    row = cum.agg(*[F.min(F.when(F.col("cum") >= r, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
+    out = []
+    for a, b, frac in plan:
+        v_lo, v_hi = row[f"r{a}"], row[f"r{b}"]
+        out.append(F.lit(v_lo if frac == 0 else v_lo + frac * (v_hi - v_lo)).cast("double"))
     return out
 
 

@@ -41,19 +41,19 @@ def _rows(table: str, checks: list[tuple[str, str, object]], agg_source: DataFra
         "table_name", "s.*")
 
 
-def _duplicates(df: DataFrame, table: str, rule: str, key: list[str]) -> DataFrame:
+def _duplicates(key_counts: DataFrame, table: str, rule: str, key: list[str]) -> DataFrame:
     """Surplus rows per key: sum over keys of (count - 1)."""
-    dup = df.groupBy(*key).count().agg(F.sum(F.col("count") - 1).alias("v"))
+    dup = key_counts.agg(F.sum(F.col("count") - 1).alias("v"))
     return dup.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
                       F.lit(",".join(key)).alias("column_name"),
                       F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations"))
 
 
-def _orphans(child: DataFrame, table: str, col: str, parent: DataFrame, pcol: str) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row (keys aggregated before the anti join)."""
+def _orphans(child: DataFrame, table: str, col: str, parent_keys: DataFrame) -> DataFrame:
+    """Child rows whose non-NULL key has no parent row (keys aggregated before the anti join;
+    the parent side is the parent's primary-key count table, shared with its key check)."""
     keys = child.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("__k")).count()
-    parents = parent.select(F.col(pcol).alias("__k")).distinct()
-    missing = keys.join(parents, "__k", "left_anti").agg(F.sum("count").alias("v"))
+    missing = keys.join(parent_keys, "__k", "left_anti").agg(F.sum("count").alias("v"))
     return missing.select(F.lit(table).alias("table_name"), F.lit("foreign_key").alias("rule"),
                           F.lit(col).alias("column_name"),
                           F.coalesce(F.col("v"), F.lit(0)).cast("long").alias("violations"))
@@ -61,8 +61,12 @@ def _orphans(child: DataFrame, table: str, col: str, parent: DataFrame, pcol: st
 
 def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per rule (not_null, max_length, primary_key, unique, foreign_key) for
-    every table present in ``tables``; rows with 0 violations are kept (a full report)."""
-    parts = []
+    every table present in ``tables``; rows with 0 violations are kept (a full report).
+
+    Per table: one aggregate pass for all NOT NULL and length rules, one ``groupBy(pk)`` whose
+    result serves the key check and every foreign key pointing at the table (the identical
+    exchange is reused within the plan)."""
+    parts, pk_counts = [], {}
     for name, schema in SCHEMAS.items():
         if name not in tables:
             continue
@@ -72,12 +76,17 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
         checks += [("max_length", c, F.count_if(F.length(c) > n))
                    for c, n in VARCHAR_LENGTHS.get(name, {}).items()]
         parts.append(_rows(name, checks, df))
-        parts.append(_duplicates(df, name, "primary_key", PRIMARY_KEYS[name]))
+        pk_counts[name] = df.groupBy(*PRIMARY_KEYS[name]).count()
+        parts.append(_duplicates(pk_counts[name], name, "primary_key", PRIMARY_KEYS[name]))
         for key in UNIQUE_KEYS.get(name, []):
-            parts.append(_duplicates(df, name, "unique", key))
+            parts.append(_duplicates(df.groupBy(*key).count(), name, "unique", key))
     for child, col, parent, pcol in FOREIGN_KEYS:
         if child in tables and parent in tables:
-            parts.append(_orphans(tables[child], child, col, tables[parent], pcol))
+            if PRIMARY_KEYS[parent] == [pcol]:
+                parent_keys = pk_counts[parent].select(F.col(pcol).alias("__k"))
+            else:
+                parent_keys = tables[parent].select(F.col(pcol).alias("__k")).distinct()
+            parts.append(_orphans(tables[child], child, col, parent_keys))
     return reduce(DataFrame.unionByName, parts).select(*_RESULT_COLS)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from retainr.session import materialize
 
 from retainr.functions.numeric import avg_round, round_money, round_ratio
-from retainr.operators.ranking import (ROWS_PER_BUCKET, global_rank, ntile_of_rank,
+from retainr.operators.ranking import (ROWS_PER_BUCKET, global_ranks, ntile_of_rank,
                                        quantile_bin_of_rank)
 from retainr.plans.common import delivered, max_delivered_date, revenue
 
@@ -36,28 +36,31 @@ LIFETIME_MONTHS = {
 DEFAULT_LIFETIME_MONTHS = 3
 
 
-def _materialise(df: DataFrame, checkpoint: bool) -> DataFrame:
-    return materialize(df, "rfm_metrics") if checkpoint else df
+def _materialise(df: DataFrame, checkpoint: bool) -> tuple[DataFrame, int | None]:
+    if not checkpoint:
+        return df, None
+    out, seen = materialize(df, "rfm_metrics", observe={"n": F.count(F.lit(1))})
+    return out, int(seen["n"])
 
 
-def _score(df: DataFrame, key: str, out: str, n: int | None, rows_per_bucket: int,
-           binning: str, reverse: bool) -> tuple[DataFrame, int]:
-    ranked, n = global_rank(df, [key], "user_id", "__r", rows_per_bucket, n_rows=n)
-    tile = (ntile_of_rank(F.col("__r"), n, TILES) if binning == "ntile"
-            else quantile_bin_of_rank(F.col("__r"), n, TILES))
-    if reverse:
-        tile = F.lit(TILES + 1) - tile
-    return ranked.withColumn(out, tile.cast("int")).drop("__r"), n
+_ORDERS = {"__rr": ["recency_days"], "__fr": ["frequency_orders"], "__mr": ["monetary_rub"]}
 
 
-def _scored(metrics: DataFrame, binning: str, rows_per_bucket: int) -> DataFrame:
-    """Add r_score (recency reversed), f_score, m_score; ties ordered by user_id (trap T2)."""
-    n = None
-    out = metrics
-    for key, col, rev in (("recency_days", "r_score", True), ("frequency_orders", "f_score", False),
-                          ("monetary_rub", "m_score", False)):
-        out, n = _score(out, key, col, n, rows_per_bucket, binning, rev)
-    return out
+def _scored(metrics: DataFrame, binning: str, rows_per_bucket: int,
+            n: int | None = None) -> DataFrame:
+    """Add r_score (recency reversed), f_score, m_score; ties ordered by user_id (trap T2).
+    The three global orders share one sample pass and one range-count pass."""
+    ranked, n = global_ranks(metrics, _ORDERS, "user_id", rows_per_bucket, n_rows=n)
+
+    def tile(rank_col: str) -> Column:
+        r = F.col(rank_col)
+        return (ntile_of_rank(r, n, TILES) if binning == "ntile"
+                else quantile_bin_of_rank(r, n, TILES))
+
+    return (ranked.withColumn("r_score", (F.lit(TILES + 1) - tile("__rr")).cast("int"))
+            .withColumn("f_score", tile("__fr").cast("int"))
+            .withColumn("m_score", tile("__mr").cast("int"))
+            .drop(*_ORDERS))
 
 
 def _rfm_text(r: Column, f: Column, m: Column) -> Column:
@@ -113,8 +116,8 @@ def user_rfm_metrics(orders: DataFrame, full: bool = True) -> DataFrame:
 def rfm_user_ltv(orders: DataFrame, checkpoint: bool = True,
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Q04: RFM scores (NTILE 5), 7-way segment, monthly revenue and predicted LTV per user."""
-    metrics = _materialise(user_rfm_metrics(orders, full=True), checkpoint)
-    s = _scored(metrics, "ntile", rows_per_bucket)
+    metrics, n = _materialise(user_rfm_metrics(orders, full=True), checkpoint)
+    s = _scored(metrics, "ntile", rows_per_bucket, n)
     months = F.lit(DEFAULT_LIFETIME_MONTHS)
     seg = F.col("segment")
     for name, value in reversed(list(LIFETIME_MONTHS.items())):
@@ -143,8 +146,8 @@ def rfm_user_ltv(orders: DataFrame, checkpoint: bool = True,
 def rfm_segment_summary(orders: DataFrame, checkpoint: bool = True,
                         rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Q05: Champions / Hibernating / Other: users and mean recency, frequency, monetary."""
-    metrics = _materialise(user_rfm_metrics(orders, full=False), checkpoint)
-    s = _scored(metrics, "ntile", rows_per_bucket).withColumn("segment", _segment3())
+    metrics, n = _materialise(user_rfm_metrics(orders, full=False), checkpoint)
+    s = _scored(metrics, "ntile", rows_per_bucket, n).withColumn("segment", _segment3())
     return (
         s.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("users_cnt"),
@@ -166,7 +169,8 @@ def rfm_segments_calendar(orders: DataFrame, checkpoint: bool = True,
              F.count(F.lit(1)).alias("frequency_orders"),
              F.sum("basket_value_rub").alias("monetary_rub"))
     )
-    s = _scored(_materialise(metrics, checkpoint), "qcut", rows_per_bucket)
+    metrics, n = _materialise(metrics, checkpoint)
+    s = _scored(metrics, "qcut", rows_per_bucket, n)
     return s.select(
         "user_id", "recency_days", "frequency_orders",
         F.col("monetary_rub").cast("double").alias("monetary_rub"),

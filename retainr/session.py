@@ -54,18 +54,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, label: str = "stage"):
+def materialize(df, label: str = "stage", observe: dict | None = None):
     """Cut the lineage of ``df`` by writing it as Parquet under the shared checkpoint folder and
     reading it back.
 
     One job (``Dataset.checkpoint`` would compute the plan twice unless persisted), a columnar
     file with statistics for AQE, and a result that survives executor loss.  The folder comes
     from the session's ``spark.checkpoint.dir``; it is only set locally when unset (tests).
+
+    ``observe`` maps names to aggregate Columns computed during the same write (e.g. the row
+    count); when given, ``(df, {name: value})`` is returned.
     """
     import uuid
 
+    from pyspark.sql import Observation
+
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/retainr-materialized/{label}-{uuid.uuid4().hex}"
+    obs = None
+    if observe:
+        obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
+        df = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    if obs is None:
+        return out
+    return out, dict(obs.get)

@@ -1,9 +1,9 @@
 """Driver tables -> canonical star schema (FIXTURES.md part A).
 
 The driver ships TPC-H-like tables; the analyses run on the eight canonical tables of the
-retention schema.  This module derives them lazily with column expressions only, so every
-canonical table is a projection (plus joins to the bounded geography dimension) of a Parquet
-scan and Catalyst prunes whatever a query does not read.
+retention schema.  The mapping is column expressions only: every canonical table is a
+projection (plus joins to the bounded geography dimension) of a Parquet scan.  By default each
+mapped table is stored once per session (see ``CanonicalTables``).
 
 Scale notes
 * nation (25 rows by TPC-H definition) x region (5 rows) is broadcast: its size is fixed.
@@ -258,11 +258,27 @@ def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-class CanonicalTables(Mapping):
-    """The eight canonical tables as lazy DataFrames over the driver's Parquet files.
+# Physical layout of the stored canonical tables: range-partition keys (also the sort order
+# inside each file).  Range partitioning on (key, time) keeps files balanced even when one user
+# owns a large share of the rows, and clusters each user's rows for min/max skipping.
+STORE_LAYOUT = {
+    "fact_orders": ["user_id", "order_ts"],
+    "fact_app_sessions": ["user_id", "session_start_ts"],
+    "fact_ab_test_assignments": ["user_id", "assigned_at"],
+    "fact_order_items": ["order_id", "order_item_id"],
+    "dim_users": ["user_id"],
+}
+
 
-    A table's plan is built on first access only, so a query touching ``fact_orders`` never
-    resolves the other files.  The plans hold no data: every action re-reads Parquet.
+class CanonicalTables(Mapping):
+    """The eight canonical tables over the driver's Parquet files.
+
+    A table is built on first access only, so a query touching ``fact_orders`` never resolves
+    the other files.  With ``store=True`` (default) the mapped table is written once per session
+    as Parquet under the shared checkpoint folder, laid out by ``STORE_LAYOUT`` over
+    ``spark.sql.shuffle.partitions`` files, and read back: like loading the raw files into the
+    relational tables once, after which every query scans real columns (filter pushdown, column
+    pruning, one task per file) instead of re-deriving the mapping in its plan.
     """
 
     _builders = {
@@ -276,15 +292,34 @@ class CanonicalTables(Mapping):
         "fact_ab_test_assignments": lambda self: map_assignments(self._raw),
     }
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._raw = read_driver_tables(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
+        self._spark, self._raw, self._store = spark, read_driver_tables(spark, sf_dir), store
         self._built: dict[str, DataFrame] = {}
+        self._folder: str | None = None
+
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        import uuid
+
+        from retainr.session import ensure_checkpoint_dir
+
+        if self._folder is None:
+            base = ensure_checkpoint_dir(self._spark).rstrip("/")
+            self._folder = f"{base}/retainr-canonical/{uuid.uuid4().hex}"
+        keys = STORE_LAYOUT.get(name)
+        out = df
+        if keys:
+            parts = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+            out = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        path = f"{self._folder}/{name}"
+        out.write.mode("overwrite").parquet(path)
+        return self._spark.read.parquet(path)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             if name not in self._builders:
                 raise KeyError(name)
-            self._built[name] = self._builders[name](self)
+            df = self._builders[name](self)
+            self._built[name] = self._stored(name, df) if self._store else df
         return self._built[name]
 
     def __iter__(self):
@@ -294,14 +329,14 @@ class CanonicalTables(Mapping):
         return len(CANONICAL_TABLES)
 
 
-_PLANS: dict[tuple[int, str], CanonicalTables] = {}
+_PLANS: dict[tuple[int, str, bool], CanonicalTables] = {}
 
 
-def canonical_tables(spark: SparkSession, sf_dir: str) -> CanonicalTables:
-    """Lazy canonical tables for ``sf_dir``; plan definitions are reused per session."""
-    key = (id(spark), sf_dir)
+def canonical_tables(spark: SparkSession, sf_dir: str, store: bool = True) -> CanonicalTables:
+    """Canonical tables for ``sf_dir`` (stored once per session unless ``store=False``)."""
+    key = (id(spark), sf_dir, store)
     if key not in _PLANS:
-        _PLANS[key] = CanonicalTables(spark, sf_dir)
+        _PLANS[key] = CanonicalTables(spark, sf_dir, store)
     return _PLANS[key]
 
 

@@ -65,3 +65,17 @@ def test_running_sum(spark):
     df = spark.range(1, 3001).select(F.col("id").alias("k"), (F.col("id") % 7).alias("w"))
     got = running_sum(df, ["k"], "k", "w", "cum", rows_per_bucket=250).orderBy("k").toPandas()
     assert got["cum"].tolist() == got["w"].cumsum().tolist()
+
+
+def test_several_orders_share_one_pass(spark):
+    from retainr.operators.ranking import global_ranks
+
+    df = _data(spark, 3000).withColumn("m2", (F.col("user_id") * 7) % 101)
+    ranked, n = global_ranks(df, {"ra": ["m"], "rb": ["m2"], "rc": ["m", "m2"]}, "user_id",
+                             rows_per_bucket=200)
+    ref = (df.withColumn("xa", F.row_number().over(Window.orderBy("m", "user_id")))
+             .withColumn("xb", F.row_number().over(Window.orderBy("m2", "user_id")))
+             .withColumn("xc", F.row_number().over(Window.orderBy("m", "m2", "user_id"))))
+    j = ranked.join(ref, ["user_id", "m", "m2"])
+    bad = j.where((F.col("ra") != F.col("xa")) | (F.col("rb") != F.col("xb")) | (F.col("rc") != F.col("xc")))
+    assert n == 3000 and bad.count() == 0
