@@ -149,26 +149,22 @@ def user_features(users: DataFrame, orders: DataFrame, sessions: DataFrame,
 
 def category_values(features: DataFrame, columns=CATEGORICAL_COLUMNS,
                     max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Distinct values of low-cardinality columns, in two small jobs: a bounded-memory
-    cardinality estimate per column (error above the cap, so an id-like column never explodes
-    into columns or into one task), then one distributed ``distinct`` over all columns of which
-    at most ``len(columns) x cap`` (column, value) pairs reach the driver."""
-    vals = {c: F.coalesce(F.col(c), F.lit("unknown")) for c in columns}
-    est = features.agg(*[F.approx_count_distinct(v, 0.01).alias(c) for c, v in vals.items()]).first()
-    too_many = [c for c in columns if est[c] > max_categories * 1.05]
+    """Distinct values of low-cardinality columns.  All columns' (column, value) pairs are
+    de-duplicated in one distributed ``distinct``; a first small job counts the values per
+    column (error above the cap, so an id-like column never explodes into columns), the second
+    brings the at most ``len(columns) x cap`` pairs to the driver."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), F.lit("unknown")).alias("v"))
+        for c in columns]))
+    distinct = features.select(pairs.alias("p")).select("p.c", "p.v").distinct()
+    counts = dict(distinct.groupBy("c").count().collect())
+    too_many = [c for c in columns if counts.get(c, 0) > max_categories]
     if too_many:
         raise ValueError(f"columns {too_many} have more than {max_categories} distinct values")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), v.alias("v")) for c, v in vals.items()]))
-    rows = (features.select(pairs.alias("p")).select("p.c", "p.v").distinct()
-            .limit(len(columns) * (max_categories + 1)).collect())
     out = {c: [] for c in columns}
-    for r in rows:
+    for r in distinct.collect():
         out[r["c"]].append(r["v"])
-    for c, v in out.items():
-        if len(v) > max_categories:
-            raise ValueError(f"column {c!r} has more than {max_categories} distinct values")
-        out[c] = sorted(v)
-    return out
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def modeling_dataset(features: DataFrame, eligible_only: bool = True,
