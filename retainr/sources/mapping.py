@@ -14,6 +14,7 @@ Scale notes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -261,6 +262,7 @@ def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
 # Physical layout of the stored canonical tables: range-partition keys (also the sort order
 # inside each file).  Range partitioning on (key, time) keeps files balanced even when one user
 # owns a large share of the rows, and clusters each user's rows for min/max skipping.
+ROWS_PER_FILE = 10_000_000
 STORE_LAYOUT = {
     "fact_orders": ["user_id", "order_ts"],
     "fact_app_sessions": ["user_id", "session_start_ts"],
@@ -276,7 +278,7 @@ class CanonicalTables(Mapping):
     A table is built on first access only, so a query touching ``fact_orders`` never resolves
     the other files.  With ``store=True`` (default) the mapped table is written once per session
     as Parquet under the shared checkpoint folder, laid out by ``STORE_LAYOUT`` over
-    ``spark.sql.shuffle.partitions`` files, and read back: like loading the raw files into the
+    max(cores, rows / ``ROWS_PER_FILE``) files, and read back: like loading the raw files into the
     relational tables once, after which every query scans real columns (filter pushdown, column
     pruning, one task per file) instead of re-deriving the mapping in its plan.
     """
@@ -308,7 +310,10 @@ class CanonicalTables(Mapping):
         keys = STORE_LAYOUT.get(name)
         out = df
         if keys:
-            parts = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+            # files sized by rows: at least one per core, at most ROWS_PER_FILE rows each
+            rows = df.count()
+            parts = max(1, min(self._spark.sparkContext.defaultParallelism, rows),
+                        math.ceil(rows / ROWS_PER_FILE))
             out = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
         path = f"{self._folder}/{name}"
         out.write.mode("overwrite").parquet(path)
