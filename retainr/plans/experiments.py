@@ -4,10 +4,10 @@
 order in ``[assigned_at, assigned_at + days)`` (trap T23: half-open).
 
 Scale notes: orders are first cut to the test's time span (first assignment .. last
-assignment + 7 days, two scalar subqueries), then (delivered, two columns) inner-joined to the
-exposures on ``user_id`` with the time range as a residual condition.  Orders are the streamed side of an *inner* join, which AQE's skew handling can
-split when one user owns a large share of them; the per-exposure flag is then a distinct on
-(user, variant) and a left join of one-row-per-user relations.  Control and treatment are put
+assignment + 7 days, two scalar subqueries) and reduced to one row per (user, day) with the
+day's first and last order time, so a user owning a large share of the orders reaches the join
+as at most one row per day; the window test is exact on those day rows.  The per-exposure
+flag is then a distinct on (user, variant) and a left join of one-row-per-user relations.  Control and treatment are put
 side by side by one conditional aggregate (no join).
 """
 
@@ -39,14 +39,26 @@ def conversions(assignments: DataFrame, orders: DataFrame, test_id: str = TEST_I
     # the order side before it is shuffled (a test lasts weeks, the order history years).
     lo = exp.select(F.min("assigned_at")).scalar()
     hi = exp.select(F.max("assigned_at")).scalar()
-    o = (delivered(orders)
-         .where((F.col("order_ts") >= lo)
-                & (F.col("order_ts") < F.timestamp_add("DAY", F.lit(days), hi)))
-         .select(F.col("user_id").alias("o_user"), "order_ts"))
+    # One row per (user, day) with the day's first and last order time: partial aggregation
+    # collapses a very active user to at most one row per day of the test span before the join.
+    user_days = (
+        delivered(orders)
+        .where((F.col("order_ts") >= lo) & (F.col("order_ts") < F.timestamp_add("DAY", F.lit(days), hi)))
+        .groupBy(F.col("user_id").alias("o_user"), F.to_date("order_ts").alias("d"))
+        .agg(F.min("order_ts").alias("min_ts"), F.max("order_ts").alias("max_ts"))
+    )
+    end = F.timestamp_add("DAY", F.lit(days), F.col("assigned_at"))
+    first_day, last_day = F.to_date("assigned_at"), F.to_date(end)
+    # [a, a + days) on day d: first day needs an order at/after a, last day one before the end,
+    # days in between any order.
+    hit_cond = (
+        (F.col("o_user") == F.col("user_id"))
+        & F.col("d").between(first_day, last_day)
+        & ((F.col("d") > first_day) | (F.col("max_ts") >= F.col("assigned_at")))
+        & ((F.col("d") < last_day) | (F.col("min_ts") < end))
+    )
     hit = (
-        o.join(exp, (F.col("o_user") == F.col("user_id"))
-               & (F.col("order_ts") >= F.col("assigned_at"))
-               & (F.col("order_ts") < F.timestamp_add("DAY", F.lit(days), F.col("assigned_at"))))
+        user_days.join(exp, hit_cond)
         .select("user_id", "variant").distinct()
         .withColumn("converted", F.lit(1))
     )

@@ -6,7 +6,7 @@ projection (plus joins to the bounded geography dimension) of a Parquet scan.  B
 mapped table is stored once per session (see ``CanonicalTables``).
 
 Scale notes
-* nation (25 rows by TPC-H definition) x region (5 rows) is broadcast: its size is fixed.
+* nation (25 rows by TPC-H definition) x region (5 rows) is broadcast after a size check.
 * sessions look up ``city`` / ``device_os`` on ``dim_users``; both sides grow with the data, so
   that is a regular equi-join that AQE may turn into a broadcast once it has measured sizes.
 * Orders and events are mapped row by row (narrow), no shuffle.
@@ -84,12 +84,17 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     return _LazyReads(spark, sf_dir)
 
 
+GEO_BROADCAST_MAX_ROWS = 10_000
+
+
 def _geo(raw: dict[str, DataFrame]) -> DataFrame:
+    """nation x region (25 x 5 rows by TPC-H definition); broadcast after a size check."""
+    from retainr.operators.joins import fits_broadcast
+
     nation, region = raw["nation"], raw["region"]
-    return F.broadcast(
-        nation.join(region, nation.n_regionkey == region.r_regionkey)
-        .select("n_nationkey", F.col("r_name").alias("geo_city"))
-    )
+    geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+           .select("n_nationkey", F.col("r_name").alias("geo_city")))
+    return F.broadcast(geo) if fits_broadcast(geo, GEO_BROADCAST_MAX_ROWS) else geo
 
 
 def map_users(raw: dict[str, DataFrame]) -> DataFrame:

@@ -128,3 +128,18 @@ def test_features_do_not_leak_future_rows(spark):
     f_before = base.where("user_id = 1").first()["future_orders_cnt"]
     f_after = changed.where("user_id = 1").first()["future_orders_cnt"]
     assert f_after == f_before + 1
+
+
+def test_conversion_window_day_boundaries(spark):
+    a = assignments(spark, [dict(user_id=u, variant="control", assigned_at="2025-01-01 10:00:00")
+                            for u in range(1, 6)])
+    o = orders(spark, [
+        dict(order_id=1, user_id=1, order_ts="2025-01-01 09:59:59"),   # same day, before: out
+        dict(order_id=2, user_id=2, order_ts="2025-01-01 09:00:00"),   # same day, before ...
+        dict(order_id=3, user_id=2, order_ts="2025-01-01 11:00:00"),   # ... and after: in
+        dict(order_id=4, user_id=3, order_ts="2025-01-08 09:59:59"),   # last second: in
+        dict(order_id=5, user_id=4, order_ts="2025-01-08 10:00:00"),   # end, excluded: out
+        dict(order_id=6, user_id=5, order_ts="2025-01-04 00:00:00"),   # a middle day: in
+    ])
+    got = {r["user_id"]: r["converted"] for r in experiments.conversions(a, o).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
