@@ -100,7 +100,7 @@ def active_campaigns(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     qualifies = F.col("basket_value_rub") >= F.col("min_basket_rub")
     return j.select(
         "order_id", "order_date", "campaign_id",
-        qualifies.cast("int").alias("qualifies"),
+        F.coalesce(qualifies, F.lit(False)).cast("int").alias("qualifies"),
         F.when(qualifies, F.round(F.col("basket_value_rub") * F.col("discount_pct") / 100, 2))
         .otherwise(F.lit(0)).cast("double").alias("potential_discount_rub"),
     )

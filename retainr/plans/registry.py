@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from retainr.plans import churn, cohorts, experiments, features, kpis, quality, rfm
 
@@ -24,7 +25,10 @@ def _scores(t: Tables) -> DataFrame:
 
 
 def _churn_metrics(t: Tables) -> DataFrame:
-    return churn.classification_metrics(_scores(t))  # at the best balanced-accuracy threshold
+    # at the best balanced-accuracy threshold; AUC and AP to 10 decimals (sums of doubles in a
+    # different order differ in the last bits)
+    m = churn.classification_metrics(_scores(t))
+    return m.withColumns({c: F.round(c, 10) for c in ("roc_auc", "pr_auc")})
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {

@@ -35,3 +35,15 @@ def test_entry_runs(spark):
     assert df.columns == ["cohort_month", "users_base", "repeat_users_30d",
                           "repeat_order_rate_30d_pct"]
     assert df.count() > 0
+
+
+def test_date_outputs_listed(spark):
+    from retainr.plans.registry import QUERIES
+    from retainr.sources.mapping import canonical_tables
+
+    t = canonical_tables(spark, SF_SMALL)
+    found = {n: [f.name for f in fn(t).schema.fields if f.dataType.typeName() == "date"]
+             for n, fn in QUERIES.items()}
+    assert {n: c for n, c in found.items() if c} == E.DATE_OUTPUTS
+    for name, fn in E.queries().items():
+        assert all(f.dataType.typeName() != "date" for f in fn(spark, SF_SMALL).schema.fields), name
