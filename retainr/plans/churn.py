@@ -124,6 +124,14 @@ def score(model: PipelineModel, df: DataFrame, out_col: str = SCORE) -> DataFram
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
+def minmax_scores(df: DataFrame, col: str, out_col: str = SCORE) -> DataFrame:
+    """M4 fallback for models without probabilities: (x - min) / max(max - min, 1e-9), with the
+    extremes as scalar subqueries."""
+    lo = df.select(F.min(col).cast("double")).scalar()
+    hi = df.select(F.max(col).cast("double")).scalar()
+    return df.withColumn(out_col, (F.col(col).cast("double") - lo) / F.greatest(hi - lo, F.lit(1e-9)))
+
+
 # ---------------------------------------------------------------- M5 / M6 threshold and metrics
 
 def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,

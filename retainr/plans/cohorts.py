@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retainr.functions.dates import month_label, month_start, plus_days, year_month
-from retainr.functions.numeric import round_double, safe_ratio, pct_text, thousands_text
+from retainr.functions.numeric import round_double, thousands_text
 from retainr.plans.common import max_delivered_ts, user_days
 
 MILESTONE_DAYS = (1, 7, 14, 30, 60)
@@ -174,4 +174,4 @@ def repeat_rate_30d_summary(orders: DataFrame, window_days: int = 30) -> DataFra
 
 __all__ = ["cohort_retention_daily", "cohort_milestone_pivot", "repeat_rate_30d_by_month",
            "repeat_rate_by_window", "repeat_rate_30d_by_month_calendar",
-           "repeat_rate_30d_summary", "safe_ratio", "pct_text"]
+           "repeat_rate_30d_summary"]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retainr.functions.numeric import round_money, round_ratio
+from retainr.functions.numeric import round_ratio
 from retainr.plans.common import delivered
 
 TEST_ID = "free_delivery_banner_v1"
@@ -155,4 +155,4 @@ def ab_business_impact(assignments: DataFrame, orders: DataFrame, test_id: str =
 
 
 __all__ = ["conversions", "ab_sample_ratio", "ab_conversion_7d", "ab_ztest",
-           "ab_business_impact", "round_money"]
+           "ab_business_impact"]

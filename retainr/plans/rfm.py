@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from retainr.session import materialize
 
-from retainr.functions.numeric import avg_round, round_money, round_ratio
+from retainr.functions.numeric import avg_round
 from retainr.operators.ranking import (ROWS_PER_BUCKET, global_ranks, ntile_of_rank,
                                        quantile_bin_of_rank)
 from retainr.plans.common import delivered, max_delivered_date, revenue
@@ -194,4 +194,4 @@ def rfm_segments_calendar_summary(orders: DataFrame, checkpoint: bool = True,
 
 
 __all__ = ["user_rfm_metrics", "rfm_user_ltv", "rfm_segment_summary", "rfm_segments_calendar",
-           "rfm_segments_calendar_summary", "round_money", "round_ratio"]
+           "rfm_segments_calendar_summary"]

@@ -70,14 +70,22 @@ def materialize(df, label: str = "stage", observe: dict | None = None):
     from pyspark.sql import Observation
 
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/retainr-materialized/{label}-{uuid.uuid4().hex}"
-    obs = None
-    if observe:
-        obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
-        df = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
-    df.write.mode("error").parquet(path)
-    out = spark.read.parquet(path)
-    if obs is None:
-        return out
-    return out, dict(obs.get)
+    try:
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        path = f"{base}/retainr-materialized/{label}-{uuid.uuid4().hex}"
+        obs = None
+        source = df
+        if observe:
+            obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
+            source = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
+        source.write.mode("error").parquet(path)
+        out = spark.read.parquet(path)
+        return out if obs is None else (out, dict(obs.get))
+    except Exception as exc:  # unwritable folder: keep the lineage, results are the same
+        import warnings
+
+        warnings.warn(f"materialize({label}) fell back to the lazy plan: {exc}")
+        if not observe:
+            return df
+        row = df.agg(*[c.alias(k) for k, c in observe.items()]).first()
+        return df, row.asDict()

@@ -329,7 +329,14 @@ class CanonicalTables(Mapping):
             if name not in self._builders:
                 raise KeyError(name)
             df = self._builders[name](self)
-            self._built[name] = self._stored(name, df) if self._store else df
+            if self._store:
+                try:
+                    df = self._stored(name, df)
+                except Exception as exc:  # unwritable folder: the lazy mapping gives the same rows
+                    import warnings
+
+                    warnings.warn(f"storing {name} failed, using the lazy mapping: {exc}")
+            self._built[name] = df
         return self._built[name]
 
     def __iter__(self):
