@@ -54,6 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The configured shared folder (``spark.checkpoint.dir``) itself, for data meant to outlive
+    one SparkContext; ``getCheckpointDir()`` adds a per-context subfolder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured if configured else ensure_checkpoint_dir(spark)
+
+
 def materialize(df, label: str = "stage", observe: dict | None = None):
     """Cut the lineage of ``df`` by writing it as Parquet under the shared checkpoint folder and
     reading it back.

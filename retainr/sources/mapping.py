@@ -281,11 +281,13 @@ class CanonicalTables(Mapping):
     """The eight canonical tables over the driver's Parquet files.
 
     A table is built on first access only, so a query touching ``fact_orders`` never resolves
-    the other files.  With ``store=True`` (default) the mapped table is written once per session
-    as Parquet under the shared checkpoint folder, laid out by ``STORE_LAYOUT`` over
-    max(cores, rows / ``ROWS_PER_FILE``) files, and read back: like loading the raw files into the
-    relational tables once, after which every query scans real columns (filter pushdown, column
-    pruning, one task per file) instead of re-deriving the mapping in its plan.
+    the other files.  With ``store=True`` (default) the mapped table is written as Parquet under
+    the shared checkpoint folder, laid out by ``STORE_LAYOUT`` over max(cores, rows /
+    ``ROWS_PER_FILE``) files, and read back: like loading the raw files into the relational
+    tables once, after which every query scans real columns (filter pushdown, column pruning,
+    one task per file) instead of re-deriving the mapping in its plan.  The copy is keyed by a
+    fingerprint of the input files (name, size, mtime) and reused by later sessions while the
+    inputs are unchanged; a changed input gives a new key, hence a fresh copy.
     """
 
     _builders = {
@@ -301,17 +303,42 @@ class CanonicalTables(Mapping):
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
         self._spark, self._raw, self._store = spark, read_driver_tables(spark, sf_dir), store
+        self._dir = sf_dir
         self._built: dict[str, DataFrame] = {}
         self._folder: str | None = None
 
+    def _fingerprint(self) -> str | None:
+        """Hash of the driver files' (name, size, mtime); None when they are not local files
+        (then nothing is reused across sessions)."""
+        import hashlib
+        import os
+
+        parts = []
+        for t in DRIVER_TABLES:
+            path = f"{_local(self._dir)}/{t}.parquet"
+            if not os.path.exists(path):
+                return None
+            st = os.stat(path)
+            parts.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
+        return hashlib.sha256("|".join(parts).encode()).hexdigest()[:24]
+
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        import os
         import uuid
 
-        from retainr.session import ensure_checkpoint_dir
+        from retainr import session
 
         if self._folder is None:
-            base = ensure_checkpoint_dir(self._spark).rstrip("/")
-            self._folder = f"{base}/retainr-canonical/{uuid.uuid4().hex}"
+            base = session.shared_root(self._spark).rstrip("/")
+            key = self._fingerprint() or uuid.uuid4().hex
+            self._folder = f"{base}/retainr-canonical/{key}"
+        root = f"{self._folder}/{name}"
+        local_root = _local(root)
+        if local_root is not None and os.path.isdir(local_root):
+            # a complete copy from an earlier session over the same input files
+            for sub in sorted(os.listdir(local_root)):
+                if os.path.exists(f"{local_root}/{sub}/_SUCCESS"):
+                    return self._spark.read.parquet(f"{root}/{sub}")
         keys = STORE_LAYOUT.get(name)
         out = df
         if keys:
@@ -320,8 +347,8 @@ class CanonicalTables(Mapping):
             parts = max(1, min(self._spark.sparkContext.defaultParallelism, rows),
                         math.ceil(rows / ROWS_PER_FILE))
             out = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-        path = f"{self._folder}/{name}"
-        out.write.mode("overwrite").parquet(path)
+        path = f"{root}/{uuid.uuid4().hex}"  # own folder per writer: concurrent sessions never clash
+        out.write.mode("error").parquet(path)
         return self._spark.read.parquet(path)
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -346,6 +373,15 @@ class CanonicalTables(Mapping):
         return len(CANONICAL_TABLES)
 
 
+def _local(path: str) -> str | None:
+    """Local filesystem path for ``path`` (plain or ``file:``), None for other schemes."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        return None
+    return path
+
+
 _PLANS: dict[tuple[int, str, bool], CanonicalTables] = {}
 
 

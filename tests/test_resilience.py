@@ -11,6 +11,7 @@ from tests.conftest import SF_SMALL
 
 def test_unwritable_folder_falls_back(spark, monkeypatch):
     monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: "/proc/retainr-not-writable")
+    monkeypatch.setattr(session, "shared_root", lambda s: "/proc/retainr-not-writable")
     t = CanonicalTables(spark, SF_SMALL, store=True)
     with pytest.warns(UserWarning):
         orders = t["fact_orders"]
@@ -26,3 +27,9 @@ def test_minmax_scores(spark):
     df = spark.createDataFrame([(1, -2.0), (2, 0.0), (3, 6.0)], "user_id long, raw double")
     got = [r[0] for r in churn.minmax_scores(df, "raw").orderBy("user_id").select("churn_proba").collect()]
     assert got == [0.0, 0.25, 1.0]
+
+
+def test_stored_copy_is_reused_across_sessions_of_same_input(spark):
+    a = CanonicalTables(spark, SF_SMALL)["fact_orders"]
+    b = CanonicalTables(spark, SF_SMALL)["fact_orders"]  # a new instance, as in a new session
+    assert a.inputFiles() == b.inputFiles()
