@@ -338,7 +338,7 @@ class CanonicalTables(Mapping):
             # a complete copy from an earlier session over the same input files
             for sub in sorted(os.listdir(local_root)):
                 if os.path.exists(f"{local_root}/{sub}/_SUCCESS"):
-                    return self._spark.read.parquet(f"{root}/{sub}")
+                    return self._spark.read.schema(df.schema).parquet(f"{root}/{sub}")
         keys = STORE_LAYOUT.get(name)
         out = df
         if keys:
@@ -349,7 +349,7 @@ class CanonicalTables(Mapping):
             out = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
         path = f"{root}/{uuid.uuid4().hex}"  # own folder per writer: concurrent sessions never clash
         out.write.mode("error").parquet(path)
-        return self._spark.read.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)  # schema known: no footer job
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
