@@ -95,3 +95,16 @@ def test_streaming_ingest_is_incremental(spark, scratch):
     back = spark.read.parquet(target)
     assert sorted(r[0] for r in back.select("order_id").collect()) == [1, 2, 3]
     assert back.where("order_id = 3").first()["order_ts"].microsecond == 0
+
+
+def test_adhoc_csv_with_timestamp_columns(spark, scratch):
+    from pyspark.sql import types as T
+
+    path = os.path.join(scratch, "adhoc.csv")
+    _write(path, ["id,seen_at,label", "1,2025-02-03 04:05:06.789,a", "2,,b"])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("seen_at", T.StringType()),
+                           T.StructField("label", T.StringType())])
+    df = tables.load_table(spark, "adhoc", path, schema=schema, timestamp_cols=["seen_at"])
+    assert dict(df.dtypes)["seen_at"] == "timestamp_ntz"
+    rows = {r["id"]: r for r in df.collect()}
+    assert str(rows[1]["seen_at"]) == "2025-02-03 04:05:06" and rows[2]["seen_at"] is None
