@@ -66,24 +66,27 @@ def cohort_milestone_pivot(orders: DataFrame, days=MILESTONE_DAYS) -> DataFrame:
     return ud.groupBy("cohort_date").agg(*cols).orderBy("cohort_date")
 
 
-def _per_user_repeat(orders: DataFrame) -> DataFrame:
+def _per_user_repeat(orders: DataFrame, window_days: int = 30) -> DataFrame:
     """Per user: first delivered order and the repeat flags of Q03 and Q17/Q18.
 
-    * ``interval_repeat_30d`` (Q03): another delivered order in ``(first, first + 30 days]``.
-      Same day: a later timestamp exists; days 1..29: always inside; day 30: the earliest order
-      of that day is not after ``first + 30 days``.
+    * ``interval_repeat`` (Q03): another delivered order in ``(first, first + w days]``.
+      Same day: a later timestamp exists; days 1..w-1: always inside; day w: the earliest order
+      of that day is not after ``first + w days``; later days never are.
     * ``min_repeat_day`` (Q17/Q18): smallest calendar-day gap >= 1 to a later order.
     """
+    if window_days < 1:
+        raise ValueError("window_days must be at least 1")
     ud = user_days(orders)
     day = F.col("cohort_day")
     in_interval = (
         ((day == 0) & (F.col("day_max_ts") > F.col("first_order_ts")))
-        | day.between(1, 29)
-        | ((day == 30) & (F.col("day_min_ts") <= plus_days("first_order_ts", 30)))
+        | day.between(1, window_days - 1)
+        | ((day == window_days)
+           & (F.col("day_min_ts") <= plus_days("first_order_ts", window_days)))
     )
     return ud.groupBy("user_id").agg(
         F.min("first_order_ts").alias("first_order_ts"),
-        F.max(in_interval.cast("int")).alias("interval_repeat_30d"),
+        F.max(in_interval.cast("int")).alias("interval_repeat"),
         F.min(F.when(day >= 1, day)).alias("min_repeat_day"),
     )
 
@@ -92,15 +95,13 @@ def repeat_rate_30d_by_month(orders: DataFrame, window_days: int = 30) -> DataFr
     """Q03 (main product metric): share of users with a repeat delivered order within
     ``(first, first + 30 days]``, by month of the first order; only users whose first order
     is at least 30 days before the last delivered order."""
-    if window_days != 30:
-        raise ValueError("the interval flag is precomputed for 30 days")
     anchor = max_delivered_ts(orders)
     users = (
-        _per_user_repeat(orders)
+        _per_user_repeat(orders, window_days)
         .where(F.col("first_order_ts") <= plus_days(anchor, -window_days))
     )
     base = F.count(F.lit(1))
-    rep = F.sum("interval_repeat_30d").cast("long")
+    rep = F.sum("interval_repeat").cast("long")
     return (
         users.groupBy(year_month("first_order_ts").alias("cohort_month"))
         .agg(base.alias("users_base"), rep.alias("repeat_users_30d"))

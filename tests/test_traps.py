@@ -143,3 +143,15 @@ def test_conversion_window_day_boundaries(spark):
     ])
     got = {r["user_id"]: r["converted"] for r in experiments.conversions(a, o).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
+def test_interval_repeat_other_windows(spark):
+    o = _repeat_orders(spark)
+    # 7-day window: the same five January users are eligible (F's first order is the anchor
+    # itself); a repeat within (first, first + 7 d] exists only for A (same day).
+    got = {r["cohort_month"]: (r["users_base"], r["repeat_users_30d"])
+           for r in cohorts.repeat_rate_30d_by_month(o, window_days=7).collect()}
+    assert got == {"2025-01": (5, 1)}
+    got1 = {r["cohort_month"]: r["repeat_users_30d"]
+            for r in cohorts.repeat_rate_30d_by_month(o, window_days=1).collect()}
+    assert got1 == {"2025-01": 1}
