@@ -286,8 +286,8 @@ class CanonicalTables(Mapping):
     ``ROWS_PER_FILE``) files, and read back: like loading the raw files into the relational
     tables once, after which every query scans real columns (filter pushdown, column pruning,
     one task per file) instead of re-deriving the mapping in its plan.  The copy is keyed by a
-    fingerprint of the input files (name, size, mtime) and reused by later sessions while the
-    inputs are unchanged; a changed input gives a new key, hence a fresh copy.
+    fingerprint of the mapping code and the input files (name, size, mtime) and reused by later
+    sessions while both are unchanged; any change gives a new key, hence a fresh copy.
     """
 
     _builders = {
@@ -308,12 +308,13 @@ class CanonicalTables(Mapping):
         self._folder: str | None = None
 
     def _fingerprint(self) -> str | None:
-        """Hash of the driver files' (name, size, mtime); None when they are not local files
-        (then nothing is reused across sessions)."""
+        """Hash of this module's source and the driver files' (name, size, mtime); None when the
+        files are not local (then nothing is reused across sessions)."""
         import hashlib
         import os
 
-        parts = []
+        with open(__file__, "rb") as fh:  # a changed mapping must never reuse an old copy
+            parts = [hashlib.sha256(fh.read()).hexdigest()]
         for t in DRIVER_TABLES:
             path = f"{_local(self._dir)}/{t}.parquet"
             if not os.path.exists(path):
