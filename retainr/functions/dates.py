@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 
 def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return col(x) if isinstance(x, str) else x
 
 
 def day_of(ts) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 BROADCAST_MAX_ROWS = 100_000
 
 
@@ -25,7 +27,7 @@ def date_range_join(left: DataFrame, date_col: str, right: DataFrame, start_col:
     loop).  The exploded side is broadcast when its checked size is small, else both sides are
     shuffled on the date and AQE splits a skewed day.
     """
-    days = right.withColumn("__day", F.explode(F.sequence(F.col(start_col), F.col(end_col))))
+    days = right.withColumn("__day", F.explode(F.sequence(col(start_col), col(end_col))))
     if fits_broadcast(days, max_broadcast_rows):
         days = F.broadcast(days)
     return left.join(days, left[date_col] == days["__day"], how).drop("__day")

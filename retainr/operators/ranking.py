@@ -26,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 64
 MAX_BUCKETS = 20_000
@@ -42,7 +44,7 @@ def _range_index(df: DataFrame, cols: list[str], splits: list[tuple]) -> Column:
         return F.lit(0)
     types = {f.name: f.dataType for f in df.schema.fields}
     names = [f"k{i}" for i in range(len(cols))]
-    row = F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names)])
+    row = F.struct(*[col(c).alias(n) for c, n in zip(cols, names)])
     arr = F.array(*[
         F.struct(*[_literal(v, types[c]).alias(n) for v, c, n in zip(tup, cols, names)])
         for tup in splits])
@@ -96,7 +98,7 @@ def _offsets(bucketed: DataFrame, splits: dict[str, list[tuple]],
     multi = [out for out, sp in splits.items() if sp]
     if multi:
         pairs = F.explode(F.array(*[
-            F.struct(F.lit(out).alias("o"), F.col(f"__b_{out}").alias("b")) for out in multi]))
+            F.struct(F.lit(out).alias("o"), col(f"__b_{out}").alias("b")) for out in multi]))
         exploded = bucketed.select(pairs.alias("p"), *[m.alias(f"__m_{k}") for k, m in measures.items()])
         agg = exploded.groupBy("p.o", "p.b").agg(*[F.sum(f"__m_{k}").alias(k) for k in measures])
         for r in agg.collect():
@@ -130,9 +132,9 @@ def global_ranks(df: DataFrame, orders: dict[str, list[str]], tie: str,
     offs = _offsets(bucketed, splits, {"rows": F.lit(1)})
     out = bucketed
     for o, cols in full.items():
-        w = Window.partitionBy(f"__b_{o}").orderBy(*[F.col(c).asc() for c in cols])
+        w = Window.partitionBy(f"__b_{o}").orderBy(*[col(c).asc() for c in cols])
         arr = F.array(*[F.lit(v).cast("long") for v in offs[(o, "rows")]])
-        out = out.withColumn(o, F.element_at(arr, F.col(f"__b_{o}") + 1) + F.row_number().over(w))
+        out = out.withColumn(o, F.element_at(arr, col(f"__b_{o}") + 1) + F.row_number().over(w))
     return out.drop(*[f"__b_{o}" for o in full]), n
 
 
@@ -145,13 +147,13 @@ def running_sums(df: DataFrame, keys: list[str], tie: str, weights: dict[str, st
     n = df.count() if n_rows is None else n_rows
     splits = _plan_ranges(df, {"s": cols}, n, rows_per_bucket, seed)
     bucketed = df.withColumn("__b_s", _range_index(df, cols, splits["s"]))
-    offs = _offsets(bucketed, splits, {o: F.col(w).cast("long") for o, w in weights.items()})
-    w = (Window.partitionBy("__b_s").orderBy(*[F.col(c).asc() for c in cols])
+    offs = _offsets(bucketed, splits, {o: col(w).cast("long") for o, w in weights.items()})
+    w = (Window.partitionBy("__b_s").orderBy(*[col(c).asc() for c in cols])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = bucketed
     for o, wc in weights.items():
         arr = F.array(*[F.lit(v).cast("long") for v in offs[("s", o)]])
-        out = out.withColumn(o, F.element_at(arr, F.col("__b_s") + 1) + F.sum(F.col(wc).cast("long")).over(w))
+        out = out.withColumn(o, F.element_at(arr, col("__b_s") + 1) + F.sum(col(wc).cast("long")).over(w))
     return out.drop("__b_s")
 
 
@@ -191,11 +193,11 @@ def global_ntile(df: DataFrame, key: str, tie: str, k: int, out_col: str,
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``NTILE(k) OVER (ORDER BY key, tie)`` as ``out_col``."""
     ranked, n = global_rank(df, [key], tie, "__rank", rows_per_bucket)
-    return ranked.withColumn(out_col, ntile_of_rank(F.col("__rank"), n, k)).drop("__rank")
+    return ranked.withColumn(out_col, ntile_of_rank(col("__rank"), n, k)).drop("__rank")
 
 
 def quantile_bins(df: DataFrame, key: str, tie: str, k: int, out_col: str,
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``qcut(key.rank(method='first'), k)`` as integer bins 1..k."""
     ranked, n = global_rank(df, [key], tie, "__rank", rows_per_bucket)
-    return ranked.withColumn(out_col, quantile_bin_of_rank(F.col("__rank"), n, k)).drop("__rank")
+    return ranked.withColumn(out_col, quantile_bin_of_rank(col("__rank"), n, k)).drop("__rank")

@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 from retainr.plans import cohorts, kpis, rfm
 
 
 def repeat_rate_bars(orders: DataFrame) -> DataFrame:
     """V1: repeat rate per window with its ``xx.x%`` label."""
     return cohorts.repeat_rate_by_window(orders).withColumn(
-        "label", F.format_string("%.1f%%", F.col("repeat_rate_pct")))
+        "label", F.format_string("%.1f%%", col("repeat_rate_pct")))
 
 
 def rfm_bubble(orders: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
@@ -27,7 +29,7 @@ def metric_card(metrics: DataFrame) -> DataFrame:
     """V3: roc_auc, pr_auc, f1, recall at 3 decimals, missing -> 0."""
     cols = ["roc_auc", "pr_auc", "f1", "recall"]
     return metrics.select(*[
-        F.round(F.coalesce(F.col(c).cast("double") if c in metrics.columns else F.lit(None).cast("double"),
+        F.round(F.coalesce(col(c).cast("double") if c in metrics.columns else F.lit(None).cast("double"),
                            F.lit(0.0)), 3).alias(c) for c in cols])
 
 

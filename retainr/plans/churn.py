@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 from retainr.session import materialize
 
 from retainr.functions.numeric import clip
@@ -63,14 +65,14 @@ def feature_matrix(dataset: DataFrame, target: str = TARGET) -> tuple[DataFrame,
     """``features`` vector + integer ``label`` column, and the feature names in vector order."""
     names = feature_columns(dataset, target)
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    out = assembler.transform(dataset.withColumn("label", F.col(target).cast("int")))
+    out = assembler.transform(dataset.withColumn("label", col(target).cast("int")))
     return out, names
 
 
 # ---------------------------------------------------------------- M2 split
 
 def _hash_bucket(id_col: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10_000))
+    return F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(10_000))
 
 
 def stratified_split(df: DataFrame, label: str = TARGET, test_size: float = TEST_SIZE,
@@ -85,7 +87,7 @@ def stratified_split(df: DataFrame, label: str = TARGET, test_size: float = TEST
     """
     h = df.withColumn("__h", _hash_bucket(id_col, seed))
     if not exact:
-        test_flag = F.col("__h") < int(round(test_size * 10_000))
+        test_flag = col("__h") < int(round(test_size * 10_000))
         return (h.where(~test_flag).drop("__h"), h.where(test_flag).drop("__h"))
     counts = sorted((r[0], r[1]) for r in h.groupBy(label).count().collect())  # few classes
     offsets, acc, quota = {}, 0, {}
@@ -96,9 +98,9 @@ def stratified_split(df: DataFrame, label: str = TARGET, test_size: float = TEST
     off = F.lit(0)
     q = F.lit(0)
     for value in offsets:
-        off = F.when(F.col(label) == value, offsets[value]).otherwise(off)
-        q = F.when(F.col(label) == value, quota[value]).otherwise(q)
-    test_flag = (F.col("__r") - off) <= q
+        off = F.when(col(label) == value, offsets[value]).otherwise(off)
+        q = F.when(col(label) == value, quota[value]).otherwise(q)
+    test_flag = (col("__r") - off) <= q
     return (ranked.where(~test_flag).drop("__h", "__r"), ranked.where(test_flag).drop("__h", "__r"))
 
 
@@ -124,12 +126,12 @@ def score(model: PipelineModel, df: DataFrame, out_col: str = SCORE) -> DataFram
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
-def minmax_scores(df: DataFrame, col: str, out_col: str = SCORE) -> DataFrame:
+def minmax_scores(df: DataFrame, column: str, out_col: str = SCORE) -> DataFrame:
     """M4 fallback for models without probabilities: (x - min) / max(max - min, 1e-9), with the
     extremes as scalar subqueries."""
-    lo = df.select(F.min(col).cast("double")).scalar()
-    hi = df.select(F.max(col).cast("double")).scalar()
-    return df.withColumn(out_col, (F.col(col).cast("double") - lo) / F.greatest(hi - lo, F.lit(1e-9)))
+    lo = df.select(F.min(column).cast("double")).scalar()
+    hi = df.select(F.max(column).cast("double")).scalar()
+    return df.withColumn(out_col, (col(column).cast("double") - lo) / F.greatest(hi - lo, F.lit(1e-9)))
 
 
 # ---------------------------------------------------------------- M5 / M6 threshold and metrics
@@ -144,8 +146,8 @@ def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
     sums' small jobs and every metric derived from it read it instead of re-running the
     scoring plan.
     """
-    grouped = scored.groupBy(F.col(score_col).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    grouped = scored.groupBy(col(score_col).cast("double").alias("score")).agg(
+        F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg"))
     bounds = scored.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)],
                                                  "score double, pos long, neg long")
     grouped = (grouped.unionByName(bounds).groupBy("score")
@@ -154,7 +156,7 @@ def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
     if checkpoint:
         grouped, seen = materialize(grouped, "score_table", observe={"n": F.count(F.lit(1))})
         n = int(seen["n"])
-    desc = grouped.withColumn("__neg_score", -F.col("score"))
+    desc = grouped.withColumn("__neg_score", -col("score"))
     t = running_sums(desc, ["__neg_score"], "__neg_score", {"cum_pos": "pos", "cum_neg": "neg"},
                      rows_per_bucket, n_rows=n)
     return t.drop("__neg_score")
@@ -171,15 +173,15 @@ def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCOR
     """Balanced accuracy and F1 of ``score >= t`` for every candidate threshold t (all distinct
     scores plus 0 and 1), with the confusion counts."""
     t = _with_totals(table if table is not None else score_table(scored, label, score_col))
-    tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    fn, tn = F.col("P") - tp, F.col("N") - fp
-    tpr = F.try_divide(tp.cast("double"), F.nullif(F.col("P"), F.lit(0)))
-    tnr = F.try_divide(tn.cast("double"), F.nullif(F.col("N"), F.lit(0)))
-    classes = (F.col("P") > 0).cast("int") + (F.col("N") > 0).cast("int")
+    tp, fp = col("cum_pos"), col("cum_neg")
+    fn, tn = col("P") - tp, col("N") - fp
+    tpr = F.try_divide(tp.cast("double"), F.nullif(col("P"), F.lit(0)))
+    tnr = F.try_divide(tn.cast("double"), F.nullif(col("N"), F.lit(0)))
+    classes = (col("P") > 0).cast("int") + (col("N") > 0).cast("int")
     ba = (F.coalesce(tpr, F.lit(0.0)) + F.coalesce(tnr, F.lit(0.0))) / classes
     f1 = F.coalesce(F.try_divide((2 * tp).cast("double"), F.nullif(2 * tp + fp + fn, F.lit(0))),
                     F.lit(0.0))
-    return t.select(F.col("score").alias("threshold"), ba.alias("balanced_accuracy"),
+    return t.select(col("score").alias("threshold"), ba.alias("balanced_accuracy"),
                     f1.alias("f1"), tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"))
 
 
@@ -189,7 +191,7 @@ def best_threshold(scored: DataFrame, label: str = TARGET, score_col: str = SCOR
     threshold (order-free form of the greedy scan, trap T20).  One row."""
     scan = threshold_scan(scored, label, score_col, table)
     best = F.max_by(F.struct("threshold", "balanced_accuracy", "f1"),
-                    F.struct("balanced_accuracy", "f1", (-F.col("threshold")).alias("neg_t")))
+                    F.struct("balanced_accuracy", "f1", (-col("threshold")).alias("neg_t")))
     return scan.agg(best.alias("b")).select("b.*")
 
 
@@ -199,16 +201,16 @@ def ranking_metrics(scored: DataFrame, label: str = TARGET, score_col: str = SCO
     (sum over distinct scores of recall increase x precision, trap T21).  One row; NULL when a
     class is missing."""
     t = table if table is not None else score_table(scored, label, score_col)
-    prec = F.try_divide(F.col("cum_pos").cast("double"),
-                        F.nullif(F.col("cum_pos") + F.col("cum_neg"), F.lit(0)))
+    prec = F.try_divide(col("cum_pos").cast("double"),
+                        F.nullif(col("cum_pos") + col("cum_neg"), F.lit(0)))
     agg = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                F.sum(F.col("neg") * ((F.col("cum_pos") - F.col("pos")) + F.col("pos") / 2.0))
+                F.sum(col("neg") * ((col("cum_pos") - col("pos")) + col("pos") / 2.0))
                 .alias("auc_num"),
-                F.sum(F.when(F.col("pos") > 0, F.col("pos") * prec)).alias("ap_num"))
+                F.sum(F.when(col("pos") > 0, col("pos") * prec)).alias("ap_num"))
     return agg.select(
-        F.try_divide(F.col("auc_num"), F.nullif(F.col("P") * F.col("N"), F.lit(0)).cast("double"))
+        F.try_divide(col("auc_num"), F.nullif(col("P") * col("N"), F.lit(0)).cast("double"))
         .alias("roc_auc"),
-        F.try_divide(F.col("ap_num"), F.nullif(F.col("P"), F.lit(0)).cast("double")).alias("pr_auc"),
+        F.try_divide(col("ap_num"), F.nullif(col("P"), F.lit(0)).cast("double")).alias("pr_auc"),
     )
 
 
@@ -225,8 +227,8 @@ def classification_metrics(scored: DataFrame, threshold=None, label: str = TARGE
         thr = best_threshold(scored, label, score_col, table).select("threshold").scalar()
     else:
         thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    at = table.where(F.col("score") >= thr).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    tp, fp = F.coalesce(F.col("tp"), F.lit(0)), F.coalesce(F.col("fp"), F.lit(0))
+    at = table.where(col("score") >= thr).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    tp, fp = F.coalesce(col("tp"), F.lit(0)), F.coalesce(col("fp"), F.lit(0))
     fn = table.select(F.sum("pos")).scalar() - tp
     tn = table.select(F.sum("neg")).scalar() - fp
     ranking = ranking_metrics(scored, label, score_col, table)
@@ -270,13 +272,13 @@ def campaign_economics(scored: DataFrame, score_col: str = SCORE,
                        expected_save_rate: float = EXPECTED_SAVE_RATE) -> DataFrame:
     """M8: users with score >= threshold, campaign cost, saved users, gross uplift, net uplift,
     ROI (all zero when nobody is targeted).  One row."""
-    n = scored.agg(F.count_if(F.col(score_col) >= threshold).cast("double").alias("n"))
-    cost = F.col("n") * retention_campaign_cost_rub
-    saved = F.col("n") * expected_save_rate
+    n = scored.agg(F.count_if(col(score_col) >= threshold).cast("double").alias("n"))
+    cost = col("n") * retention_campaign_cost_rub
+    saved = col("n") * expected_save_rate
     gross = saved * avg_order_value_rub * gross_margin_pct
     net = gross - cost
     roi = F.coalesce(F.try_divide(net, F.nullif(cost, F.lit(0.0))), F.lit(0.0))
-    return n.select(F.col("n").alias("n_targeted_users"), cost.alias("campaign_cost_rub"),
+    return n.select(col("n").alias("n_targeted_users"), cost.alias("campaign_cost_rub"),
                     saved.alias("saved_users"), gross.alias("gross_profit_uplift_rub"),
                     net.alias("net_uplift_rub"), roi.alias("roi"))
 
@@ -294,14 +296,14 @@ def top_k_precision(scored: DataFrame, label: str = TARGET, score_col: str = SCO
         top = scored.orderBy(F.desc(score_col), F.asc(id_col)).limit(kk)
     else:
         # large k: exact distributed rank instead of a k-row heap per task
-        neg = scored.withColumn("__neg", -F.col(score_col).cast("double"))
+        neg = scored.withColumn("__neg", -col(score_col).cast("double"))
         ranked, _ = global_rank(neg, ["__neg"], id_col, "__r", n_rows=n)
-        top = ranked.where(F.col("__r") <= kk)
+        top = ranked.where(col("__r") <= kk)
     return top.agg(F.lit(kk).cast("long").alias("k"),
-                   F.avg(F.col(label).cast("double")).alias("precision_at_k"))
+                   F.avg(col(label).cast("double")).alias("precision_at_k"))
 
 
-def quantiles(df: DataFrame, col: str, qs: list[float],
+def quantiles(df: DataFrame, column: str, qs: list[float],
               rows_per_bucket: int = ROWS_PER_BUCKET) -> list[Column]:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``) as literal
     Columns.
@@ -311,7 +313,7 @@ def quantiles(df: DataFrame, col: str, qs: list[float],
     fetches the values at all needed ranks; only those few numbers reach the driver.  No
     single-task percentile buffer.
     """
-    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).count()
+    vals = df.where(col(column).isNotNull()).groupBy(col(column).cast("double").alias("v")).count()
     vals, seen = materialize(vals, "value_counts",
                              observe={"rows": F.count(F.lit(1)), "n": F.sum("count")})
     n = int(seen["n"] or 0)
@@ -324,7 +326,7 @@ def quantiles(df: DataFrame, col: str, qs: list[float],
         lo = int(h // 1)
         plan.append((lo + 1, min(lo + 2, n), h - lo))
     ranks = sorted({r for a, b, _ in plan for r in (a, b)})
-    row = cum.agg(*[F.min(F.when(F.col("cum") >= r, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
+    row = cum.agg(*[F.min(F.when(col("cum") >= r, col("v"))).alias(f"r{r}") for r in ranks]).first()
     out = []
     for a, b, frac in plan:
         v_lo, v_hi = row[f"r{a}"], row[f"r{b}"]
@@ -332,22 +334,22 @@ def quantiles(df: DataFrame, col: str, qs: list[float],
     return out
 
 
-def quantile(df: DataFrame, col: str, q: float,
+def quantile(df: DataFrame, column: str, q: float,
              rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
-    return quantiles(df, col, [q], rows_per_bucket)[0]
+    return quantiles(df, column, [q], rows_per_bucket)[0]
 
 
-def winsorize(df: DataFrame, col: str, lower_q: float = 0.01, upper_q: float = 0.99,
+def winsorize(df: DataFrame, column: str, lower_q: float = 0.01, upper_q: float = 0.99,
               out_col: str | None = None) -> DataFrame:
-    """Clip ``col`` to its [lower_q, upper_q] quantiles; NULL stays NULL."""
-    lo, hi = quantiles(df, col, [lower_q, upper_q])
-    return df.withColumn(out_col or col, clip(F.col(col).cast("double"), lo, hi))
+    """Clip ``column`` to its [lower_q, upper_q] quantiles; NULL stays NULL."""
+    lo, hi = quantiles(df, column, [lower_q, upper_q])
+    return df.withColumn(out_col or column, clip(col(column).cast("double"), lo, hi))
 
 
 def target_summary(df: DataFrame, label_col: str = TARGET, label: str = "target") -> DataFrame:
     """Label name, number of observations, positive rate (0.0 when empty).  One row."""
     return df.agg(F.lit(label).alias("label"), F.count(F.lit(1)).alias("n_obs"),
-                  F.coalesce(F.avg(F.col(label_col).cast("double")), F.lit(0.0))
+                  F.coalesce(F.avg(col(label_col).cast("double")), F.lit(0.0))
                   .alias("positive_rate"))
 
 
@@ -356,8 +358,8 @@ def recency_scores(features: DataFrame, cap_days: int = 90) -> DataFrame:
     ``cap_days`` and scaled to [0, 1].  Lets M5, M6, M8 and M9 run on every table without a
     fitted model; a trained model's ``score`` output has the same columns."""
     return features.select(
-        "user_id", F.col(TARGET).cast("int").alias(TARGET),
-        (F.least(F.col("days_since_last_order"), F.lit(cap_days)).cast("double") / float(cap_days))
+        "user_id", col(TARGET).cast("int").alias(TARGET),
+        (F.least(col("days_since_last_order"), F.lit(cap_days)).cast("double") / float(cap_days))
         .alias(SCORE))
 
 
@@ -390,7 +392,7 @@ def train_churn_model(dataset: DataFrame, target: str = TARGET, test_size: float
     """Split, fit the boosted trees on the training rows, score the test rows, choose the
     threshold on them (trap T19) and compute the metrics."""
     names = feature_columns(dataset, target)
-    data = dataset.withColumn("label", F.col(target).cast("int"))
+    data = dataset.withColumn("label", col(target).cast("int"))
     train, test = stratified_split(data, target, test_size, seed, exact=exact_split)
     train = train.cache()  # iterative fit reads it once per tree
     model = churn_pipeline(names, seed, **gbt_overrides).fit(train)

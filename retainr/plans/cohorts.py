@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 from retainr.functions.dates import month_label, month_start, plus_days, year_month
 from retainr.functions.numeric import round_double, thousands_text
 from retainr.plans.common import max_delivered_ts, user_days
@@ -28,14 +30,14 @@ def cohort_retention_daily(orders: DataFrame, max_day: int = 90,
     """
     daily = (
         user_days(orders)
-        .where(F.col("cohort_day").between(0, max_day))
+        .where(col("cohort_day").between(0, max_day))
         .groupBy("cohort_date", "cohort_day")
         .agg(F.count(F.lit(1)).alias("retained_users"))
     )
     # Day 0 of a cohort holds every member once, so its count is the cohort size.
     by_cohort = Window.partitionBy("cohort_date")
-    size = F.max(F.when(F.col("cohort_day") == 0, F.col("retained_users"))).over(by_cohort)
-    pct = 100.0 * F.col("retained_users").cast("double") / F.col("cohort_size")
+    size = F.max(F.when(col("cohort_day") == 0, col("retained_users"))).over(by_cohort)
+    pct = 100.0 * col("retained_users").cast("double") / col("cohort_size")
     smooth = (Window.partitionBy("cohort_day").orderBy("cohort_date")
               .rowsBetween(-smoothing_rows, Window.currentRow))
     return (
@@ -43,7 +45,7 @@ def cohort_retention_daily(orders: DataFrame, max_day: int = 90,
         .withColumn("_pct", pct)
         .select(
             "cohort_date", "cohort_day", "cohort_size", "retained_users",
-            round_double(F.col("_pct"), 2).alias("retention_pct"),
+            round_double(col("_pct"), 2).alias("retention_pct"),
             round_double(F.avg("_pct").over(smooth), 2).alias("smoothed_retention_pct"),
         )
         .orderBy("cohort_date", "cohort_day")
@@ -57,11 +59,11 @@ def cohort_milestone_pivot(orders: DataFrame, days=MILESTONE_DAYS) -> DataFrame:
     distinct aggregates.
     """
     ud = user_days(orders)
-    size = F.count_if(F.col("cohort_day") == 0)
+    size = F.count_if(col("cohort_day") == 0)
     cols = [size.alias("users_in_cohort")]
     for d in days:
         cols.append(
-            round_double(100.0 * F.count_if(F.col("cohort_day") == d).cast("double") / size, 2)
+            round_double(100.0 * F.count_if(col("cohort_day") == d).cast("double") / size, 2)
             .alias(f"d{d}_retention_pct"))
     return ud.groupBy("cohort_date").agg(*cols).orderBy("cohort_date")
 
@@ -77,12 +79,12 @@ def _per_user_repeat(orders: DataFrame, window_days: int = 30) -> DataFrame:
     if window_days < 1:
         raise ValueError("window_days must be at least 1")
     ud = user_days(orders)
-    day = F.col("cohort_day")
+    day = col("cohort_day")
     in_interval = (
-        ((day == 0) & (F.col("day_max_ts") > F.col("first_order_ts")))
+        ((day == 0) & (col("day_max_ts") > col("first_order_ts")))
         | day.between(1, window_days - 1)
         | ((day == window_days)
-           & (F.col("day_min_ts") <= plus_days("first_order_ts", window_days)))
+           & (col("day_min_ts") <= plus_days("first_order_ts", window_days)))
     )
     return ud.groupBy("user_id").agg(
         F.min("first_order_ts").alias("first_order_ts"),
@@ -98,7 +100,7 @@ def repeat_rate_30d_by_month(orders: DataFrame, window_days: int = 30) -> DataFr
     anchor = max_delivered_ts(orders)
     users = (
         _per_user_repeat(orders, window_days)
-        .where(F.col("first_order_ts") <= plus_days(anchor, -window_days))
+        .where(col("first_order_ts") <= plus_days(anchor, -window_days))
     )
     base = F.count(F.lit(1))
     rep = F.sum("interval_repeat").cast("long")
@@ -106,7 +108,7 @@ def repeat_rate_30d_by_month(orders: DataFrame, window_days: int = 30) -> DataFr
         users.groupBy(year_month("first_order_ts").alias("cohort_month"))
         .agg(base.alias("users_base"), rep.alias("repeat_users_30d"))
         .withColumn("repeat_order_rate_30d_pct",
-                    round_double(100.0 * F.col("repeat_users_30d") / F.col("users_base"), 2))
+                    round_double(100.0 * col("repeat_users_30d") / col("users_base"), 2))
         .orderBy("cohort_month")
     )
 
@@ -118,18 +120,18 @@ def repeat_rate_by_window(orders: DataFrame, horizons=REPEAT_HORIZONS) -> DataFr
     users = _per_user_repeat(orders)
     aggs = []
     for h in horizons:
-        eligible = F.col("first_order_ts") <= plus_days(anchor, -h)
+        eligible = col("first_order_ts") <= plus_days(anchor, -h)
         aggs.append(F.count_if(eligible).alias(f"b{h}"))
-        aggs.append(F.count_if(eligible & (F.col("min_repeat_day") <= h)).alias(f"r{h}"))
+        aggs.append(F.count_if(eligible & (col("min_repeat_day") <= h)).alias(f"r{h}"))
     one_row = users.agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(h).cast("long").alias("window_days"),
-                 F.col(f"b{h}").alias("users_base"), F.col(f"r{h}").alias("repeat_users"))
+                 col(f"b{h}").alias("users_base"), col(f"r{h}").alias("repeat_users"))
         for h in horizons]))
     return (
         one_row.select(stacked.alias("s")).select("s.*")
         .withColumn("repeat_rate_pct",
-                    F.coalesce(F.col("repeat_users").cast("double") / F.nullif(F.col("users_base"), F.lit(0)) * 100,
+                    F.coalesce(col("repeat_users").cast("double") / F.nullif(col("users_base"), F.lit(0)) * 100,
                                F.lit(0.0)))
     )
 
@@ -138,8 +140,8 @@ def _eligible_calendar_30(orders: DataFrame, window_days: int = 30) -> DataFrame
     anchor = max_delivered_ts(orders)
     return (
         _per_user_repeat(orders)
-        .where(F.col("first_order_ts") <= plus_days(anchor, -window_days))
-        .withColumn("has_repeat", F.coalesce(F.col("min_repeat_day") <= window_days, F.lit(False)))
+        .where(col("first_order_ts") <= plus_days(anchor, -window_days))
+        .withColumn("has_repeat", F.coalesce(col("min_repeat_day") <= window_days, F.lit(False)))
     )
 
 
@@ -152,7 +154,7 @@ def repeat_rate_30d_by_month_calendar(orders: DataFrame, window_days: int = 30)
         .agg(F.count(F.lit(1)).alias("users_base"),
              F.count_if("has_repeat").alias("repeat_users"))
         .withColumn("repeat_rate_pct",
-                    F.col("repeat_users").cast("double") / F.col("users_base") * 100)
+                    col("repeat_users").cast("double") / col("users_base") * 100)
         .withColumn("cohort_label", month_label("cohort_month"))
         .orderBy("cohort_month")
     )
@@ -164,7 +166,7 @@ def repeat_rate_30d_summary(orders: DataFrame, window_days: int = 30) -> DataFra
         F.count_if("has_repeat").alias("repeat_users"),
         F.count(F.lit(1)).alias("users_base"),
     )
-    rate = F.col("repeat_users").cast("double") / F.nullif(F.col("users_base"), F.lit(0)) * 100
+    rate = col("repeat_users").cast("double") / F.nullif(col("users_base"), F.lit(0)) * 100
     return one.select(
         rate.alias("repeat_rate_pct"), "repeat_users", "users_base",
         F.format_string("%.1f%%", rate).alias("repeat_rate_text"),

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 DELIVERED = "delivered"
 
 
 def delivered(orders: DataFrame) -> DataFrame:
     """``order_status = 'delivered'`` (pushed into the Parquet scan by Catalyst)."""
-    return orders.where(F.col("order_status") == DELIVERED)
+    return orders.where(col("order_status") == DELIVERED)
 
 
 def revenue() -> Column:
     """Order revenue ``basket + fee - discount`` in decimal arithmetic."""
-    return F.col("basket_value_rub") + F.col("delivery_fee_rub") - F.col("discount_rub")
+    return col("basket_value_rub") + col("delivery_fee_rub") - col("discount_rub")
 
 
 def max_delivered_ts(orders: DataFrame) -> Column:

@@ -19,6 +19,8 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 from retainr.session import materialize
 
 from retainr.functions.dates import elapsed_days_floor, minutes_between, plus_days
@@ -65,7 +67,7 @@ def order_features(orders: DataFrame) -> DataFrame:
         F.max("order_ts").alias("last_order_ts"),
         F.count_distinct(F.to_date("order_ts")).alias("active_order_days"),
     )
-    per_day = F.col("total_orders").cast("double") / F.nullif(F.col("active_order_days"), F.lit(0))
+    per_day = col("total_orders").cast("double") / F.nullif(col("active_order_days"), F.lit(0))
     return agg.withColumn("avg_orders_per_active_day", F.coalesce(per_day, F.lit(0.0)))
 
 
@@ -86,9 +88,9 @@ def session_features(sessions: DataFrame) -> DataFrame:
 
 def ab_features(assignments: DataFrame, test_id: str | None = None) -> DataFrame:
     """variant, is_treatment, assigned_at (one test when ``test_id`` is given, trap T17)."""
-    a = assignments if test_id is None else assignments.where(F.col("test_id") == test_id)
+    a = assignments if test_id is None else assignments.where(col("test_id") == test_id)
     return a.select("user_id", "variant",
-                    (F.col("variant") == "treatment").cast("int").alias("is_treatment"),
+                    (col("variant") == "treatment").cast("int").alias("is_treatment"),
                     "assigned_at")
 
 
@@ -111,39 +113,39 @@ def user_features(users: DataFrame, orders: DataFrame, sessions: DataFrame,
                   test_id: str | None = None) -> DataFrame:
     """one row per user with history up to the reference time and the churn label."""
     ref = reference_time(users, orders, label_horizon_days, reference_date)
-    of = order_features(orders.where(F.col("order_ts") <= ref))
-    sf = session_features(sessions.where(F.col("session_start_ts") <= ref))
-    af = ab_features(assignments.where(F.col("assigned_at") <= ref), test_id)
+    of = order_features(orders.where(col("order_ts") <= ref))
+    sf = session_features(sessions.where(col("session_start_ts") <= ref))
+    af = ab_features(assignments.where(col("assigned_at") <= ref), test_id)
     future = (
         delivered(orders)
-        .where((F.col("order_ts") > ref) & (F.col("order_ts") <= plus_days(ref, label_horizon_days)))
+        .where((col("order_ts") > ref) & (col("order_ts") <= plus_days(ref, label_horizon_days)))
         .groupBy("user_id").agg(F.count("order_id").alias("future_orders_cnt"))
     )
     f = users.join(of, "user_id", "left").join(sf, "user_id", "left").join(af, "user_id", "left")
 
-    def gap(col: str) -> Column:
-        return F.coalesce(elapsed_days_floor(ref, F.col(col)), F.lit(MISSING_DAYS))
+    def gap(name: str) -> Column:
+        return F.coalesce(elapsed_days_floor(ref, col(name)), F.lit(MISSING_DAYS))
 
     f = f.select(
         *[c for c in f.columns if c not in NUMERIC_DEFAULTS],
-        *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in NUMERIC_DEFAULTS.items()],
-        F.greatest(elapsed_days_floor(ref, F.col("registration_ts")), F.lit(0))
+        *[F.coalesce(col(c), F.lit(v)).alias(c) for c, v in NUMERIC_DEFAULTS.items()],
+        F.greatest(elapsed_days_floor(ref, col("registration_ts")), F.lit(0))
         .alias("days_since_registration"),
         gap("last_order_ts").alias("days_since_last_order"),
         gap("last_session_ts").alias("days_since_last_session"),
         gap("assigned_at").alias("days_since_assignment"),
     )
-    days = F.col("days_since_registration") + 1
+    days = col("days_since_registration") + 1
     return (
-        f.withColumn("order_intensity", F.col("total_orders") / days)
-        .withColumn("gmv_per_day", F.col("total_gmv_rub") / days)
-        .withColumn("engagement_ratio", F.col("total_sessions") / days)
+        f.withColumn("order_intensity", col("total_orders") / days)
+        .withColumn("gmv_per_day", col("total_gmv_rub") / days)
+        .withColumn("engagement_ratio", col("total_sessions") / days)
         .withColumn("is_model_eligible",
-                    ((F.col("total_orders") > 0)
-                     & (F.col("days_since_last_order") <= inactivity_threshold_days)).cast("int"))
+                    ((col("total_orders") > 0)
+                     & (col("days_since_last_order") <= inactivity_threshold_days)).cast("int"))
         .join(future, "user_id", "left")
         .withColumn("future_orders_cnt", F.coalesce("future_orders_cnt", F.lit(0)).cast("long"))
-        .withColumn("churn_label", (F.col("future_orders_cnt") == 0).cast("int"))
+        .withColumn("churn_label", (col("future_orders_cnt") == 0).cast("int"))
     )
 
 
@@ -154,7 +156,7 @@ def category_values(features: DataFrame, columns=CATEGORICAL_COLUMNS,
     column (error above the cap, so an id-like column never explodes into columns), the second
     brings the at most ``len(columns) x cap`` pairs to the driver."""
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c), F.lit("unknown")).alias("v"))
+        F.struct(F.lit(c).alias("c"), F.coalesce(col(c), F.lit("unknown")).alias("v"))
         for c in columns]))
     distinct = features.select(pairs.alias("p")).select("p.c", "p.v").distinct()
     counts = dict(distinct.groupBy("c").count().collect())
@@ -173,7 +175,7 @@ def modeling_dataset(features: DataFrame, eligible_only: bool = True,
     column ``<col>_<value>`` per category value present (none dropped)."""
     df = features
     if eligible_only and "is_model_eligible" in df.columns:
-        df = df.where(F.col("is_model_eligible") == 1)
+        df = df.where(col("is_model_eligible") == 1)
     df = df.fillna("unknown", subset=CATEGORICAL_COLUMNS)
     if categories is None:
         # read twice (category discovery, then the output): materialise once
@@ -181,6 +183,6 @@ def modeling_dataset(features: DataFrame, eligible_only: bool = True,
     cats = categories if categories is not None else category_values(df)
     keep = [c for c in df.columns
             if c not in DATE_COLUMNS + ["is_model_eligible"] + CATEGORICAL_COLUMNS]
-    dummies = [(F.col(c) == v).cast("int").alias(f"{c}_{v}")
+    dummies = [(col(c) == v).cast("int").alias(f"{c}_{v}")
                for c in CATEGORICAL_COLUMNS for v in cats[c]]
     return df.select(*keep, *dummies)

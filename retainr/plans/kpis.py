@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 from retainr.functions.dates import week_start, year_month
 from retainr.functions.numeric import avg_round, round_money, round_ratio
 from retainr.plans.common import delivered, max_delivered_date, revenue
@@ -38,14 +40,14 @@ def daily_kpis(sessions: DataFrame, orders: DataFrame) -> DataFrame:
              round_money(F.sum("gross_margin_rub")).alias("gross_margin_rub"),
              avg_round("basket_value_rub", 2, scale=2).alias("aov_rub"))
     )
-    buyers = F.coalesce(F.col("buyers_n"), F.lit(0))
+    buyers = F.coalesce(col("buyers_n"), F.lit(0))
     return (
         s.join(o, "dt", "left")
         .select(
             "dt", "dau", "sessions_n",
             F.coalesce("delivered_orders_n", F.lit(0)).alias("delivered_orders_n"),
             buyers.alias("buyers_n"),
-            round_ratio(buyers, F.col("dau"), 4).alias("buyer_conversion_from_dau"),
+            round_ratio(buyers, col("dau"), 4).alias("buyer_conversion_from_dau"),
             F.coalesce("aov_rub", F.lit(0.0)).alias("aov_rub"),
             F.coalesce("gmv_rub", F.lit(0.0)).alias("gmv_rub"),
             F.coalesce("gross_margin_rub", F.lit(0.0)).alias("gross_margin_rub"),
@@ -71,7 +73,7 @@ def wau_mau_stickiness(sessions: DataFrame, week_mode: str = "literal") -> DataF
     return (
         wau.join(mau, "ym")
         .select("week_start", "wau", "ym", "mau",
-                round_ratio(F.col("wau"), F.col("mau"), 4).alias("stickiness_wau_mau"))
+                round_ratio(col("wau"), col("mau"), 4).alias("stickiness_wau_mau"))
         .orderBy("week_start")
     )
 
@@ -80,7 +82,7 @@ def repeat_rate_by_channel(users: DataFrame, orders: DataFrame) -> DataFrame:
     """Q12: per acquisition channel: users, share with >= 2 delivered orders, mean orders;
     users without orders count in the denominator (trap T25)."""
     per_user = delivered(orders).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce(F.col("n"), F.lit(0))
+    n = F.coalesce(col("n"), F.lit(0))
     return (
         users.select("user_id", "acquisition_channel")
         .join(per_user, "user_id", "left")
@@ -100,7 +102,7 @@ def city_profit_sla(users: DataFrame, orders: DataFrame,
         delivered(orders).groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n"),
              F.sum("delivery_minutes").alias("minutes"),
-             F.count_if(F.col("delivery_minutes") <= on_time_minutes).alias("on_time"),
+             F.count_if(col("delivery_minutes") <= on_time_minutes).alias("on_time"),
              F.sum("gross_margin_rub").alias("margin"))
     )
     by_city = (
@@ -109,14 +111,14 @@ def city_profit_sla(users: DataFrame, orders: DataFrame,
         .agg(F.sum("n").alias("delivered_orders_n"), F.sum("minutes").alias("minutes"),
              F.sum("on_time").alias("on_time"), F.sum("margin").alias("margin"))
     )
-    n = F.col("delivered_orders_n")
+    n = col("delivered_orders_n")
     return (
         by_city.select(
             "city", n.cast("long").alias("delivered_orders_n"),
-            round_ratio(F.col("minutes"), n, 2).alias("avg_delivery_minutes"),
-            round_ratio(F.col("on_time"), n, 4).alias("on_time_share"),
-            round_money(F.col("margin")).alias("total_margin_rub"),
-            round_ratio((F.col("margin") * 100).cast("long"), n * 100, 2)
+            round_ratio(col("minutes"), n, 2).alias("avg_delivery_minutes"),
+            round_ratio(col("on_time"), n, 4).alias("on_time_share"),
+            round_money(col("margin")).alias("total_margin_rub"),
+            round_ratio((col("margin") * 100).cast("long"), n * 100, 2)
             .alias("margin_per_order_rub"),
         )
         .orderBy(F.desc("total_margin_rub"))
@@ -133,13 +135,13 @@ def revenue_at_risk(orders: DataFrame, inactive_days: int = INACTIVE_DAYS,
         .agg(F.max(F.to_date("order_ts")).alias("last_order_date"),
              F.sum("gross_margin_rub").alias("margin"),
              F.count(F.lit(1)).alias("delivered_orders_n"))
-        .withColumn("days_inactive", F.datediff(anchor, F.col("last_order_date")).cast("long"))
+        .withColumn("days_inactive", F.datediff(anchor, col("last_order_date")).cast("long"))
     )
     return (
-        per_user.where(F.col("days_inactive") >= inactive_days)
+        per_user.where(col("days_inactive") >= inactive_days)
         .orderBy(F.desc("margin"), F.desc("days_inactive"), F.asc("user_id"))
         .limit(limit)
-        .select("user_id", "days_inactive", round_money(F.col("margin")).alias("total_margin_rub"),
+        .select("user_id", "days_inactive", round_money(col("margin")).alias("total_margin_rub"),
                 "delivered_orders_n")
     )
 
@@ -147,11 +149,11 @@ def revenue_at_risk(orders: DataFrame, inactive_days: int = INACTIVE_DAYS,
 def eda_overview(users: DataFrame, orders: DataFrame, sessions: DataFrame) -> DataFrame:
     """Q15: row counts of users, orders, sessions and the delivered share (4 dp)."""
     o = orders.agg(F.count(F.lit(1)).alias("orders_n"),
-                   F.count_if(F.col("order_status") == "delivered").alias("delivered_n"))
+                   F.count_if(col("order_status") == "delivered").alias("delivered_n"))
     users_n = users.select(F.count(F.lit(1))).scalar()
     sessions_n = sessions.select(F.count(F.lit(1))).scalar()
     return o.select(users_n.alias("users_n"), "orders_n", sessions_n.alias("sessions_n"),
-                    round_ratio(F.col("delivered_n"), F.col("orders_n"), 4).alias("delivered_share"))
+                    round_ratio(col("delivered_n"), col("orders_n"), 4).alias("delivered_share"))
 
 
 def daily_orders_gmv(orders: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 from retainr.session import materialize
 
 from retainr.functions.numeric import avg_round
@@ -53,7 +55,7 @@ def _scored(metrics: DataFrame, binning: str, rows_per_bucket: int,
     ranked, n = global_ranks(metrics, _ORDERS, "user_id", rows_per_bucket, n_rows=n)
 
     def tile(rank_col: str) -> Column:
-        r = F.col(rank_col)
+        r = col(rank_col)
         return (ntile_of_rank(r, n, TILES) if binning == "ntile"
                 else quantile_bin_of_rank(r, n, TILES))
 
@@ -68,7 +70,7 @@ def _rfm_text(r: Column, f: Column, m: Column) -> Column:
 
 
 def _segment7() -> Column:
-    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
+    r, f, m = col("r_score"), col("f_score"), col("m_score")
     return (F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
             .when((r >= 4) & (f >= 3), "Loyal")
             .when((r >= 4) & (f <= 2), "Promising")
@@ -79,14 +81,14 @@ def _segment7() -> Column:
 
 
 def _segment3() -> Column:
-    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
+    r, f, m = col("r_score"), col("f_score"), col("m_score")
     return (F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
             .when((r <= 2) & (f <= 2), "Hibernating")
             .otherwise("Other"))
 
 
 def _segment5() -> Column:
-    r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
+    r, f, m = col("r_score"), col("f_score"), col("m_score")
     return (F.when((r >= 4) & (f >= 4) & (m >= 4), "Core Users")
             .when((r >= 4) & (f >= 3), "Active Loyal")
             .when((r <= 2) & (f >= 4), "High Value at Risk")
@@ -119,24 +121,24 @@ def rfm_user_ltv(orders: DataFrame, checkpoint: bool = True,
     metrics, n = _materialise(user_rfm_metrics(orders, full=True), checkpoint)
     s = _scored(metrics, "ntile", rows_per_bucket, n)
     months = F.lit(DEFAULT_LIFETIME_MONTHS)
-    seg = F.col("segment")
+    seg = col("segment")
     for name, value in reversed(list(LIFETIME_MONTHS.items())):
         months = F.when(seg == name, value).otherwise(months)
     monthly = F.round(
-        F.col("monetary_rub").cast("double")
-        / F.greatest(F.col("active_days").cast("double") / DAYS_PER_MONTH, F.lit(1.0)), 2)
+        col("monetary_rub").cast("double")
+        / F.greatest(col("active_days").cast("double") / DAYS_PER_MONTH, F.lit(1.0)), 2)
     return (
         s.withColumn("segment", _segment7())
         .withColumn("monthly_revenue_rub", monthly)
         .withColumn("expected_lifetime_months", months.cast("long"))
         .select(
             "user_id", "recency_days", "frequency_orders",
-            F.col("monetary_rub").cast("double").alias("monetary_rub"),
-            F.col("gross_margin_rub").cast("double").alias("gross_margin_rub"),
+            col("monetary_rub").cast("double").alias("monetary_rub"),
+            col("gross_margin_rub").cast("double").alias("gross_margin_rub"),
             "avg_order_value_rub", "segment",
-            _rfm_text(F.col("r_score"), F.col("f_score"), F.col("m_score")).alias("rfm_score"),
+            _rfm_text(col("r_score"), col("f_score"), col("m_score")).alias("rfm_score"),
             "monthly_revenue_rub", "expected_lifetime_months",
-            F.round(F.col("monthly_revenue_rub") * F.col("expected_lifetime_months") * LTV_MARGIN, 2)
+            F.round(col("monthly_revenue_rub") * col("expected_lifetime_months") * LTV_MARGIN, 2)
             .alias("predicted_ltv_rub"),
         )
         .orderBy(F.desc("predicted_ltv_rub"), "user_id")
@@ -173,9 +175,9 @@ def rfm_segments_calendar(orders: DataFrame, checkpoint: bool = True,
     s = _scored(metrics, "qcut", rows_per_bucket, n)
     return s.select(
         "user_id", "recency_days", "frequency_orders",
-        F.col("monetary_rub").cast("double").alias("monetary_rub"),
+        col("monetary_rub").cast("double").alias("monetary_rub"),
         "r_score", "f_score", "m_score",
-        _rfm_text(F.col("r_score"), F.col("f_score"), F.col("m_score")).alias("rfm_score"),
+        _rfm_text(col("r_score"), col("f_score"), col("m_score")).alias("rfm_score"),
         _segment5().alias("segment"),
     )
 
@@ -187,7 +189,7 @@ def rfm_segments_calendar_summary(orders: DataFrame, checkpoint: bool = True,
     return (
         seg.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("users"),
-             (F.sum(F.col("monetary_rub").cast("decimal(22,2)")).cast("double")
+             (F.sum(col("monetary_rub").cast("decimal(22,2)")).cast("double")
               / F.count(F.lit(1))).alias("avg_monetary"))
         .orderBy(F.desc("avg_monetary"))
     )

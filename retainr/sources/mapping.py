@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retainr.functions.columns import col
+
 # Fixed values of the mapping (FIXTURES.md part A), in natural order.
 CHANNELS = ["organic", "paid_search", "social_ads", "referral", "affiliate"]
 TIERS = {"AUTOMOBILE": "platinum", "BUILDING": "gold", "FURNITURE": "silver"}
@@ -93,39 +95,39 @@ def _geo(raw: dict[str, DataFrame]) -> DataFrame:
 
     nation, region = raw["nation"], raw["region"]
     geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
-           .select("n_nationkey", F.col("r_name").alias("geo_city")))
+           .select("n_nationkey", col("r_name").alias("geo_city")))
     return F.broadcast(geo) if fits_broadcast(geo, GEO_BROADCAST_MAX_ROWS) else geo
 
 
 def map_users(raw: dict[str, DataFrame]) -> DataFrame:
     c = raw["customer"]
-    k = F.col("c_custkey")
+    k = col("c_custkey")
     return (
-        c.join(_geo(raw), c.c_nationkey == F.col("n_nationkey"))
+        c.join(_geo(raw), c.c_nationkey == col("n_nationkey"))
         .select(
             k.alias("user_id"),
             _plus_days(F.lit("1994-06-01 00:00:00").cast("timestamp_ntz"), k % 200)
             .alias("registration_ts"),
             _pick(k % 5, CHANNELS).alias("acquisition_channel"),
-            F.col("geo_city").alias("city"),
+            col("geo_city").alias("city"),
             F.when(k % 4 < 2, "iOS").otherwise("Android").alias("device_os"),
             (18 + k % 43).cast("int").alias("age"),
             F.when(k % 3 == 0, "male").otherwise("female").alias("gender"),
-            _lookup(F.col("c_mktsegment"), TIERS, DEFAULT_TIER).alias("loyalty_tier"),
+            _lookup(col("c_mktsegment"), TIERS, DEFAULT_TIER).alias("loyalty_tier"),
         )
     )
 
 
 def map_restaurants(raw: dict[str, DataFrame]) -> DataFrame:
     s = raw["supplier"]
-    k = F.col("s_suppkey")
+    k = col("s_suppkey")
     return (
-        s.join(_geo(raw), s.s_nationkey == F.col("n_nationkey"))
+        s.join(_geo(raw), s.s_nationkey == col("n_nationkey"))
         .select(
             k.alias("restaurant_id"),
-            F.col("s_name").alias("restaurant_name"),
+            col("s_name").alias("restaurant_name"),
             _pick(k % 3, CUISINES).alias("cuisine_type"),
-            F.col("geo_city").alias("city"),
+            col("geo_city").alias("city"),
             (12 + k % 34).cast("int").alias("average_prep_minutes"),
             ((32 + k % 18) / 10).cast("decimal(3,2)").alias("rating"),
         )
@@ -134,12 +136,12 @@ def map_restaurants(raw: dict[str, DataFrame]) -> DataFrame:
 
 def map_couriers(raw: dict[str, DataFrame]) -> DataFrame:
     s = raw["supplier"]
-    k = F.col("s_suppkey")
+    k = col("s_suppkey")
     return (
-        s.join(_geo(raw), s.s_nationkey == F.col("n_nationkey"))
+        s.join(_geo(raw), s.s_nationkey == col("n_nationkey"))
         .select(
             k.alias("courier_id"),
-            F.col("geo_city").alias("city"),
+            col("geo_city").alias("city"),
             _pick(k % 3, COURIER_TYPES).alias("courier_type"),
             _pick(k % 3, SHIFT_TYPES).alias("shift_type"),
             F.date_add(F.lit("1994-01-01").cast("date"), (k % 365).cast("int")).alias("hire_date"),
@@ -151,13 +153,13 @@ def map_couriers(raw: dict[str, DataFrame]) -> DataFrame:
 
 def map_campaigns(raw: dict[str, DataFrame]) -> DataFrame:
     p = raw["part"]
-    k = F.col("p_partkey")
+    k = col("p_partkey")
     start = F.date_add(F.lit("1995-01-01").cast("date"), (30 * k).cast("int"))
     return (
         p.where(k < CAMPAIGN_PART_LIMIT)
         .select(
             k.alias("campaign_id"),
-            F.col("p_name").alias("campaign_name"),
+            col("p_name").alias("campaign_name"),
             start.alias("start_date"),
             F.date_add(start, (6 + k % 8).cast("int")).alias("end_date"),
             (8 + k % 22).cast("decimal(5,2)").alias("discount_pct"),
@@ -168,23 +170,23 @@ def map_campaigns(raw: dict[str, DataFrame]) -> DataFrame:
 
 
 def _order_ts(k: Column) -> Column:
-    return _plus_minutes(F.col("o_orderdate"), k % 1440)
+    return _plus_minutes(col("o_orderdate"), k % 1440)
 
 
 def map_orders(raw: dict[str, DataFrame]) -> DataFrame:
     o = raw["orders"]
-    k = F.col("o_orderkey")
+    k = col("o_orderkey")
     return o.select(
         k.alias("order_id"),
-        F.col("o_custkey").alias("user_id"),
+        col("o_custkey").alias("user_id"),
         (k % 10).alias("restaurant_id"),
         (k % 7).alias("courier_id"),
         F.when(k % 4 == 0, k % CAMPAIGN_PART_LIMIT).alias("campaign_id"),
         _order_ts(k).alias("order_ts"),
-        F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("delivered")
+        F.when(col("o_orderstatus") == "P", "cancelled").otherwise("delivered")
         .alias("order_status"),
         (12 + (7 * k) % 60).cast("int").alias("delivery_minutes"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("basket_value_rub"),
+        col("o_totalprice").cast("decimal(12,2)").alias("basket_value_rub"),
         (49 + k % 160).cast("decimal(12,2)").alias("delivery_fee_rub"),
         F.when(k % 3 == 0, k % 97).otherwise(0).cast("decimal(12,2)").alias("discount_rub"),
         _pick(k % 4, PAYMENT_METHODS).alias("payment_method"),
@@ -196,15 +198,15 @@ def map_orders(raw: dict[str, DataFrame]) -> DataFrame:
 
 def map_order_items(raw: dict[str, DataFrame]) -> DataFrame:
     li, p = raw["lineitem"], raw["part"]
-    unit = F.col("p_retailprice").cast("decimal(12,2)")
+    unit = col("p_retailprice").cast("decimal(12,2)")
     return (
         li.join(p, li.l_partkey == p.p_partkey)
         .select(
-            (10 * F.col("l_orderkey") + F.col("l_linenumber")).alias("order_item_id"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("p_name").alias("item_name"),
-            _pick(F.col("l_partkey") % 4, ITEM_CATEGORIES).alias("item_category"),
-            F.col("l_quantity").cast("int").alias("quantity"),
+            (10 * col("l_orderkey") + col("l_linenumber")).alias("order_item_id"),
+            col("l_orderkey").alias("order_id"),
+            col("p_name").alias("item_name"),
+            _pick(col("l_partkey") % 4, ITEM_CATEGORIES).alias("item_category"),
+            col("l_quantity").cast("int").alias("quantity"),
             unit.alias("unit_price_rub"),
             (unit * F.lit(0.45).cast("decimal(3,2)")).cast("decimal(12,2)").alias("cogs_rub"),
         )
@@ -213,12 +215,12 @@ def map_order_items(raw: dict[str, DataFrame]) -> DataFrame:
 
 def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> DataFrame:
     o, ev = raw["orders"], raw["events"]
-    k = F.col("o_orderkey")
+    k = col("o_orderkey")
     ordering = (
-        o.where((F.col("o_orderstatus") != "P") & (k % 50 != 0))
+        o.where((col("o_orderstatus") != "P") & (k % 50 != 0))
         .select(
             (F.lit(SESSION_ID_OFFSET) + k).alias("session_id"),
-            F.col("o_custkey").alias("user_id"),
+            col("o_custkey").alias("user_id"),
             _plus_minutes(_order_ts(k), -(3 + k % 60)).alias("session_start_ts"),
             _order_ts(k).alias("session_end_ts"),
             _pick(k % 5, ORDER_SESSION_SOURCES).alias("session_source"),
@@ -226,14 +228,14 @@ def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> D
             F.lit(1).alias("did_order"),
         )
     )
-    start = _plus_days(F.col("ts"), F.lit(-EVENT_SHIFT_DAYS))
+    start = _plus_days(col("ts"), F.lit(-EVENT_SHIFT_DAYS))
     browsing = ev.select(
-        F.col("event_id").alias("session_id"),
-        F.col("user_id"),
+        col("event_id").alias("session_id"),
+        col("user_id"),
         start.alias("session_start_ts"),
-        _plus_minutes(start, 1 + F.col("event_id") % 40).alias("session_end_ts"),
-        _lookup(F.col("event_type"), EVENT_SESSION_SOURCES).alias("session_source"),
-        (F.col("event_type") == "click").cast("int").alias("is_push_opened"),
+        _plus_minutes(start, 1 + col("event_id") % 40).alias("session_end_ts"),
+        _lookup(col("event_type"), EVENT_SESSION_SOURCES).alias("session_source"),
+        (col("event_type") == "click").cast("int").alias("is_push_opened"),
         F.lit(0).alias("did_order"),
     )
     users = users if users is not None else map_users(raw)
@@ -248,7 +250,7 @@ def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> D
 
 def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
     c = raw["customer"]
-    k = F.col("c_custkey")
+    k = col("c_custkey")
     day = ((k - k % 2) % 90)
     return (
         c.where(k % 10 != 9)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+
+from retainr.functions.columns import col
 from pyspark.sql import types as T
 
 from retainr.sources.schemas import SCHEMAS
@@ -29,7 +31,7 @@ def _text_schema(schema: T.StructType, extra: list[str] | None = None) -> T.Stru
 def _typed(df: DataFrame, schema: T.StructType, precision: str) -> DataFrame:
     cols = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = col(f.name)
         if isinstance(f.dataType, T.TimestampNTZType):
             c = F.trim(c).cast("timestamp_ntz")
             if precision == "second":
@@ -37,7 +39,7 @@ def _typed(df: DataFrame, schema: T.StructType, precision: str) -> DataFrame:
         elif isinstance(f.dataType, T.DateType):
             c = F.trim(c).cast("date")
         cols.append(c.alias(f.name))
-    rest = [F.col(c) for c in df.columns if c not in schema.fieldNames()]
+    rest = [col(c) for c in df.columns if c not in schema.fieldNames()]
     return df.select(*cols, *rest)
 
 
@@ -56,7 +58,7 @@ def load_table(spark: SparkSession, name: str, path: str, fmt: str = "csv",
             T.StructField(f.name, T.TimestampNTZType(), f.nullable) if f.name in timestamp_cols else f
             for f in schema.fields])
     if fmt == "parquet":
-        return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        return spark.read.parquet(path).select(*[col(f.name).cast(f.dataType) for f in schema.fields])
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
     reader = (spark.read.schema(_text_schema(schema, [corrupt_column] if corrupt_column else None))
