@@ -20,16 +20,55 @@ DEFAULT_CONF = {
 }
 
 
+MB = 1 << 20
+GB = 1 << 30
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 executor_memory_gb: float = 16.0,
+                 target_partition_bytes: int = 256 * MB) -> dict[str, str]:
+    """Partition sizing for a cluster run.
+
+    * Scan splits of ``target_partition_bytes`` (256 MB of Parquet, ~0.5-1 GB in memory).
+    * Shuffle partitions: input / target (an upper bound of the largest shuffle; the fact-table
+      shuffles here carry a few columns after partial aggregation, so far less), at least 2 and
+      at most 25 waves of tasks over all cores.  AQE then coalesces small partitions to the same
+      advisory size and splits skewed ones.
+    * A task gets ``executor_memory / cores`` of heap; the advisory size is capped at a quarter
+      of that so sorts and hash aggregates stay in memory instead of spilling.
+    * Broadcast threshold stays small (64 MB): only dimensions that are small at the real scale
+      are broadcast automatically; everything bigger is a shuffle join.
+    """
+    cores = max(1, executors * cores_per_executor)
+    per_task = int(executor_memory_gb * GB / max(1, cores_per_executor))
+    advisory = max(32 * MB, min(target_partition_bytes, per_task // 4))
+    # capped at 25 per core: more reduce partitions only add map-status bookkeeping, and the
+    # shuffles here carry partially aggregated rows, far less than the input
+    shuffle = max(2 * cores, min(-(-input_bytes // advisory), 25 * cores))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(advisory),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(advisory),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * advisory),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * MB),
+        "spark.default.parallelism": str(2 * cores),
+    }
+
+
 def get_spark(master: str | None = None, app_name: str = "retainr",
-              shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra_conf: dict | None = None,
+              sizing: dict | None = None) -> SparkSession:
     """Return (or create) a session with the defaults above.
 
-    On a cluster pass ``master=None`` so spark-submit decides; tests pass ``local[N]``.
+    On a cluster pass ``master=None`` so spark-submit decides, and ``sizing=cluster_conf(...)``
+    for the data volume; tests pass ``local[N]``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    conf.update(sizing or {})
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})

@@ -33,3 +33,13 @@ def test_stored_copy_is_reused_across_sessions_of_same_input(spark):
     a = CanonicalTables(spark, SF_SMALL)["fact_orders"]
     b = CanonicalTables(spark, SF_SMALL)["fact_orders"]  # a new instance, as in a new session
     assert a.inputFiles() == b.inputFiles()
+
+
+def test_cluster_sizing():
+    conf = session.cluster_conf(100 * 2**40, executors=1000, cores_per_executor=4,
+                                executor_memory_gb=16)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 25 * 4000
+    assert int(conf["spark.sql.files.maxPartitionBytes"]) == 256 * 2**20
+    small = session.cluster_conf(10 * 2**30, executors=10, cores_per_executor=8, executor_memory_gb=8)
+    assert int(small["spark.sql.shuffle.partitions"]) >= 160
+    assert int(small["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) == 256 * 2**20
