@@ -79,3 +79,25 @@ def test_several_orders_share_one_pass(spark):
     j = ranked.join(ref, ["user_id", "m", "m2"])
     bad = j.where((F.col("ra") != F.col("xa")) | (F.col("rb") != F.col("xb")) | (F.col("rc") != F.col("xc")))
     assert n == 3000 and bad.count() == 0
+
+
+def test_round_ratio_matches_decimal_half_up(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from retainr.functions.numeric import round_ratio
+
+    rng = random.Random(7)
+    pairs = [(rng.randint(-10**7, 10**7), rng.randint(1, 10**4)) for _ in range(3000)]
+    pairs += [(k * 5, 1000) for k in range(-40, 40)]          # exact ties at the 3rd decimal
+    df = spark.createDataFrame(pairs, "n long, d long")
+    got = [(r[0], r[1], r[2], r[3]) for r in df.select(
+        "n", "d", round_ratio(F.col("n"), F.col("d"), 2), round_ratio(F.col("n"), F.col("d"), 4)).collect()]
+    for n, d, r2, r4 in got:
+        for digits, r in ((2, r2), (4, r4)):
+            q = Decimal(1).scaleb(-digits)
+            want = (Decimal(abs(n)) / Decimal(d)).quantize(q, rounding=ROUND_HALF_UP)
+            want = -want if n < 0 else want
+            assert r == float(want), (n, d, digits, r, want)
+    zero = spark.createDataFrame([(5, 0)], "n long, d long").select(round_ratio(F.col("n"), F.col("d"), 2)).first()[0]
+    assert zero is None
