@@ -32,6 +32,8 @@ ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 64
 MAX_BUCKETS = 20_000
 MIN_ROWS_PER_BUCKET = 256
+RANGES_PER_CORE = 4
+LARGE_INPUT_ROWS = 1_000_000
 
 
 def _literal(value, dtype) -> Column:
@@ -65,7 +67,12 @@ def _range_index(df: DataFrame, cols: list[str], splits: list[tuple]) -> Column:
 
 
 def _n_buckets(df: DataFrame, n: int, rows_per_bucket: int) -> int:
-    parallel = min(df.sparkSession.sparkContext.defaultParallelism, n // MIN_ROWS_PER_BUCKET)
+    # Large inputs get several ranges per core: the window shuffle hashes range ids onto
+    # partitions, and more, smaller ranges per partition even out hash collisions.  Small
+    # inputs keep one per core, where the extra ranges would only add fixed costs.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    per_core = RANGES_PER_CORE if n >= LARGE_INPUT_ROWS else 1
+    parallel = min(per_core * cores, n // MIN_ROWS_PER_BUCKET)
     return max(1, min(MAX_BUCKETS, max(math.ceil(n / max(rows_per_bucket, 1)), parallel)))
 
 
