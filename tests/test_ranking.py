@@ -101,3 +101,18 @@ def test_round_ratio_matches_decimal_half_up(spark):
             assert r == float(want), (n, d, digits, r, want)
     zero = spark.createDataFrame([(5, 0)], "n long, d long").select(round_ratio(F.col("n"), F.col("d"), 2)).first()[0]
     assert zero is None
+
+
+def test_large_input_path_balances_ranges(spark, monkeypatch):
+    from retainr.operators import ranking
+
+    monkeypatch.setattr(ranking, "LARGE_INPUT_ROWS", 0)   # force the large-input layout
+    df = _data(spark, 4000)
+    ranked, _ = ranking.global_ranks(df, {"r": ["m"]}, "user_id", rows_per_bucket=250)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(__b_r" in plan and "hashpartitioning(__b_r" not in plan
+    ref = df.withColumn("x", F.row_number().over(Window.orderBy("m", "user_id")))
+    assert ranked.join(ref, ["user_id", "m"]).where(F.col("r") != F.col("x")).count() == 0
+    cum = ranking.running_sums(df.withColumn("w", F.lit(1)), ["m"], "user_id", {"c": "w"},
+                               rows_per_bucket=250)
+    assert cum.join(ref, ["user_id", "m"]).where(F.col("c") != F.col("x")).count() == 0
