@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainr.llm import chat, mixing, pii, substrings
+from retainr.llm import chat, mixing, neardup, pii, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.array_max(F.transform(F.concat(*every), lambda s: s["score"])), 4).alias("top_score"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     fixed = spark.createDataFrame(
@@ -48,6 +52,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_pii": op5_pii,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,
 }
