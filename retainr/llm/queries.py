@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainr.llm import chat, mixing, neardup, pii, substrings
+from retainr.llm import chat, decontam, mixing, neardup, pii, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.span_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [f"pii_{k}" for k in pii.BASE]
@@ -51,6 +55,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op5_pii": op5_pii,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_chat_format": op9_chat_format,
