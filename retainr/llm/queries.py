@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainr.llm import chat, decontam, mixing, neardup, pii, substrings
+from retainr.llm import chat, decontam, langid, mixing, neardup, pii, substrings, toxicity
+from retainr.llm.shared import importable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +26,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_remainder(5) != 0).select("doc_id", "text", "lang"))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"])
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.span_columns(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [f"pii_{k}" for k in pii.BASE]
@@ -32,6 +45,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.array_max(F.transform(F.concat(*every), lambda s: s["score"])), 4).alias("top_score"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_remainder(4) != 2)
+    model = toxicity.train(docs, labels)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    scored = toxicity.score(docs.select("doc_id", held_out, "text"), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +79,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language": op4_language,
     "op5_pii": op5_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,3 +29,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/retainr-llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Put the folder that holds this package on the Python path of the workers, for sessions that
+    were started elsewhere without ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in path:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in path if p] + [root])
+    return spark
