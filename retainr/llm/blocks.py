@@ -105,10 +105,12 @@ def _block(first: int, data: np.ndarray, offsets: np.ndarray) -> Block:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null counts as empty."""
+    """Bytes and offsets of a column of strings or UTF-8; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).cast(pa.large_binary())
+    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     if column.null_count:
         column = pc.fill_null(column, b"")
     _, offsets, data = column.buffers()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainr.llm import chat, decontam, langid, mixing, neardup, pii, substrings, toxicity
+from retainr.llm import chat, decontam, langid, mixing, neardup, pii, pseudolikelihood, substrings, toxicity
 from retainr.llm.shared import importable
 
 
@@ -22,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudolikelihood.score(docs, pseudolikelihood.train(docs), ["doc_id"])
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +83,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_pseudo_likelihood": op2_pseudo_likelihood,
     "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
     "op5_pii": op5_pii,

@@ -10,7 +10,7 @@ and a label for it: the windows around it and the words before and after them.
    source coordinates: consecutive nodes that do not branch are compacted into one path, because
    every occurrence of its first node runs through the whole path; at a branching node the windows stay
    single.  Each path or window carries its coordinates (document, first word, length) and a
-   second, independent hash of the very words found there, which verifies it.
+   second, independent hash of the very words found there, which verifies it (96 bits in all).
 3. ``groupBy(path)`` finds the first document of each verified path, a join marks the later ones,
    and each document drops the words that marked spans cover, plus windows repeated inside itself.
 
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,17 +95,25 @@ def _nodes(batches, k):
                     pa.array(ids[block.first + g.node_row[keep]])], ["node", "label", "ord"])
 
 
-def _rank(x: np.ndarray) -> np.ndarray:
-    """Positions in a run of True values: starts of runs and their lengths."""
-    edge = np.diff(np.concatenate(([0], x.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def _packed(batches):
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [pack.compress(x.as_buffer()) if x.is_valid else None
+                 for x in batch.column(3).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(texts, pa.binary())], ["ord", "digest", "doc_id", "packed"])
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x.as_buffer()) if x.is_valid else b"" for x in column], pa.large_binary())
 
 
 def _paths(batches, k):
     for batch in batches:
         ids, digests = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        plain, branching = batch.column(3), batch.column(4)
-        for block in B.blocks(batch.column(2)):
+        plain, branching = batch.column(4), batch.column(5)
+        for block in B.blocks(_unpacked(batch.column(3))):
             g = _Graph(block, k)
             n = len(g.node)
             single, forked = np.zeros(n, bool), np.zeros(n, bool)
@@ -134,7 +143,7 @@ def _paths(batches, k):
             local = s - block.words[rows]
             order = np.argsort(s, kind="stable")
             yield pa.RecordBatch.from_arrays([
-                pa.array(B.signed(keys[order])), pa.array(B.signed(checks[order])),
+                pa.array(B.signed(keys[order])), pa.array((checks[order] >> B.U64(32)).astype(np.uint32).view(np.int32)),
                 pa.array(ids[block.first + rows[order]]), pa.array(digests[block.first + rows[order]]),
                 pa.array(local[order].astype(np.int32)), pa.array(w[order].astype(np.int32))],
                 ["path", "words", "ord", "digest", "start", "windows"])
@@ -142,9 +151,9 @@ def _paths(batches, k):
 
 def _kept(batches, k):
     for batch in batches:
-        spans = batch.column(2)
+        own, spans = np.asarray(batch.column(1)), batch.column(4)
         n_words, n_removed, digest, texts = [], [], [], []
-        for block in B.blocks(batch.column(1)):
+        for block in B.blocks(_unpacked(batch.column(3))):
             g = _Graph(block, k)
             drop = np.zeros(len(block.starts) + 1, np.int64)
             # windows that started earlier in the same text
@@ -156,8 +165,9 @@ def _kept(batches, k):
             for i in range(len(block)):
                 marked = spans[block.first + i].values
                 if marked is not None and len(marked):
-                    at = block.words[i] + np.asarray(marked.field("start")).astype(np.int64)
-                    to = at + np.asarray(marked.field("windows")) + k - 1
+                    mine = np.asarray(marked.field("digest")) == own[block.first + i]
+                    at = block.words[i] + np.asarray(marked.field("start")).astype(np.int64)[mine]
+                    to = at + np.asarray(marked.field("windows"))[mine] + k - 1
                     np.add.at(drop, at, 1)
                     np.add.at(drop, to, -1)
             gone = np.cumsum(drop)[:-1] > 0
@@ -171,17 +181,22 @@ def _kept(batches, k):
                 digest.append(hashlib.sha256(left).hexdigest())
                 texts.append(left)
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            batch.column(2), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
             pa.array(digest, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())],
             ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
+def _documents(docs: DataFrame) -> DataFrame:
+    """(ord, digest, doc_id, packed): the texts as they travel, compressed."""
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("digest"),
+                       "doc_id", "text").mapInArrow(
+        _packed, "ord long, digest long, doc_id long, packed binary")
+
+
+def repeated_spans(docs: DataFrame, packed: DataFrame, k: int = K) -> DataFrame:
     """(ord, digest, start, windows): word spans of each document, ``windows`` + k - 1 words from word
     number ``start``, all of whose windows also occur in a document with a smaller id."""
-    ids = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"),
-                      F.xxhash64("text").alias("digest"), "text")
-    nodes = ids.select("ord", "text").mapInArrow(
+    nodes = docs.select(F.coalesce("doc_id", F.lit(LAST)), "text").mapInArrow(
         lambda b: _nodes(b, k), "node long, label long, ord long")
     shared = nodes.groupBy("node").agg(
         F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.min("label").alias("a"), F.max("label").alias("z")
@@ -189,12 +204,10 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     seen = nodes.select("node", "ord").join(shared, "node").groupBy("ord").agg(
         F.collect_list(F.when(~F.col("branches"), F.col("node"))).alias("plain"),
         F.collect_list(F.when(F.col("branches"), F.col("node"))).alias("branching"))
-    paths = ids.join(seen, "ord").select("ord", "digest", "text", "plain", "branching").mapInArrow(
-        lambda b: _paths(b, k),
-        "path long, words long, ord long, digest long, start int, windows int")
-    first = paths.groupBy("path", "words").agg(
-        F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").drop("hi")
-    return paths.join(first, ["path", "words"]).where(F.col("ord") > F.col("lo")).select(
+    paths = packed.join(seen, "ord").select(*packed.columns, "plain", "branching").mapInArrow(
+        lambda b: _paths(b, k), "path long, words int, ord long, digest long, start int, windows int")
+    first = paths.groupBy("path", "words").agg(F.min("ord").alias("first"))
+    return paths.join(first, ["path", "words"]).where("ord > first").select(
         "ord", "digest", "start", "windows")
 
 
@@ -202,10 +215,9 @@ def dedup_substrings(docs: DataFrame, k: int = K) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and kept_text (the kept words
     joined by one space).  A word goes if a window of ``k`` words that covers it also starts earlier:
     in a document with a smaller id, or earlier in the same one."""
-    marked = repeated_spans(docs, k).groupBy("ord", "digest").agg(
-        F.collect_list(F.struct("start", "windows")).alias("spans"))
-    ids = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("ord"),
-                      F.xxhash64("text").alias("digest"))
-    return ids.join(marked, ["ord", "digest"], "left").select("doc_id", "text", "spans").mapInArrow(
+    packed = _documents(docs)  # both joins take it dealt by ord: one exchange of the texts
+    marked = repeated_spans(docs, packed, k).groupBy("ord").agg(
+        F.collect_list(F.struct("digest", "start", "windows")).alias("spans"))
+    return packed.join(marked, "ord", "left").select(*packed.columns, "spans").mapInArrow(
         lambda b: _kept(b, k),
         "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
