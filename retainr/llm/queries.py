@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainr.llm import chat, decontam, langid, mixing, neardup, pii, pseudolikelihood, substrings, toxicity
+from retainr.llm import ann, chat, decontam, langid, mixing, neardup, pii, pseudolikelihood, substrings, toxicity
 from retainr.llm.shared import importable
 
 
@@ -50,6 +50,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.array_max(F.transform(F.concat(*every), lambda s: s["score"])), 4).alias("top_score"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_remainder(4) != 2)
@@ -87,6 +91,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
     "op5_pii": op5_pii,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_chat_format": op9_chat_format,
