@@ -87,19 +87,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     walk = (Window.partitionBy("__source").orderBy("__class", "__slice")
             .rowsBetween(Window.unboundedPreceding, -1))
     cells = (cells.withColumn("__before", F.coalesce(F.sum("n").over(walk), F.lit(0)))
-             .join(per_source, F.col("__source").eqNullSafe(F.col("source"))).drop("source", "n", "size"))
+             .join(per_source, F.col("__source").eqNullSafe(F.col("source"))).select(
+                 F.col("__source").alias("__s"), F.col("__class").alias("__c"), F.col("__slice").alias("__l"), "__before",
+                 F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     cell = Window.partitionBy("__source", "__class", "__slice").orderBy("mix_size", "__hash", "__id")
     d = d.withColumn("__at", F.row_number().over(cell) - 1)
-    d = d.join(cells.withColumnRenamed("__source", "__s").withColumnsRenamed(
-        {"__class": "__c", "__slice": "__l"}),
-        F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c"))
-        & (F.col("__slice") == F.col("__l")))
+    d = d.join(cells, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c"))
+               & (F.col("__slice") == F.col("__l")))
     offset = _hash(F.lit(seed), F.coalesce("__source", F.lit("null"))) / F.lit(float(1 << 32))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     number = F.col("__before") + F.col("__at")
     copies = F.floor(offset + (number + 1) * rate) - F.floor(offset + number * rate)
-    return d.select(*cols, "mix_size", F.col("source_size").alias("mix_source_size"),
-                    F.col("target").alias("mix_target"),
+    return d.select(*cols, "mix_size", F.col("__source_size").alias("mix_source_size"),
+                    F.col("__target").alias("mix_target"),
                     F.least(copies, F.lit(int(limit)).cast("long")).alias("mix_copies"))
 
 

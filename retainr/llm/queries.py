@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from retainr.llm import ann, chat, decontam, langid, mixing, neardup, pii, pseudolikelihood, substrings, toxicity
 from retainr.llm.shared import importable
 
@@ -96,6 +97,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}

@@ -284,10 +284,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     return model
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``toxicity`` (0 to 1)."""
+def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", out: str = "toxicity") -> DataFrame:
+    """The columns ``keep`` with ``out``, the score (0 to 1)."""
     at = len(keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["toxicity double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{out}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
         for batch in batches:
             p = np.zeros(batch.num_rows) if m is None else 1 / (1 + np.exp(-np.clip(
                 features(batch.column(at), m) @ m.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(p)], [*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(p)], [*keep, out])
 
     # the text comes last, also when it is kept
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
