@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from retainr.llm import ann, chat, decontam, langid, mixing, neardup, pii, pseudolikelihood, substrings, toxicity
+from retainr.llm.oracles import SQL
 from retainr.llm.shared import importable
 
 
@@ -100,4 +101,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
