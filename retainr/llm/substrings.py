@@ -81,6 +81,15 @@ class _Graph:
         return B.span_hashes(B.mix64(self.hashes ^ B.U64(B.CHECK_BASE)), starts, ends, B.CHECK_BASE)
 
 
+ROWS = 256  # documents that a task holds unpacked
+
+
+def _slices(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _nodes(batches, k):
     for batch in batches:
         ids = np.asarray(batch.column(0))
@@ -97,7 +106,7 @@ def _nodes(batches, k):
 
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _slices(batches):
         texts = [pack.compress(x.as_buffer()) if x.is_valid else None
                  for x in batch.column(3).cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays(
@@ -110,7 +119,7 @@ def _unpacked(column: pa.Array) -> pa.Array:
 
 
 def _paths(batches, k):
-    for batch in batches:
+    for batch in _slices(batches):
         ids, digests = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         plain, branching = batch.column(4), batch.column(5)
         for block in B.blocks(_unpacked(batch.column(3))):
@@ -141,7 +150,10 @@ def _paths(batches, k):
             rows = np.concatenate([g.node_row[heads], g.row[which]])
             checks = g.checks(s, s + w + k - 1)
             local = s - block.words[rows]
+            # once a text: its later repeats go anyway
             order = np.argsort(s, kind="stable")
+            own = B.mix64(keys[order] + rows[order].astype(B.U64) * B.U64(B.BYTE_BASE))
+            order = order[np.sort(np.unique(own, return_index=True)[1])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(B.signed(keys[order])), pa.array((checks[order] >> B.U64(32)).astype(np.uint32).view(np.int32)),
                 pa.array(ids[block.first + rows[order]]), pa.array(digests[block.first + rows[order]]),
@@ -150,7 +162,7 @@ def _paths(batches, k):
 
 
 def _kept(batches, k):
-    for batch in batches:
+    for batch in _slices(batches):
         own, spans = np.asarray(batch.column(1)), batch.column(4)
         n_words, n_removed, digest, texts = [], [], [], []
         for block in B.blocks(_unpacked(batch.column(3))):
@@ -190,7 +202,8 @@ def _documents(docs: DataFrame) -> DataFrame:
     """(ord, digest, doc_id, packed): the texts as they travel, compressed."""
     return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("digest"),
                        "doc_id", "text").mapInArrow(
-        _packed, "ord long, digest long, doc_id long, packed binary")
+        _packed, "ord long, digest long, doc_id long, packed binary").where(
+        "ord IS NOT NULL")  # said here, both joins see the same plan and share its exchange
 
 
 def repeated_spans(docs: DataFrame, packed: DataFrame, k: int = K) -> DataFrame:
