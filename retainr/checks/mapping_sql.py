@@ -31,7 +31,7 @@ dim_restaurants AS (
     SELECT
         s.s_suppkey AS restaurant_id,
         s.s_name AS restaurant_name,
-        CASE s.s_suppkey % 3 WHEN 0 THEN 'Sushi' WHEN 1 THEN 'Pizza' ELSE 'Coffee' END AS cuisine_type,
+        CASE s.s_suppkey % 3 WHEN 0 THEN 'cuisine_a' WHEN 1 THEN 'cuisine_b' ELSE 'cuisine_c' END AS cuisine_type,
         g.geo_city AS city,
         CAST(12 + s.s_suppkey % 34 AS INTEGER) AS average_prep_minutes,
         CAST((32 + s.s_suppkey % 18) / 10 AS DECIMAL(3,2)) AS rating
@@ -42,7 +42,7 @@ dim_couriers AS (
         s.s_suppkey AS courier_id,
         g.geo_city AS city,
         CASE s.s_suppkey % 3 WHEN 0 THEN 'bike' WHEN 1 THEN 'car' ELSE 'foot' END AS courier_type,
-        CASE s.s_suppkey % 3 WHEN 0 THEN 'night' WHEN 1 THEN 'day' ELSE 'evening' END AS shift_type,
+        CASE s.s_suppkey % 3 WHEN 0 THEN 'shift_a' WHEN 1 THEN 'shift_b' ELSE 'shift_c' END AS shift_type,
         DATE '1994-01-01' + CAST(s.s_suppkey % 365 AS INTEGER) AS hire_date,
         CAST(8 + s.s_suppkey % 22 AS DECIMAL(5,2)) AS avg_speed_kmh,
         CAST((65 + s.s_suppkey % 34) / 100 AS DECIMAL(5,4)) AS on_time_rate
@@ -50,16 +50,15 @@ dim_couriers AS (
 ),
 dim_promo_campaigns AS (
     SELECT
-        p.p_partkey AS campaign_id,
-        p.p_name AS campaign_name,
-        DATE '1995-01-01' + CAST(30 * p.p_partkey AS INTEGER) AS start_date,
-        DATE '1995-01-01' + CAST(30 * p.p_partkey + 6 + p.p_partkey % 8 AS INTEGER) AS end_date,
-        CAST(8 + p.p_partkey % 22 AS DECIMAL(5,2)) AS discount_pct,
-        CAST(50000 + (p.p_partkey % 10) * 20000 AS DECIMAL(12,2)) AS min_basket_rub,
-        CASE p.p_partkey % 4 WHEN 0 THEN 'free_delivery' WHEN 1 THEN 'percent_discount'
+        p.k AS campaign_id,
+        p.campaign_name,
+        DATE '1995-01-01' + CAST(30 * p.k AS INTEGER) AS start_date,
+        DATE '1995-01-01' + CAST(30 * p.k + 6 + p.k % 8 AS INTEGER) AS end_date,
+        CAST(8 + p.k % 22 AS DECIMAL(5,2)) AS discount_pct,
+        CAST(50000 + (p.k % 10) * 20000 AS DECIMAL(12,2)) AS min_basket_rub,
+        CASE p.k % 4 WHEN 0 THEN 'free_delivery' WHEN 1 THEN 'percent_discount'
              WHEN 2 THEN 'combo_offer' ELSE 'reactivation' END AS campaign_type
-    FROM part p
-    WHERE p.p_partkey < 80
+    FROM (SELECT p_partkey % 80 AS k, MIN(p_name) AS campaign_name FROM part GROUP BY 1) p
 ),
 fact_orders AS (
     SELECT
@@ -105,7 +104,7 @@ sessions_raw AS (
         CAST(o.o_orderkey % 3 = 0 AS INTEGER) AS is_push_opened,
         1 AS did_order
     FROM orders o
-    WHERE o.o_orderstatus <> 'P' AND o.o_orderkey % 50 <> 0
+    WHERE o.o_orderstatus <> 'P'
     UNION ALL
     SELECT
         e.event_id AS session_id,
@@ -134,7 +133,6 @@ fact_ab_test_assignments AS (
             + to_minutes(CAST(c.c_custkey % 1440 AS INTEGER)) AS assigned_at,
         CASE c.c_custkey % 3 WHEN 0 THEN 'home_feed' WHEN 1 THEN 'push' ELSE 'search' END AS exposure_channel
     FROM customer c
-    WHERE c.c_custkey % 10 <> 9
 )
 """
 

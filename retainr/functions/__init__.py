@@ -1,9 +1 @@
-"""Scalar column helpers; every one returns a native Spark ``Column`` (no Python UDF)."""
-
-from retainr.functions.dates import (  # noqa: F401
-    day_of, month_label, month_start, monday_week_start, week_start, year_month, days_between,
-    minutes_between, plus_days,
-)
-from retainr.functions.numeric import (  # noqa: F401
-    clip, pct_text, round_double, round_money, safe_divide, safe_ratio, thousands_text,
-)
+"""Scalar Column helpers."""

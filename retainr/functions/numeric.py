@@ -43,39 +43,35 @@ def clip(x, lower=None, upper=None) -> Column:
     return F.when(_c(x).isNotNull(), out)
 
 
-def pct_text(x, decimals: int = 2) -> Column:
-    """Share -> percent text, ``pct(0.1234) == '12.34%'`` (C20)."""
-    return F.format_string(f"%.{decimals}f%%", _c(x).cast("double") * 100)
-
-
 def thousands_text(x) -> Column:
     """Integer with blank thousands separators, ``f'{v:,}'.replace(',', ' ')`` (C20)."""
     return F.replace(F.format_number(_c(x).cast("long"), 0), F.lit(","), F.lit(" "))
 
 
-def _int_div(a: Column, b: Column) -> Column:
-    """Exact floor division of non-negative long ``a`` by positive long ``b``."""
-    return F.round((a - F.pmod(a, b)) / b).cast("long")
-
-
 def round_ratio(num, den, digits: int) -> Column:
     """``ROUND(num / den, digits)`` for integer-valued ``num``/``den`` with exact half-away-from-
     zero rounding (decimal semantics, no binary floating-point tie errors); NULL when den = 0.
 
-    Used for every rounded share or mean so that results are identical on any engine.
+    Quotient and remainder are taken first and only the remainder is scaled, all in 38-digit
+    decimals, so sums far beyond 64 bits round exactly too.  Used for every rounded share or mean so
+    that results are identical on any engine.
     """
-    n, d = _c(num).cast("long"), _c(den).cast("long")
-    scale = 10 ** digits
-    q = _int_div(2 * F.abs(n) * scale + d, 2 * d)
-    signed = F.when(n < 0, -q).otherwise(q)
-    return F.when(d != 0, signed.cast("double") / scale)
+    n, d = _c(num).cast("decimal(38,0)"), _c(den).cast("decimal(20,0)")
+    size, unit = F.abs(n).cast("decimal(38,0)"), F.nullif(F.abs(d), F.lit(0).cast("decimal(20,0)"))
+    rest = F.try_mod(size, unit).cast("decimal(20,0)")
+    whole = ((size - rest) / unit).cast("decimal(28,0)")
+    scale = F.lit(10 ** digits).cast("decimal(10,0)")
+    twice = (2 * rest * scale + unit).cast("decimal(38,0)")
+    part = F.call_function("div", twice, (2 * unit).cast("decimal(21,0)"))
+    value = (whole + part.cast("decimal(28,8)") / scale).cast("double")
+    return F.when((n < 0) != (d < 0), -value).otherwise(value)
 
 
 def avg_round(x, digits: int, scale: int = 0) -> Column:
     """Aggregate: ``ROUND(AVG(x), digits)`` with exact decimal semantics.
 
     ``scale`` is the number of decimals ``x`` carries (0 for integers / 0-1 flags, 2 for money),
-    so ``x * 10**scale`` is an exact integer.
+    so ``x * 10**scale`` is an exact integer; it is summed as a 28-digit decimal.
     """
-    units = F.round(_c(x) * (10 ** scale)).cast("long")
+    units = F.round(_c(x) * (10 ** scale)).cast("decimal(28,0)")
     return round_ratio(F.sum(units), F.count(_c(x)) * (10 ** scale), digits)

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and a date-range (interval containment) join."""
+"""Date-range (interval containment) join."""
 
 from __future__ import annotations
 
@@ -7,27 +7,17 @@ from pyspark.sql import functions as F
 
 from retainr.functions.columns import col
 
-BROADCAST_MAX_ROWS = 100_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  Reads at most ``max_rows + 1`` rows
-    (a ``limit`` job), so the check itself stays cheap however large ``df`` is."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
 
 def date_range_join(left: DataFrame, date_col: str, right: DataFrame, start_col: str,
-                    end_col: str, how: str = "left",
-                    max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                    end_col: str, how: str = "left") -> DataFrame:
     """Rows of ``left`` joined to every ``right`` row whose ``[start, end]`` (dates, inclusive)
-    holds ``left[date_col]``.
+    holds ``left[date_col]``; an interval that ends before it starts holds no date.
 
     The right side is exploded to one row per covered day and joined on the date with an equi
     join: a hash lookup per left row instead of a comparison with every interval (a nested
-    loop).  The exploded side is broadcast when its checked size is small, else both sides are
-    shuffled on the date and AQE splits a skewed day.
+    loop).  AQE broadcasts the exploded side when its measured size is small, else it splits a
+    skewed day.
     """
-    days = right.withColumn("__day", F.explode(F.sequence(col(start_col), col(end_col))))
-    if fits_broadcast(days, max_broadcast_rows):
-        days = F.broadcast(days)
+    days = right.where(col(start_col) <= col(end_col)).withColumn(
+        "__day", F.explode(F.sequence(col(start_col), col(end_col))))
     return left.join(days, left[date_col] == days["__day"], how).drop("__day")

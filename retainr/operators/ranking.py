@@ -1,220 +1,119 @@
-"""Exact global rank, NTILE and equal-count bins without a single-partition window.
-
-``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task.  Here the total
-order ``(keys..., tie)`` is cut into P contiguous ranges:
-
-1. a small sample of key tuples (about ``SAMPLE_PER_BUCKET`` per range) is sorted on the driver
-   and P-1 split tuples are picked;
-2. every row gets the number of its range by a binary search over the literal split array
-   (``aggregate`` over ``log2(P)`` steps, JVM-side, no UDF);
-3. rows per range are counted (P numbers to the driver) and turned into offsets;
-   P is at least the cluster's default parallelism once there are enough rows, and a single
-   range only for inputs below ``MIN_ROWS_PER_BUCKET`` rows;
-4. ``row_number()`` over ``partitionBy(range).orderBy(keys, tie)`` plus the range offset is the
-   exact global rank.
-
-Ranges are deterministic functions of the row, so the counts of step 3 and the numbering of
-step 4 always agree, and the sample only affects balance, never the result.  Because the tie
-key (normally the user id) is part of the split tuples, a single metric value holding a large
-share of the rows is spread over several ranges.
+"""Exact global order without a single-task sort: rows at given ranks, tiles, bins, running sums.
+
+Everything is a lazy plan without a driver job.  A value has a *class*, a monotone function with
+at most about 66,000 results whatever the data (sign, bit length and the ``CLASS_BITS`` bits after the first).  Counts per class are prefix-summed in one small window; counts per
+distinct value only inside the few classes that hold a wanted rank; rows are numbered only
+inside the cell (value, class of the tie key) that holds it.  A value that a third of all rows share is many
+cells, because the tie key splits it, and all counts are combined before they are shuffled.
+
+Tiles and bins need only the k - 1 rows at their upper ends: they are found first, as a scalar
+subquery, and every row is then compared with them in a projection, without a window or a shuffle.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retainr.functions.columns import col
 
-ROWS_PER_BUCKET = 2_000_000
-SAMPLE_PER_BUCKET = 64
-MAX_BUCKETS = 20_000
-MIN_ROWS_PER_BUCKET = 256
-RANGES_PER_CORE = 4
-LARGE_INPUT_ROWS = 1_000_000
-
-
-def _literal(value, dtype) -> Column:
-    return F.lit(value).cast(dtype)
-
-
-def _range_index(df: DataFrame, cols: list[str], splits: list[tuple]) -> Column:
-    """Number of split tuples <= the row's key tuple (0..len(splits))."""
-    if not splits:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    names = [f"k{i}" for i in range(len(cols))]
-    row = F.struct(*[col(c).alias(n) for c, n in zip(cols, names)])
-    arr = F.array(*[
-        F.struct(*[_literal(v, types[c]).alias(n) for v, c, n in zip(tup, cols, names)])
-        for tup in splits])
-    k = len(splits)
-    steps = max(1, math.ceil(math.log2(k + 1)))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.shiftright(lo + hi + 1, 1)
-        go_up = F.element_at(arr, F.greatest(mid, F.lit(1))) <= row
-        active = lo < hi
-        return F.struct(
-            F.when(active & go_up, mid).otherwise(lo).alias("lo"),
-            F.when(active & ~go_up, mid - 1).otherwise(hi).alias("hi"))
-
-    init = F.struct(F.lit(0).alias("lo"), F.lit(k).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
-
-
-def _n_buckets(df: DataFrame, n: int, rows_per_bucket: int) -> int:
-    # Large inputs get several ranges per core: the window shuffle hashes range ids onto
-    # partitions, and more, smaller ranges per partition even out hash collisions.  Small
-    # inputs keep one per core, where the extra ranges would only add fixed costs.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    per_core = RANGES_PER_CORE if n >= LARGE_INPUT_ROWS else 1
-    parallel = min(per_core * cores, n // MIN_ROWS_PER_BUCKET)
-    return max(1, min(MAX_BUCKETS, max(math.ceil(n / max(rows_per_bucket, 1)), parallel)))
-
-
-def _splits_from_sample(sample: list[tuple], buckets: int) -> list[tuple]:
-    sample = sorted(sample)
-    if len(sample) < buckets:
-        return sorted(set(sample))
-    step = len(sample) / buckets
-    return sorted(set(sample[int(round(i * step))] for i in range(1, buckets)))
-
-
-def _plan_ranges(df: DataFrame, orders: dict[str, list[str]], n: int, rows_per_bucket: int,
-                 seed: int) -> dict[str, list[tuple]]:
-    """Split tuples per order, all drawn from ONE sample pass over ``df``."""
-    buckets = _n_buckets(df, n, rows_per_bucket)
-    if buckets <= 1:
-        return {out: [] for out in orders}
-    cols = list(dict.fromkeys(c for cs in orders.values() for c in cs))
-    fraction = min(1.0, SAMPLE_PER_BUCKET * buckets / max(n, 1))
-    rows = df.select(*cols).sample(fraction=fraction, seed=seed).collect()
-    return {out: _splits_from_sample([tuple(r[c] for c in cs) for r in rows], buckets)
-            for out, cs in orders.items()}
-
-
-def _offsets(bucketed: DataFrame, splits: dict[str, list[tuple]],
-             measures: dict[str, Column]) -> dict[tuple[str, str], list[int]]:
-    """Per (order, measure): the measure summed over all earlier ranges, from ONE aggregation
-    over the (order, range) pairs of every row."""
-    totals: dict[tuple[str, str, int], int] = {}
-    multi = [out for out, sp in splits.items() if sp]
-    if multi:
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(out).alias("o"), col(f"__b_{out}").alias("b")) for out in multi]))
-        exploded = bucketed.select(pairs.alias("p"), *[m.alias(f"__m_{k}") for k, m in measures.items()])
-        agg = exploded.groupBy("p.o", "p.b").agg(*[F.sum(f"__m_{k}").alias(k) for k in measures])
-        for r in agg.collect():
-            for k in measures:
-                totals[(r["o"], k, r["b"])] = r[k] or 0
-    out = {}
-    for o, sp in splits.items():
-        for k in measures:
-            acc, offs = 0, []
-            for b in range(len(sp) + 1):
-                offs.append(acc)
-                acc += totals.get((o, k, b), 0)
-            out[(o, k)] = offs
-    return out
-
-
-def _balanced(df: DataFrame, bucket_col: str, ranges: int, n: int) -> DataFrame:
-    """For large inputs, give every range its own partition: range-partitioning on the range id
-    satisfies the window's clustering (no extra exchange) and, unlike hashing, never puts two
-    ranges on one partition while others stay empty.  Small inputs keep the hash exchange."""
-    if n < LARGE_INPUT_ROWS or ranges <= 1:
-        return df
-    return df.repartitionByRange(ranges, col(bucket_col))
-
-
-def global_ranks(df: DataFrame, orders: dict[str, list[str]], tie: str,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
-                 n_rows: int | None = None) -> tuple[DataFrame, int]:
-    """For every ``out_col -> keys`` in ``orders`` add ``out_col`` = 1-based position of the row in
-    ascending ``(keys..., tie)`` order.
-
-    ``tie`` must be unique per row (e.g. ``user_id``) so that each order is total; key columns
-    must be non-NULL.  All orders share one count, one sample pass and one range-count pass;
-    each order then costs one window shuffle.  Returns the ranked DataFrame and N.
-    """
-    full = {out: list(keys) + [tie] for out, keys in orders.items()}
-    n = df.count() if n_rows is None else n_rows
-    splits = _plan_ranges(df, full, n, rows_per_bucket, seed)
-    bucketed = df.withColumns({f"__b_{o}": _range_index(df, cols, splits[o]) for o, cols in full.items()})
-    offs = _offsets(bucketed, splits, {"rows": F.lit(1)})
-    out = bucketed
-    for o, cols in full.items():
-        out = _balanced(out, f"__b_{o}", len(splits[o]) + 1, n)
-        w = Window.partitionBy(f"__b_{o}").orderBy(*[col(c).asc() for c in cols])
-        arr = F.array(*[F.lit(v).cast("long") for v in offs[(o, "rows")]])
-        out = out.withColumn(o, F.element_at(arr, col(f"__b_{o}") + 1) + F.row_number().over(w))
-    return out.drop(*[f"__b_{o}" for o in full]), n
-
-
-def running_sums(df: DataFrame, keys: list[str], tie: str, weights: dict[str, str],
-                 rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
-                 n_rows: int | None = None) -> DataFrame:
-    """For every ``out_col -> weight column`` add the inclusive running sum of that integer column
-    in ascending ``(keys..., tie)`` order, distributed; all sums share one window."""
-    cols = list(keys) + [tie]
-    n = df.count() if n_rows is None else n_rows
-    splits = _plan_ranges(df, {"s": cols}, n, rows_per_bucket, seed)
-    bucketed = df.withColumn("__b_s", _range_index(df, cols, splits["s"]))
-    offs = _offsets(bucketed, splits, {o: col(w).cast("long") for o, w in weights.items()})
-    w = (Window.partitionBy("__b_s").orderBy(*[col(c).asc() for c in cols])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = _balanced(bucketed, "__b_s", len(splits["s"]) + 1, n)
-    for o, wc in weights.items():
-        arr = F.array(*[F.lit(v).cast("long") for v in offs[("s", o)]])
-        out = out.withColumn(o, F.element_at(arr, col("__b_s") + 1) + F.sum(col(wc).cast("long")).over(w))
-    return out.drop("__b_s")
-
-
-def global_rank(df: DataFrame, keys: list[str], tie: str, rank_col: str = "rank",
-                rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = 42,
-                n_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Single-order form of ``global_ranks``."""
-    return global_ranks(df, {rank_col: list(keys)}, tie, rows_per_bucket, seed, n_rows)
-
-
-def running_sum(df: DataFrame, keys: list[str], tie: str, weight: str, out_col: str,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Single-weight form of ``running_sums``."""
-    return running_sums(df, keys, tie, {out_col: weight}, rows_per_bucket)
-
-
-def ntile_of_rank(rank: Column, n: int, k: int) -> Column:
-    """SQL ``NTILE(k)`` from an exact 1-based rank among n rows: the first ``n mod k`` tiles
-    hold one row more."""
-    q, r = divmod(n, k)
-    if q == 0:  # fewer rows than tiles: tile = rank
-        return rank.cast("int")
-    big = r * (q + 1)
-    small_tile = F.lit(r) + F.ceil((rank - big) / F.lit(q))
-    return F.when(rank <= big, F.ceil(rank / F.lit(q + 1))).otherwise(small_tile).cast("int")
-
-
-def quantile_bin_of_rank(rank: Column, n: int, k: int) -> Column:
-    """Equal-count bin (1..k) of a distinct rank 1..n, as pandas ``qcut(rank, k)`` assigns it:
-    bin = max(1, ceil(k (rank - 1) / (n - 1)))."""
-    if n < 2:
-        raise ValueError("quantile bins need at least two rows")
-    return F.greatest(F.lit(1), F.ceil(F.lit(k) * (rank - 1) / F.lit(n - 1))).cast("int")
-
-
-def global_ntile(df: DataFrame, key: str, tie: str, k: int, out_col: str,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY key, tie)`` as ``out_col``."""
-    ranked, n = global_rank(df, [key], tie, "__rank", rows_per_bucket)
-    return ranked.withColumn(out_col, ntile_of_rank(col("__rank"), n, k)).drop("__rank")
-
-
-def quantile_bins(df: DataFrame, key: str, tie: str, k: int, out_col: str,
-                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``qcut(key.rank(method='first'), k)`` as integer bins 1..k."""
-    ranked, n = global_rank(df, [key], tie, "__rank", rows_per_bucket)
-    return ranked.withColumn(out_col, quantile_bin_of_rank(col("__rank"), n, k)).drop("__rank")
+CLASS_BITS = 10
+
+
+def value_class(x: Column) -> Column:
+    """Monotone class of an integer; values below 2**(CLASS_BITS + 1) are their own class."""
+    a = F.abs(x.cast("long"))
+    shift = F.greatest(F.length(F.bin(a)) - (CLASS_BITS + 1), F.lit(0))
+    cls = F.call_function("shiftright", a, shift) + shift.cast("long") * (1 << CLASS_BITS)
+    return F.when(x < 0, -cls).otherwise(cls)
+
+
+def scaled_class(x: Column) -> Column:
+    """Monotone class of any number (in steps of 1/1024 near zero)."""
+    return value_class(F.floor(x.cast("double") * 1024).cast("long"))
+
+
+def ntile_end(n: Column, j: int, k: int) -> Column:
+    """Last rank of tile j of SQL ``NTILE(k)`` over n rows."""
+    return j * F.floor(n / k) + F.least(F.lit(j), n % k)
+
+
+def quantile_bin_end(n: Column, j: int, k: int) -> Column:
+    """Last rank of bin j of pandas ``qcut`` over n distinct ranks; a single row is in bin 1."""
+    return F.floor((n - 1) * j / k) + 1
+
+
+def rows_at_ranks(df: DataFrame, orders: list[tuple[Column, Column]], tie: Column,
+                  ranks: Callable[[Column], list[Column]]) -> Column:
+    """Rows at the 1-based ``ranks(n)`` of several orders of ``df`` at once, as a scalar Column to be added to a
+    DataFrame once and read with ``at_rank``.
+
+    An order is a (value, class of the value) pair, ascending with ties by ``tie``; all values have one type, and null
+    values count as no rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), v.alias("v"), c.alias("c"))
+                               for o, (v, c) in enumerate(orders)]))
+    rows = df.select(tie.alias("u"), each.alias("e")).select("e.*", "u", value_class(col("u")).alias("uc")).where(
+        "v IS NOT NULL")
+    cells = rows.groupBy("o", "c", "v", "uc").agg(F.count(F.lit(1)).alias("m"))
+    whole = Window.partitionBy("o")
+    classes = cells.groupBy("o", "c").agg(F.sum("m").alias("m")).select(
+        "o", "c", "m", F.sum("m").over(whole).alias("n"),
+        (F.sum("m").over(whole.orderBy("c")) - col("m")).alias("before"))
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), r.cast("long").alias("r")) for j, r in enumerate(ranks(col("n")))]))
+    # at most one class, one cell and one row for each order and rank: bounded by the call, not by the data
+    wanted = classes.select("o", "c", "n", "before", "m", asked.alias("a")).where(
+        (col("a.r") > col("before")) & (col("a.r") <= col("before") + col("m"))).select(
+        "o", "c", "n", col("a.j").alias("j"), (col("a.r") - col("before")).alias("r"))
+    inside = Window.partitionBy("o", "j").orderBy("v", "uc")
+    hit = cells.join(F.broadcast(wanted), ["o", "c"]).withColumn("to", F.sum("m").over(inside)).where(
+        (col("r") > col("to") - col("m")) & (col("r") <= col("to"))).select(
+        "o", "c", "v", "uc", "n", "j", (col("r") - col("to") + col("m")).alias("r"))
+    numbered = rows.join(F.broadcast(hit), ["o", "c", "v", "uc"]).withColumn(
+        "at", F.row_number().over(Window.partitionBy("o", "j").orderBy("u")))
+    entry = F.struct((col("o") * 1000 + col("j")).alias("key"), F.struct("v", "u", "n").alias("value"))
+    return numbered.where("at = r").agg(F.map_from_entries(F.collect_list(entry)).alias("rows")).scalar()
+
+
+def at_rank(found: str, order: int, rank: int) -> Column:
+    """(v, u, n) of a column made by ``rows_at_ranks``: value and tie of the row at that rank (number in the
+    list, from 0) and the number of rows; null if the order has no such rank."""
+    return F.try_element_at(col(found), F.lit(order * 1000 + rank))
+
+
+def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, k: int, end=ntile_end) -> DataFrame:
+    """Add for each ``out -> integer column`` the tile (1..k) of a row in ascending (value, tie) order: ``NTILE(k)``
+    (W02), or the bins of ``qcut(rank(method='first'), k)`` (W04) with ``end=quantile_bin_end``."""
+    ends = rows_at_ranks(df, [(v, value_class(v)) for v in values.values()], tie,
+                         lambda n: [end(n, j, k) for j in range(1, k)])
+
+    def above(o: int, value: Column) -> Column:
+        tile = F.lit(1)
+        for j in range(k - 1):  # one more for each tile end below the row
+            e = at_rank("__ends", o, j)
+            below = (e["v"] < value) | ((e["v"] == value) & (e["u"] < tie))
+            tile = tile + F.coalesce(below, F.lit(False)).cast("int")
+        return tile
+
+    return df.withColumn("__ends", ends).withColumns(
+        {out: above(o, v) for o, (out, v) in enumerate(values.items())}).drop("__ends")
+
+
+def running_sums(df: DataFrame, key: Column, cls: Column, weights: dict[str, str],
+                 totals: dict[str, str] | None = None) -> DataFrame:
+    """Add ``out -> weight`` inclusive running sums of integer columns in ascending order of the (distinct) ``key``
+    of class ``cls``, and ``totals``: out -> weight sums over all rows."""
+    totals = totals or {}
+    d = df.withColumns({"__key": key, "__c": cls})
+    names = sorted({*weights.values(), *totals.values()})
+    per = d.groupBy(col("__c").alias("__d")).agg(*[F.sum(w).alias(f"__s_{w}") for w in names])
+    whole = Window.partitionBy()
+    per = per.select(
+        "__d", *[(F.sum(f"__s_{w}").over(Window.orderBy("__d")) - col(f"__s_{w}")).alias(f"__b_{w}") for w in names],
+        *[F.sum(f"__s_{w}").over(whole).alias(o) for o, w in totals.items()])
+    inside = Window.partitionBy("__c").orderBy("__key")
+    out = d.join(per, col("__c") == col("__d"))
+    return out.select(*df.columns, *[(col(f"__b_{w}") + F.sum(w).over(inside)).alias(o) for o, w in weights.items()],
+                      *totals)

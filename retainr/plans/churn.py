@@ -3,9 +3,9 @@ choice, metrics, importances, campaign economics (M1-M13).
 
 Everything that touches all rows is a distributed DataFrame job:
 * the threshold scan (M5) and ROC-AUC / average precision (M6) work on one row per *distinct*
-  score with exact running sums of positives and negatives (``operators.ranking.running_sum``),
+  score with exact running sums of positives and negatives (``operators.ranking.running_sums``),
   not on a collected score array and not in a single-partition window;
-* the split (M2) is a seeded hash of the id, or an exact per-class quota via the global rank;
+* the split (M2) takes an exact quota of each class, by a seeded md5 of the id;
 * training uses MLlib's ``GBTClassifier`` inside a ``Pipeline``.
 
 MLlib's GBT is not the reference's booster (no L1/L2 terms, feature subsampling per node), so
@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 from retainr.functions.columns import col
 
-from retainr.session import materialize
-
 from retainr.functions.numeric import clip
-from retainr.operators.ranking import ROWS_PER_BUCKET, global_rank, running_sums
+from retainr.operators.ranking import at_rank, rows_at_ranks, running_sums, scaled_class, value_class
 
 TARGET = "churn_label"
 SCORE = "churn_proba"
@@ -49,7 +47,6 @@ GROSS_MARGIN_PCT = 0.28
 CAMPAIGN_COST_RUB = 95.0
 EXPECTED_SAVE_RATE = 0.19
 TOP_K = 1000
-TOP_K_IN_MEMORY = 100_000
 
 
 # ---------------------------------------------------------------- M1 feature matrix
@@ -57,7 +54,7 @@ TOP_K_IN_MEMORY = 100_000
 def feature_columns(dataset: DataFrame, target: str = TARGET) -> list[str]:
     """Model inputs: every column except the target and the leak / id columns (trap T18)."""
     if target not in dataset.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset.")
+        raise ValueError(f"no column {target!r} to learn from")
     return [c for c in dataset.columns if c != target and c not in LEAK_COLUMNS]
 
 
@@ -71,37 +68,32 @@ def feature_matrix(dataset: DataFrame, target: str = TARGET) -> tuple[DataFrame,
 
 # ---------------------------------------------------------------- M2 split
 
-def _hash_bucket(id_col: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(10_000))
+def _draw(id_col: str, seed: int) -> Column:
+    """A 60-bit integer from md5 of the seed and the id (the same in any engine)."""
+    text = F.concat(F.lit(f"{seed}|"), col(id_col).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def with_test_flag(df: DataFrame, label: str = TARGET, test_size: float = TEST_SIZE, seed: int = SEED,
+                   id_col: str = "user_id", out: str = "in_test") -> DataFrame:
+    """Add whether a row is in the test part: in each class of the 0/1 label exactly round(test_size * rows) rows, those
+    with the smallest draws (ties by id).  Found without a sort: the last such row of a class is a scalar subquery."""
+    draw, tie = _draw(id_col, seed), col(id_col)
+    by_class = [F.when(col(label) == value, draw) for value in (0, 1)]
+    last = rows_at_ranks(df, [(d, value_class(d)) for d in by_class], tie,
+                         lambda n: [F.round(n * test_size).cast("long")])
+    flag = F.lit(False)
+    for i, d in enumerate(by_class):
+        e = at_rank("__last", i, 0)
+        flag = flag | F.coalesce((d < e["v"]) | ((d == e["v"]) & (tie <= e["u"])), F.lit(False))
+    return df.withColumn("__last", last).withColumn(out, flag).drop("__last")
 
 
 def stratified_split(df: DataFrame, label: str = TARGET, test_size: float = TEST_SIZE,
-                     seed: int = SEED, id_col: str = "user_id",
-                     exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Seeded split into (train, test).
-
-    Default: a row is in test when a seeded hash of its id falls below ``test_size`` (same
-    expected share in every class, no shuffle, stable under re-evaluation).  ``exact=True``:
-    per class exactly ``round(test_size * n_class)`` rows, the ones with the smallest hashes,
-    found with the distributed global rank.
-    """
-    h = df.withColumn("__h", _hash_bucket(id_col, seed))
-    if not exact:
-        test_flag = col("__h") < int(round(test_size * 10_000))
-        return (h.where(~test_flag).drop("__h"), h.where(test_flag).drop("__h"))
-    counts = sorted((r[0], r[1]) for r in h.groupBy(label).count().collect())  # few classes
-    offsets, acc, quota = {}, 0, {}
-    for value, cnt in counts:
-        offsets[value], quota[value] = acc, int(round(test_size * cnt))
-        acc += cnt
-    ranked, _ = global_rank(h, [label, "__h"], id_col, "__r", n_rows=acc)
-    off = F.lit(0)
-    q = F.lit(0)
-    for value in offsets:
-        off = F.when(col(label) == value, offsets[value]).otherwise(off)
-        q = F.when(col(label) == value, quota[value]).otherwise(q)
-    test_flag = (col("__r") - off) <= q
-    return (ranked.where(~test_flag).drop("__h", "__r"), ranked.where(test_flag).drop("__h", "__r"))
+                     seed: int = SEED, id_col: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """Seeded split into (train, test), exactly stratified by the 0/1 label; see ``with_test_flag``."""
+    flagged = with_test_flag(df, label, test_size, seed, id_col, "__test")
+    return flagged.where(~col("__test")).drop("__test"), flagged.where("__test").drop("__test")
 
 
 # ---------------------------------------------------------------- M3 / M4 model and scores
@@ -128,90 +120,54 @@ def score(model: PipelineModel, df: DataFrame, out_col: str = SCORE) -> DataFram
 
 def minmax_scores(df: DataFrame, column: str, out_col: str = SCORE) -> DataFrame:
     """M4 fallback for models without probabilities: (x - min) / max(max - min, 1e-9), with the
-    extremes as scalar subqueries."""
-    lo = df.select(F.min(column).cast("double")).scalar()
-    hi = df.select(F.max(column).cast("double")).scalar()
-    return df.withColumn(out_col, (col(column).cast("double") - lo) / F.greatest(hi - lo, F.lit(1e-9)))
+    extremes as one scalar subquery."""
+    v = col(column).cast("double")
+    ends = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+    return df.withColumn("__ends", ends).withColumn(
+        out_col, (v - col("__ends.lo")) / F.greatest(col("__ends.hi") - col("__ends.lo"), F.lit(1e-9))).drop("__ends")
 
 
 # ---------------------------------------------------------------- M5 / M6 threshold and metrics
 
-def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
-                rows_per_bucket: int = ROWS_PER_BUCKET, checkpoint: bool = True) -> DataFrame:
-    """One row per distinct score: pos, neg, and cum_pos / cum_neg = positives / negatives with
-    a score >= this one (running sums in descending score order).  Thresholds 0 and 1 are
-    always present (with zero counts when no row has that score).
-
-    The grouped table (at most one row per distinct score) is materialised, so the running
-    sums' small jobs and every metric derived from it read it instead of re-running the
-    scoring plan.
-    """
-    grouped = scored.groupBy(col(score_col).cast("double").alias("score")).agg(
-        F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg"))
-    bounds = scored.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)],
-                                                 "score double, pos long, neg long")
-    grouped = (grouped.unionByName(bounds).groupBy("score")
-               .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    n = None
-    if checkpoint:
-        grouped, seen = materialize(grouped, "score_table", observe={"n": F.count(F.lit(1))})
-        n = int(seen["n"])
-    desc = grouped.withColumn("__neg_score", -col("score"))
-    t = running_sums(desc, ["__neg_score"], "__neg_score", {"cum_pos": "pos", "cum_neg": "neg"},
-                     rows_per_bucket, n_rows=n)
-    return t.drop("__neg_score")
-
-
-def _with_totals(table: DataFrame) -> DataFrame:
-    """Add the class totals P and N (scalar subqueries over the score table)."""
-    return table.withColumns({"P": table.select(F.sum("pos")).scalar(),
-                              "N": table.select(F.sum("neg")).scalar()})
+def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE) -> DataFrame:
+    """One row per distinct score: pos, neg, cum_pos / cum_neg = positives / negatives with
+    a score >= this one (running sums in descending score order) and the totals P, N.  Thresholds 0
+    and 1 are always present (with zero counts when no row has that score)."""
+    bounds = scored.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "score double, pos long, neg long")
+    each = scored.select(
+        col(score_col).cast("double").alias("score"), (col(label) == 1).cast("long").alias("pos"),
+        (col(label) != 1).cast("long").alias("neg"))
+    grouped = each.unionByName(bounds).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    down = -col("score")
+    return running_sums(grouped, down, scaled_class(down), {"cum_pos": "pos", "cum_neg": "neg"}, {"P": "pos", "N": "neg"})
 
 
 def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
                    table: DataFrame | None = None) -> DataFrame:
     """Balanced accuracy and F1 of ``score >= t`` for every candidate threshold t (all distinct
     scores plus 0 and 1), with the confusion counts."""
-    t = _with_totals(table if table is not None else score_table(scored, label, score_col))
+    t = table if table is not None else score_table(scored, label, score_col)
     tp, fp = col("cum_pos"), col("cum_neg")
     fn, tn = col("P") - tp, col("N") - fp
     tpr = F.try_divide(tp.cast("double"), F.nullif(col("P"), F.lit(0)))
     tnr = F.try_divide(tn.cast("double"), F.nullif(col("N"), F.lit(0)))
     classes = (col("P") > 0).cast("int") + (col("N") > 0).cast("int")
-    ba = (F.coalesce(tpr, F.lit(0.0)) + F.coalesce(tnr, F.lit(0.0))) / classes
-    f1 = F.coalesce(F.try_divide((2 * tp).cast("double"), F.nullif(2 * tp + fp + fn, F.lit(0))),
-                    F.lit(0.0))
-    return t.select(col("score").alias("threshold"), ba.alias("balanced_accuracy"),
-                    f1.alias("f1"), tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"))
+    ba = (F.coalesce(tpr, F.lit(0.0)) + F.coalesce(tnr, F.lit(0.0))) / F.nullif(classes, F.lit(0))
+    f1 = F.coalesce(F.try_divide((2 * tp).cast("double"), F.nullif(2 * tp + fp + fn, F.lit(0))), F.lit(0.0))
+    return t.select(col("score").alias("threshold"), ba.alias("balanced_accuracy"), f1.alias("f1"),
+                    tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"), "pos", "neg", "P", "N")
 
 
-def best_threshold(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
-                   table: DataFrame | None = None) -> DataFrame:
-    """M5: the threshold with the best balanced accuracy, then the best F1, then the smallest
-    threshold (order-free form of the greedy scan, trap T20).  One row."""
-    scan = threshold_scan(scored, label, score_col, table)
-    best = F.max_by(F.struct("threshold", "balanced_accuracy", "f1"),
-                    F.struct("balanced_accuracy", "f1", (-col("threshold")).alias("neg_t")))
-    return scan.agg(best.alias("b")).select("b.*")
+def _best() -> Column:
+    return F.max_by(F.struct("threshold", "balanced_accuracy", "f1", "tp", "fp", "tn", "fn"),
+                    F.struct("balanced_accuracy", "f1", (-col("threshold")).alias("t")))
 
 
-def ranking_metrics(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
-                    table: DataFrame | None = None) -> DataFrame:
-    """ROC-AUC (Mann-Whitney with ties counted one half) and average precision
-    (sum over distinct scores of recall increase x precision, trap T21).  One row; NULL when a
-    class is missing."""
-    t = table if table is not None else score_table(scored, label, score_col)
-    prec = F.try_divide(col("cum_pos").cast("double"),
-                        F.nullif(col("cum_pos") + col("cum_neg"), F.lit(0)))
-    agg = t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                F.sum(col("neg") * ((col("cum_pos") - col("pos")) + col("pos") / 2.0))
-                .alias("auc_num"),
-                F.sum(F.when(col("pos") > 0, col("pos") * prec)).alias("ap_num"))
-    return agg.select(
-        F.try_divide(col("auc_num"), F.nullif(col("P") * col("N"), F.lit(0)).cast("double"))
-        .alias("roc_auc"),
-        F.try_divide(col("ap_num"), F.nullif(col("P"), F.lit(0)).cast("double")).alias("pr_auc"),
-    )
+def best_threshold(scored: DataFrame, label: str = TARGET, score_col: str = SCORE) -> DataFrame:
+    """M5: the threshold with the best balanced accuracy, then the best F1, then the smallest
+    threshold (order-free form of the greedy scan, trap T20).  One row."""
+    return threshold_scan(scored, label, score_col).agg(_best().alias("b")).select(
+        "b.threshold", "b.balanced_accuracy", "b.f1")
 
 
 def classification_metrics(scored: DataFrame, threshold=None, label: str = TARGET,
@@ -219,32 +175,33 @@ def classification_metrics(scored: DataFrame, threshold=None, label: str = TARGE
     """M6: roc_auc, pr_auc, f1, precision, recall, tp, fp, tn, fn at ``score >= threshold``.
 
     ``threshold`` may be a number, a scalar Column, or None for the best balanced-accuracy
-    threshold (M5) chosen on the same rows.  Everything comes from one per-distinct-score
-    table: the confusion counts at t are the running sums at the smallest score >= t.
+    threshold (M5) chosen on the same rows.  ROC-AUC counts ties one half (Mann-Whitney), average precision sums
+    recall increase x precision over distinct scores (trap T21); both are NULL when a class is missing.  All of it is
+    one aggregate over the per-distinct-score table.
     """
-    table = score_table(scored, label, score_col)
+    scan = threshold_scan(scored, label, score_col)
+    precision = F.try_divide(col("tp").cast("double"), F.nullif(col("tp") + col("fp"), F.lit(0)))
     if threshold is None:
-        thr = best_threshold(scored, label, score_col, table).select("threshold").scalar()
+        chosen = _best()
     else:
         thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    at = table.where(col("score") >= thr).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    tp, fp = F.coalesce(col("tp"), F.lit(0)), F.coalesce(col("fp"), F.lit(0))
-    fn = table.select(F.sum("pos")).scalar() - tp
-    tn = table.select(F.sum("neg")).scalar() - fp
-    ranking = ranking_metrics(scored, label, score_col, table)
-    auc, ap = (ranking.select(c).scalar() for c in ("roc_auc", "pr_auc"))
+        over = col("threshold") >= thr
+        p, n = F.sum(F.when(over, col("pos")).otherwise(0)), F.sum(F.when(over, col("neg")).otherwise(0))
+        chosen = F.struct(p.alias("tp"), n.alias("fp"), (F.max("N") - n).alias("tn"), (F.max("P") - p).alias("fn"))
+    one = scan.agg(
+        chosen.alias("b"), F.max("P").alias("P"), F.max("N").alias("N"),
+        F.sum(col("neg") * ((col("tp") - col("pos")) + col("pos") / 2.0)).alias("pairs"),
+        F.sum(F.when(col("pos") > 0, col("pos") * precision)).alias("ap")).select("b.*", "P", "N", "pairs", "ap")
+    tp, fp, fn = col("tp"), col("fp"), col("fn")
 
     def ratio(a, b):
         return F.coalesce(F.try_divide(a.cast("double"), F.nullif(b, F.lit(0))), F.lit(0.0))
 
-    return at.select(
-        auc.alias("roc_auc"), ap.alias("pr_auc"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        ratio(tp, tp + fp).alias("precision"),
-        ratio(tp, tp + fn).alias("recall"),
-        tp.cast("double").alias("tp"), fp.cast("double").alias("fp"),
-        tn.cast("double").alias("tn"), fn.cast("double").alias("fn"),
-    )
+    return one.select(
+        F.try_divide(col("pairs"), F.nullif(col("P") * col("N"), F.lit(0)).cast("double")).alias("roc_auc"),
+        F.try_divide(col("ap"), F.nullif(col("P"), F.lit(0)).cast("double")).alias("pr_auc"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp, tp + fp).alias("precision"),
+        ratio(tp, tp + fn).alias("recall"), *[col(c).cast("double").alias(c) for c in ("tp", "fp", "tn", "fn")])
 
 
 # ---------------------------------------------------------------- M7 importances
@@ -287,63 +244,35 @@ def top_k_precision(scored: DataFrame, label: str = TARGET, score_col: str = SCO
                     k: int = TOP_K, id_col: str = "user_id") -> DataFrame:
     """M9: mean label of the k highest scores (k clipped to [1, n], ties by id, trap T22);
     0.0 for an empty input.  One row (k, precision_at_k)."""
-    n = scored.count()
-    if n == 0:
-        return scored.sparkSession.createDataFrame([(0, 0.0)], "k long, precision_at_k double")
-    kk = int(min(max(k, 1), n))
-    if kk <= TOP_K_IN_MEMORY:
-        # TakeOrderedAndProject: a k-row heap per task, then one merge of k x tasks rows
-        top = scored.orderBy(F.desc(score_col), F.asc(id_col)).limit(kk)
-    else:
-        # large k: exact distributed rank instead of a k-row heap per task
-        neg = scored.withColumn("__neg", -col(score_col).cast("double"))
-        ranked, _ = global_rank(neg, ["__neg"], id_col, "__r", n_rows=n)
-        top = ranked.where(col("__r") <= kk)
-    return top.agg(F.lit(kk).cast("long").alias("k"),
-                   F.avg(col(label).cast("double")).alias("precision_at_k"))
-
-
-def quantiles(df: DataFrame, column: str, qs: list[float],
-              rows_per_bucket: int = ROWS_PER_BUCKET) -> list[Column]:
-    """Exact quantiles with linear interpolation (pandas / ``quantile_cont``) as literal
-    Columns.
-
-    Distinct values with their counts are materialised once (row and value totals observed
-    during the write), running counts come from the distributed running sum, and one aggregate
-    fetches the values at all needed ranks; only those few numbers reach the driver.  No
-    single-task percentile buffer.
-    """
-    vals = df.where(col(column).isNotNull()).groupBy(col(column).cast("double").alias("v")).count()
-    vals, seen = materialize(vals, "value_counts",
-                             observe={"rows": F.count(F.lit(1)), "n": F.sum("count")})
-    n = int(seen["n"] or 0)
-    if n == 0:
-        return [F.lit(None).cast("double") for _ in qs]
-    cum = running_sums(vals, ["v"], "v", {"cum": "count"}, rows_per_bucket, n_rows=int(seen["rows"]))
-    plan = []
-    for q in qs:
-        h = (n - 1) * q
-        lo = int(h // 1)
-        plan.append((lo + 1, min(lo + 2, n), h - lo))
-    ranks = sorted({r for a, b, _ in plan for r in (a, b)})
-    row = cum.agg(*[F.min(F.when(col("cum") >= r, col("v"))).alias(f"r{r}") for r in ranks]).first()
-    out = []
-    for a, b, frac in plan:
-        v_lo, v_hi = row[f"r{a}"], row[f"r{b}"]
-        out.append(F.lit(v_lo if frac == 0 else v_lo + frac * (v_hi - v_lo)).cast("double"))
-    return out
-
-
-def quantile(df: DataFrame, column: str, q: float,
-             rows_per_bucket: int = ROWS_PER_BUCKET) -> Column:
-    return quantiles(df, column, [q], rows_per_bucket)[0]
+    top = scored.orderBy(F.desc(score_col), F.asc(id_col)).limit(max(k, 1))
+    return top.agg(F.count(F.lit(1)).alias("k"),
+                   F.coalesce(F.avg(col(label).cast("double")), F.lit(0.0)).alias("precision_at_k"))
+
+
+def with_quantiles(df: DataFrame, column: str, qs: list[float], out: str = "quantiles") -> DataFrame:
+    """Add an array of exact quantiles of a column, with linear interpolation (pandas / ``quantile_cont``); NULL
+    without values.  The values at the ranks around each quantile come from one scalar subquery."""
+    v = col(column).cast("double")
+
+    def ranks(n: Column) -> list[Column]:
+        low = [F.floor((n - 1) * q) + 1 for q in qs]
+        return [r for x in low for r in (x, F.least(x + 1, n))]
+
+    values = []
+    for i, q in enumerate(qs):
+        lo, hi = at_rank("__at", 0, 2 * i), at_rank("__at", 0, 2 * i + 1)
+        h = (lo["n"] - 1) * F.lit(q)
+        values.append(lo["v"] + (h - F.floor(h)) * (hi["v"] - lo["v"]))
+    found = rows_at_ranks(df, [(v, scaled_class(v))], F.lit(0).cast("long"), ranks)
+    return df.withColumn("__at", found).withColumn(out, F.array(*values)).drop("__at")
 
 
 def winsorize(df: DataFrame, column: str, lower_q: float = 0.01, upper_q: float = 0.99,
               out_col: str | None = None) -> DataFrame:
     """Clip ``column`` to its [lower_q, upper_q] quantiles; NULL stays NULL."""
-    lo, hi = quantiles(df, column, [lower_q, upper_q])
-    return df.withColumn(out_col or column, clip(col(column).cast("double"), lo, hi))
+    d = with_quantiles(df, column, [lower_q, upper_q], "__q")
+    return d.withColumn(out_col or column, clip(col(column).cast("double"), F.get("__q", F.lit(0)), F.get("__q", F.lit(1)))
+                        ).drop("__q")
 
 
 def target_summary(df: DataFrame, label_col: str = TARGET, label: str = "target") -> DataFrame:
@@ -353,14 +282,13 @@ def target_summary(df: DataFrame, label_col: str = TARGET, label: str = "target"
                   .alias("positive_rate"))
 
 
-def recency_scores(features: DataFrame, cap_days: int = 90) -> DataFrame:
-    """A model-free churn score from the feature table: days since the last order, capped at
-    ``cap_days`` and scaled to [0, 1].  Lets M5, M6, M8 and M9 run on every table without a
-    fitted model; a trained model's ``score`` output has the same columns."""
-    return features.select(
-        "user_id", col(TARGET).cast("int").alias(TARGET),
-        (F.least(col("days_since_last_order"), F.lit(cap_days)).cast("double") / float(cap_days))
-        .alias(SCORE))
+def recency_scores(features: DataFrame) -> DataFrame:
+    """A model-free churn score from the feature table: money per day since registration, scaled to
+    [0, 1] and reversed (M4), so that it takes as many values as there are users.  Lets M5, M6, M8
+    and M9 run on every table without a fitted model; a trained model's ``score`` output has the same columns."""
+    f = features.select("user_id", col(TARGET).cast("int").alias(TARGET),
+                        (-col("gmv_per_day")).alias("__raw"))
+    return minmax_scores(f, "__raw").drop("__raw")
 
 
 # ---------------------------------------------------------------- M12 / M13
@@ -387,16 +315,16 @@ class ChurnModelResult:
 
 
 def train_churn_model(dataset: DataFrame, target: str = TARGET, test_size: float = TEST_SIZE,
-                      seed: int = SEED, exact_split: bool = False,
-                      **gbt_overrides) -> ChurnModelResult:
+                      seed: int = SEED, **gbt_overrides) -> ChurnModelResult:
     """Split, fit the boosted trees on the training rows, score the test rows, choose the
     threshold on them (trap T19) and compute the metrics."""
     names = feature_columns(dataset, target)
     data = dataset.withColumn("label", col(target).cast("int"))
-    train, test = stratified_split(data, target, test_size, seed, exact=exact_split)
+    train, test = stratified_split(data, target, test_size, seed)
     train = train.cache()  # iterative fit reads it once per tree
     model = churn_pipeline(names, seed, **gbt_overrides).fit(train)
-    scored = score(model, test).cache()
+    train.unpersist()
+    scored = score(model, test)
     thr = best_threshold(scored, target, SCORE).first()["threshold"]
-    metrics = classification_metrics(scored, thr, target, SCORE).cache()
+    metrics = classification_metrics(scored, thr, target, SCORE)
     return ChurnModelResult(model, float(thr), metrics, names, scored, train)

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from retainr.functions.columns import col
 
-from retainr.session import materialize
-
 from retainr.functions.dates import elapsed_days_floor, minutes_between, plus_days
 from retainr.functions.numeric import clip
 from retainr.plans.common import delivered
@@ -36,9 +34,8 @@ CATEGORICAL_COLUMNS = ["acquisition_channel", "city", "device_os", "gender", "lo
                        "variant"]
 DATE_COLUMNS = ["registration_ts", "first_order_ts", "last_order_ts", "last_session_ts",
                 "assigned_at"]
-MAX_CATEGORIES = 1000
 
-# Fill values for users without orders / sessions / assignment before the reference time.
+# Fill values for users without orders / sessions / assignment before the reference time.
 NUMERIC_DEFAULTS = {
     "total_orders": 0, "total_gmv_rub": 0.0, "avg_order_value_rub": 0.0,
     "avg_discount_rub": 0.0, "avg_delivery_fee_rub": 0.0, "avg_delivery_minutes": 0.0,
@@ -94,6 +91,13 @@ def ab_features(assignments: DataFrame, test_id: str | None = None) -> DataFrame
                     "assigned_at")
 
 
+def _one_per_user(assigned: DataFrame) -> DataFrame:
+    one = assigned.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in assigned.columns if c != "user_id"])
+    twice = F.raise_error(F.concat(F.lit("more than one assignment to the test for user "), col("user_id").cast("string")))
+    return one.withColumn("is_treatment", F.when(col("__n") == 1, col("is_treatment")).otherwise(twice.cast("int"))).drop("__n")
+
+
 def reference_time(users: DataFrame, orders: DataFrame,
                    label_horizon_days: int = LABEL_HORIZON_DAYS,
                    reference_date: str | _dt.datetime | None = None) -> Column:
@@ -110,12 +114,15 @@ def user_features(users: DataFrame, orders: DataFrame, sessions: DataFrame,
                   assignments: DataFrame, label_horizon_days: int = LABEL_HORIZON_DAYS,
                   inactivity_threshold_days: int = INACTIVITY_THRESHOLD_DAYS,
                   reference_date: str | _dt.datetime | None = None,
-                  test_id: str | None = None) -> DataFrame:
-    """one row per user with history up to the reference time and the churn label."""
+                  *, test_id: str) -> DataFrame:
+    """one row per user with history up to the reference time and the churn label.
+
+    ``test_id`` names the one test whose assignments are used (trap T17); a user assigned to it more
+    than once makes the query fail instead of doubling rows."""
     ref = reference_time(users, orders, label_horizon_days, reference_date)
     of = order_features(orders.where(col("order_ts") <= ref))
     sf = session_features(sessions.where(col("session_start_ts") <= ref))
-    af = ab_features(assignments.where(col("assigned_at") <= ref), test_id)
+    af = _one_per_user(ab_features(assignments.where(col("assigned_at") <= ref), test_id))
     future = (
         delivered(orders)
         .where((col("order_ts") > ref) & (col("order_ts") <= plus_days(ref, label_horizon_days)))
@@ -150,19 +157,19 @@ def user_features(users: DataFrame, orders: DataFrame, sessions: DataFrame,
 
 
 def category_values(features: DataFrame, columns=CATEGORICAL_COLUMNS,
-                    max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+                    max_categories: int | None = None) -> dict[str, list[str]]:
     """Distinct values of low-cardinality columns.  All columns' (column, value) pairs are
-    de-duplicated in one distributed ``distinct``; a first small job counts the values per
-    column (error above the cap, so an id-like column never explodes into columns), the second
-    brings the at most ``len(columns) x cap`` pairs to the driver."""
+    de-duplicated in one distributed ``distinct``.  The values become column names, so they must be few;
+    with ``max_categories`` a column that has more raises an error (counted before anything is collected)."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.coalesce(col(c), F.lit("unknown")).alias("v"))
         for c in columns]))
     distinct = features.select(pairs.alias("p")).select("p.c", "p.v").distinct()
-    counts = dict(distinct.groupBy("c").count().collect())
-    too_many = [c for c in columns if counts.get(c, 0) > max_categories]
-    if too_many:
-        raise ValueError(f"columns {too_many} have more than {max_categories} distinct values")
+    if max_categories is not None:
+        counts = dict(distinct.groupBy("c").count().collect())
+        too_many = [c for c in columns if counts.get(c, 0) > max_categories]
+        if too_many:
+            raise ValueError(f"columns {too_many} have more than {max_categories} distinct values")
     out = {c: [] for c in columns}
     for r in distinct.collect():
         out[r["c"]].append(r["v"])
@@ -177,9 +184,6 @@ def modeling_dataset(features: DataFrame, eligible_only: bool = True,
     if eligible_only and "is_model_eligible" in df.columns:
         df = df.where(col("is_model_eligible") == 1)
     df = df.fillna("unknown", subset=CATEGORICAL_COLUMNS)
-    if categories is None:
-        # read twice (category discovery, then the output): materialise once
-        df = materialize(df, "features")
     cats = categories if categories is not None else category_values(df)
     keep = [c for c in df.columns
             if c not in DATE_COLUMNS + ["is_model_eligible"] + CATEGORICAL_COLUMNS]

@@ -23,10 +23,6 @@ from retainr.sources.schemas import (FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, UNIQUE
                                      VARCHAR_LENGTHS)
 
 AMOUNT_TOLERANCE = "0.01"
-MARGIN_SHARE = "0.28"
-MARGIN_COST_PER_KM = 9
-MARGIN_MIN, MARGIN_MAX = -200, 1500
-CANCELLED_MARGIN_MIN, CANCELLED_MARGIN_MAX = -260, -20
 
 _RESULT_COLS = ["table_name", "rule", "column_name", "violations"]
 
@@ -143,28 +139,25 @@ def reconcile_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     return out.where(any_issue)
 
 
-def expected_margin():
-    """Delivered-order margin rule: clip(0.28 basket + fee - discount - 9 km, -200, 1500),
-    in decimal arithmetic, rounded to cents."""
-    raw = (F.lit(MARGIN_SHARE).cast("decimal(3,2)") * col("basket_value_rub")
-           + col("delivery_fee_rub") - col("discount_rub")
-           - F.lit(MARGIN_COST_PER_KM) * col("distance_km"))
-    return F.round(F.least(F.greatest(raw, F.lit(MARGIN_MIN)), F.lit(MARGIN_MAX)), 2)
+def linear_margin(share: float, cost_per_km: float, low: float, high: float):
+    """A margin rule: clip(share x basket + fee - discount - cost x km, low, high), in decimal arithmetic,
+    rounded to cents."""
+    raw = (F.lit(share).cast("decimal(3,2)") * col("basket_value_rub")
+           + col("delivery_fee_rub") - col("discount_rub") - F.lit(cost_per_km) * col("distance_km"))
+    return F.round(F.least(F.greatest(raw, F.lit(low)), F.lit(high)), 2)
 
 
-def audit_margin(orders: DataFrame) -> DataFrame:
-    """Orders breaking the margin rule (delivered: off the formula by more than 0.01;
-    cancelled: margin outside [-260, -20])."""
-    exp = expected_margin()
+def audit_margin(orders: DataFrame, expected, cancelled_range: tuple[float, float]) -> DataFrame:
+    """Orders breaking the caller's margin rule (delivered: off the column ``expected`` by more than
+    0.01; cancelled: margin outside ``cancelled_range``)."""
     delivered = col("order_status") == "delivered"
-    bad_delivered = delivered & (F.abs(col("gross_margin_rub") - exp) > F.lit(AMOUNT_TOLERANCE).cast("decimal(4,2)"))
-    bad_cancelled = (~delivered) & ~col("gross_margin_rub").between(CANCELLED_MARGIN_MIN,
-                                                                      CANCELLED_MARGIN_MAX)
+    bad_delivered = delivered & (F.abs(col("gross_margin_rub") - expected) > F.lit(AMOUNT_TOLERANCE).cast("decimal(4,2)"))
+    bad_cancelled = (~delivered) & ~col("gross_margin_rub").between(*cancelled_range)
     return (
         orders.where(bad_delivered | bad_cancelled)
         .select("order_id", "order_status",
                 col("gross_margin_rub").cast("double").alias("gross_margin_rub"),
-                F.when(delivered, exp).cast("double").alias("expected_margin_rub"),
+                F.when(delivered, expected).cast("double").alias("expected_margin_rub"),
                 F.when(delivered, "delivered_formula").otherwise("cancelled_range").alias("rule"))
     )
 

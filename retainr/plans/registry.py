@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retainr.plans.experiments import TEST_ID
 from retainr.plans import churn, cohorts, experiments, features, kpis, quality, rfm
 
 Tables = dict[str, DataFrame]
 
 def _user_features(t: Tables) -> DataFrame:
     return features.user_features(t["dim_users"], t["fact_orders"], t["fact_app_sessions"],
-                                  t["fact_ab_test_assignments"])
+                                  t["fact_ab_test_assignments"], test_id=TEST_ID)
 
 
 def _scores(t: Tables) -> DataFrame:
@@ -51,7 +52,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "active_campaigns":
         lambda t: quality.active_campaigns(t["fact_orders"], t["dim_promo_campaigns"]),
     "reconcile_items": lambda t: quality.reconcile_items(t["fact_orders"], t["fact_order_items"]),
-    "audit_margin": lambda t: quality.audit_margin(t["fact_orders"]),
+    "audit_margin": lambda t: quality.audit_margin(
+        t["fact_orders"], quality.linear_margin(0.28, 9, -200, 1500), (-260, -20)),
     "link_sessions_orders":
         lambda t: quality.link_sessions_orders(t["fact_app_sessions"], t["fact_orders"]),
     # 2.13 churn model: metrics and economics on a score derived from the feature table

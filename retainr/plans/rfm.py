@@ -1,10 +1,9 @@
 """RFM scoring, segments and lifetime value (Q04, Q05, Q19, Q20).
 
 The per-user metrics are one hash aggregate over delivered orders (partial aggregation before
-the shuffle).  Scores need a *global* order over all users; they come from the exact
-distributed rank of ``operators.ranking`` (no single-partition window).  The per-user table is
-checkpointed once so that the rank's small jobs (count, sample, range counts) and the final
-plan read it instead of re-aggregating the orders.
+the shuffle).  Scores need a *global* order over all users, but only the users at the ends of the
+tiles: ``operators.ranking`` finds them in scalar subqueries (no single-partition window, no job before
+the action), and a projection compares every user with them.  The subqueries reuse the aggregate's exchange.
 """
 
 from __future__ import annotations
@@ -14,11 +13,8 @@ from pyspark.sql import functions as F
 
 from retainr.functions.columns import col
 
-from retainr.session import materialize
-
 from retainr.functions.numeric import avg_round
-from retainr.operators.ranking import (ROWS_PER_BUCKET, global_ranks, ntile_of_rank,
-                                       quantile_bin_of_rank)
+from retainr.operators.ranking import ntile_end, quantile_bin_end, with_tiles
 from retainr.plans.common import delivered, max_delivered_date, revenue
 
 TILES = 5
@@ -38,37 +34,19 @@ LIFETIME_MONTHS = {
 DEFAULT_LIFETIME_MONTHS = 3
 
 
-def _materialise(df: DataFrame, checkpoint: bool) -> tuple[DataFrame, int | None]:
-    if not checkpoint:
-        return df, None
-    out, seen = materialize(df, "rfm_metrics", observe={"n": F.count(F.lit(1))})
-    return out, int(seen["n"])
-
-
-_ORDERS = {"__rr": ["recency_days"], "__fr": ["frequency_orders"], "__mr": ["monetary_rub"]}
-
-
-def _scored(metrics: DataFrame, binning: str, rows_per_bucket: int,
-            n: int | None = None) -> DataFrame:
-    """Add r_score (recency reversed), f_score, m_score; ties ordered by user_id (trap T2).
-    The three global orders share one sample pass and one range-count pass."""
-    ranked, n = global_ranks(metrics, _ORDERS, "user_id", rows_per_bucket, n_rows=n)
-
-    def tile(rank_col: str) -> Column:
-        r = col(rank_col)
-        return (ntile_of_rank(r, n, TILES) if binning == "ntile"
-                else quantile_bin_of_rank(r, n, TILES))
-
-    return (ranked.withColumn("r_score", (F.lit(TILES + 1) - tile("__rr")).cast("int"))
-            .withColumn("f_score", tile("__fr").cast("int"))
-            .withColumn("m_score", tile("__mr").cast("int"))
-            .drop(*_ORDERS))
+def _scored(metrics: DataFrame, end) -> DataFrame:
+    """Add r_score (recency reversed), f_score, m_score; ties ordered by user_id (trap T2)."""
+    cents = (col("monetary_rub") * 100).cast("long")
+    tiled = with_tiles(metrics, {"r_score": col("recency_days"), "f_score": col("frequency_orders"), "m_score": cents},
+                       col("user_id"), TILES, end)
+    return tiled.withColumn("r_score", (F.lit(TILES + 1) - col("r_score")).cast("int"))
 
 
 def _rfm_text(r: Column, f: Column, m: Column) -> Column:
     return F.concat(r.cast("string"), f.cast("string"), m.cast("string"))
 
 
+# Score limits and names of the segments.
 def _segment7() -> Column:
     r, f, m = col("r_score"), col("f_score"), col("m_score")
     return (F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
@@ -115,11 +93,9 @@ def user_rfm_metrics(orders: DataFrame, full: bool = True) -> DataFrame:
     return delivered(orders).groupBy("user_id").agg(*aggs)
 
 
-def rfm_user_ltv(orders: DataFrame, checkpoint: bool = True,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def rfm_user_ltv(orders: DataFrame) -> DataFrame:
     """Q04: RFM scores (NTILE 5), 7-way segment, monthly revenue and predicted LTV per user."""
-    metrics, n = _materialise(user_rfm_metrics(orders, full=True), checkpoint)
-    s = _scored(metrics, "ntile", rows_per_bucket, n)
+    s = _scored(user_rfm_metrics(orders, full=True), ntile_end)
     months = F.lit(DEFAULT_LIFETIME_MONTHS)
     seg = col("segment")
     for name, value in reversed(list(LIFETIME_MONTHS.items())):
@@ -145,11 +121,9 @@ def rfm_user_ltv(orders: DataFrame, checkpoint: bool = True,
     )
 
 
-def rfm_segment_summary(orders: DataFrame, checkpoint: bool = True,
-                        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def rfm_segment_summary(orders: DataFrame) -> DataFrame:
     """Q05: Champions / Hibernating / Other: users and mean recency, frequency, monetary."""
-    metrics, n = _materialise(user_rfm_metrics(orders, full=False), checkpoint)
-    s = _scored(metrics, "ntile", rows_per_bucket, n).withColumn("segment", _segment3())
+    s = _scored(user_rfm_metrics(orders, full=False), ntile_end).withColumn("segment", _segment3())
     return (
         s.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("users_cnt"),
@@ -160,8 +134,7 @@ def rfm_segment_summary(orders: DataFrame, checkpoint: bool = True,
     )
 
 
-def rfm_segments_calendar(orders: DataFrame, checkpoint: bool = True,
-                          rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def rfm_segments_calendar(orders: DataFrame) -> DataFrame:
     """Q19: RFM with monetary = sum of basket, equal-count bins of first-ranks (trap T3) and the
     5-way segment."""
     anchor = max_delivered_date(orders)
@@ -171,8 +144,7 @@ def rfm_segments_calendar(orders: DataFrame, checkpoint: bool = True,
              F.count(F.lit(1)).alias("frequency_orders"),
              F.sum("basket_value_rub").alias("monetary_rub"))
     )
-    metrics, n = _materialise(metrics, checkpoint)
-    s = _scored(metrics, "qcut", rows_per_bucket, n)
+    s = _scored(metrics, quantile_bin_end)
     return s.select(
         "user_id", "recency_days", "frequency_orders",
         col("monetary_rub").cast("double").alias("monetary_rub"),
@@ -182,10 +154,9 @@ def rfm_segments_calendar(orders: DataFrame, checkpoint: bool = True,
     )
 
 
-def rfm_segments_calendar_summary(orders: DataFrame, checkpoint: bool = True,
-                                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def rfm_segments_calendar_summary(orders: DataFrame) -> DataFrame:
     """Q20: users and mean monetary per 5-way segment, by mean monetary descending."""
-    seg = rfm_segments_calendar(orders, checkpoint, rows_per_bucket)
+    seg = rfm_segments_calendar(orders)
     return (
         seg.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("users"),

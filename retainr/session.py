@@ -1,10 +1,7 @@
-"""SparkSession construction and checkpoint-directory handling."""
+"""SparkSession construction and partition sizing."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: AQE (runtime broadcast of small sides, partition coalescing,
@@ -31,8 +28,8 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
 
     * Scan splits of ``target_partition_bytes`` (256 MB of Parquet, ~0.5-1 GB in memory).
     * Shuffle partitions: input / target (an upper bound of the largest shuffle; the fact-table
-      shuffles here carry a few columns after partial aggregation, so far less), at least 2 and
-      at most 25 waves of tasks over all cores.  AQE then coalesces small partitions to the same
+      shuffles here carry a few columns after partial aggregation, so far less), at least two
+      waves of tasks over all cores.  AQE then coalesces small partitions to the same
       advisory size and splits skewed ones.
     * A task gets ``executor_memory / cores`` of heap; the advisory size is capped at a quarter
       of that so sorts and hash aggregates stay in memory instead of spilling.
@@ -42,9 +39,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
     cores = max(1, executors * cores_per_executor)
     per_task = int(executor_memory_gb * GB / max(1, cores_per_executor))
     advisory = max(32 * MB, min(target_partition_bytes, per_task // 4))
-    # capped at 25 per core: more reduce partitions only add map-status bookkeeping, and the
-    # shuffles here carry partially aggregated rows, far less than the input
-    shuffle = max(2 * cores, min(-(-input_bytes // advisory), 25 * cores))
+    shuffle = max(2 * cores, -(-input_bytes // advisory))
     return {
         "spark.sql.files.maxPartitionBytes": str(advisory),
         "spark.sql.shuffle.partitions": str(shuffle),
@@ -74,64 +69,4 @@ def get_spark(master: str | None = None, app_name: str = "retainr",
     conf.update(extra_conf or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset (local tests)
-    fall back to a fresh scratch folder."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="retainr-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The configured shared folder (``spark.checkpoint.dir``) itself, for data meant to outlive
-    one SparkContext; ``getCheckpointDir()`` adds a per-context subfolder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured if configured else ensure_checkpoint_dir(spark)
-
-
-def materialize(df, label: str = "stage", observe: dict | None = None):
-    """Cut the lineage of ``df`` by writing it as Parquet under the shared checkpoint folder and
-    reading it back.
-
-    One job (``Dataset.checkpoint`` would compute the plan twice unless persisted), a columnar
-    file with statistics for AQE, and a result that survives executor loss.  The folder comes
-    from the session's ``spark.checkpoint.dir``; it is only set locally when unset (tests).
-
-    ``observe`` maps names to aggregate Columns computed during the same write (e.g. the row
-    count); when given, ``(df, {name: value})`` is returned.
-    """
-    import uuid
-
-    from pyspark.sql import Observation
-
-    spark = df.sparkSession
-    try:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/retainr-materialized/{label}-{uuid.uuid4().hex}"
-        obs = None
-        source = df
-        if observe:
-            obs = Observation(f"{label}-{uuid.uuid4().hex[:8]}")
-            source = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
-        source.write.mode("error").parquet(path)
-        out = spark.read.parquet(path)
-        return out if obs is None else (out, dict(obs.get))
-    except Exception as exc:  # unwritable folder: keep the lineage, results are the same
-        import warnings
-
-        warnings.warn(f"materialize({label}) fell back to the lazy plan: {exc}")
-        if not observe:
-            return df
-        row = df.agg(*[c.alias(k) for k, c in observe.items()]).first()
-        return df, row.asDict()
+    return builder.getOrCreate()

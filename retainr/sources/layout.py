@@ -3,9 +3,7 @@
 The secondary indexes of the relational schema (user + time on orders and sessions, time +
 status, campaign, order on items) become a Parquet layout: partition directories by month of
 the main timestamp (partition pruning for time ranges), rows sorted by (user, time) inside each
-file (min/max statistics let the reader skip row groups on user or time predicates), and
-optionally bucketing by user so per-user joins and aggregates of two bucketed tables skip the
-shuffle.
+file (min/max statistics let the reader skip row groups on user or time predicates).
 """
 
 from __future__ import annotations
@@ -24,26 +22,22 @@ LAYOUTS = {
 
 
 def write_layout(df: DataFrame, path: str, table: str, mode: str = "overwrite",
-                 files_per_partition: int | None = None) -> None:
-    """Write ``df`` partitioned by month and clustered by the table's sort columns."""
+                 tasks: int | None = None) -> None:
+    """Write ``df`` partitioned by month and clustered by the table's sort columns.
+
+    Rows are dealt by range of (month, sort columns) over ``tasks`` writers (the shuffle partitions of the
+    session when None), so a large month is several files and several tasks."""
     ts_col, sort_cols = LAYOUTS.get(table, (None, []))
     out = df
     writer_parts = []
     if ts_col:
         out = out.withColumn("ym", F.date_format(ts_col, "yyyy-MM"))
         writer_parts = ["ym"]
-        out = (out.repartition(files_per_partition, "ym") if files_per_partition
-               else out.repartition("ym"))
+        keys = ["ym", *sort_cols]
+        out = out.repartitionByRange(tasks, *keys) if tasks else out.repartitionByRange(*keys)
     if sort_cols:
         out = out.sortWithinPartitions(*sort_cols)
     w = out.write.mode(mode)
     if writer_parts:
         w = w.partitionBy(*writer_parts)
     w.parquet(path)
-
-
-def save_bucketed(df: DataFrame, table_name: str, buckets: int, key: str = "user_id",
-                  sort_cols: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Save as a bucketed catalog table on ``key`` (co-located joins / aggregates on it)."""
-    (df.write.mode(mode).bucketBy(buckets, key).sortBy(*(sort_cols or [key]))
-     .saveAsTable(table_name))

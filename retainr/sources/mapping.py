@@ -1,12 +1,11 @@
 """Driver tables -> canonical star schema (FIXTURES.md part A).
 
 The driver ships TPC-H-like tables; the analyses run on the eight canonical tables of the
-retention schema.  The mapping is column expressions only: every canonical table is a
-projection (plus joins to the bounded geography dimension) of a Parquet scan.  By default each
-mapped table is stored once per session (see ``CanonicalTables``).
+retention schema.  The mapping is column expressions only: every canonical table is a lazy
+projection (plus joins to the bounded geography dimension) of a Parquet scan.
 
 Scale notes
-* nation (25 rows by TPC-H definition) x region (5 rows) is broadcast after a size check.
+* nation (25 rows by TPC-H definition) x region (5 rows): AQE broadcasts it once measured.
 * sessions look up ``city`` / ``device_os`` on ``dim_users``; both sides grow with the data, so
   that is a regular equi-join that AQE may turn into a broadcast once it has measured sizes.
 * Orders and events are mapped row by row (narrow), no shuffle.
@@ -14,9 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +24,9 @@ from retainr.functions.columns import col
 CHANNELS = ["organic", "paid_search", "social_ads", "referral", "affiliate"]
 TIERS = {"AUTOMOBILE": "platinum", "BUILDING": "gold", "FURNITURE": "silver"}
 DEFAULT_TIER = "new"
-CUISINES = ["Sushi", "Pizza", "Coffee"]
+CUISINES = ["cuisine_a", "cuisine_b", "cuisine_c"]
 COURIER_TYPES = ["bike", "car", "foot"]
-SHIFT_TYPES = ["night", "day", "evening"]
+SHIFT_TYPES = ["shift_a", "shift_b", "shift_c"]
 CAMPAIGN_TYPES = ["free_delivery", "percent_discount", "combo_offer", "reactivation"]
 PAYMENT_METHODS = ["card", "sbp", "apple_pay", "google_pay"]
 ORDER_SESSION_SOURCES = ["push", "organic", "paid", "email", "direct"]
@@ -39,7 +36,7 @@ ITEM_CATEGORIES = ["main", "snack", "drink", "dessert"]
 EXPOSURE_CHANNELS = ["home_feed", "push", "search"]
 TEST_ID = "free_delivery_banner_v1"
 EVENT_SHIFT_DAYS = 8234
-CAMPAIGN_PART_LIMIT = 80
+CAMPAIGN_SLOTS = 80
 SESSION_ID_OFFSET = 10_000_000
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -86,17 +83,11 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     return _LazyReads(spark, sf_dir)
 
 
-GEO_BROADCAST_MAX_ROWS = 10_000
-
-
 def _geo(raw: dict[str, DataFrame]) -> DataFrame:
-    """nation x region (25 x 5 rows by TPC-H definition); broadcast after a size check."""
-    from retainr.operators.joins import fits_broadcast
-
+    """nation x region (25 x 5 rows by TPC-H definition); AQE broadcasts it by its measured size."""
     nation, region = raw["nation"], raw["region"]
-    geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
-           .select("n_nationkey", col("r_name").alias("geo_city")))
-    return F.broadcast(geo) if fits_broadcast(geo, GEO_BROADCAST_MAX_ROWS) else geo
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey)
+            .select("n_nationkey", col("r_name").alias("geo_city")))
 
 
 def map_users(raw: dict[str, DataFrame]) -> DataFrame:
@@ -152,20 +143,19 @@ def map_couriers(raw: dict[str, DataFrame]) -> DataFrame:
 
 
 def map_campaigns(raw: dict[str, DataFrame]) -> DataFrame:
-    p = raw["part"]
-    k = col("p_partkey")
+    """One campaign a month slot: all parts, by key modulo the number of slots."""
+    slots = raw["part"].groupBy((col("p_partkey") % CAMPAIGN_SLOTS).alias("k")).agg(
+        F.min("p_name").alias("campaign_name"))
+    k = col("k")
     start = F.date_add(F.lit("1995-01-01").cast("date"), (30 * k).cast("int"))
-    return (
-        p.where(k < CAMPAIGN_PART_LIMIT)
-        .select(
-            k.alias("campaign_id"),
-            col("p_name").alias("campaign_name"),
-            start.alias("start_date"),
-            F.date_add(start, (6 + k % 8).cast("int")).alias("end_date"),
-            (8 + k % 22).cast("decimal(5,2)").alias("discount_pct"),
-            (50000 + (k % 10) * 20000).cast("decimal(12,2)").alias("min_basket_rub"),
-            _pick(k % 4, CAMPAIGN_TYPES).alias("campaign_type"),
-        )
+    return slots.select(
+        k.alias("campaign_id"),
+        "campaign_name",
+        start.alias("start_date"),
+        F.date_add(start, (6 + k % 8).cast("int")).alias("end_date"),
+        (8 + k % 22).cast("decimal(5,2)").alias("discount_pct"),
+        (50000 + (k % 10) * 20000).cast("decimal(12,2)").alias("min_basket_rub"),
+        _pick(k % 4, CAMPAIGN_TYPES).alias("campaign_type"),
     )
 
 
@@ -181,7 +171,7 @@ def map_orders(raw: dict[str, DataFrame]) -> DataFrame:
         col("o_custkey").alias("user_id"),
         (k % 10).alias("restaurant_id"),
         (k % 7).alias("courier_id"),
-        F.when(k % 4 == 0, k % CAMPAIGN_PART_LIMIT).alias("campaign_id"),
+        F.when(k % 4 == 0, k % CAMPAIGN_SLOTS).alias("campaign_id"),
         _order_ts(k).alias("order_ts"),
         F.when(col("o_orderstatus") == "P", "cancelled").otherwise("delivered")
         .alias("order_status"),
@@ -217,7 +207,7 @@ def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> D
     o, ev = raw["orders"], raw["events"]
     k = col("o_orderkey")
     ordering = (
-        o.where((col("o_orderstatus") != "P") & (k % 50 != 0))
+        o.where(col("o_orderstatus") != "P")
         .select(
             (F.lit(SESSION_ID_OFFSET) + k).alias("session_id"),
             col("o_custkey").alias("user_id"),
@@ -253,8 +243,7 @@ def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
     k = col("c_custkey")
     day = ((k - k % 2) % 90)
     return (
-        c.where(k % 10 != 9)
-        .select(
+        c.select(
             (k + 1).alias("assignment_id"),
             k.alias("user_id"),
             F.lit(TEST_ID).alias("test_id"),
@@ -266,30 +255,12 @@ def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-# Physical layout of the stored canonical tables: range-partition keys (also the sort order
-# inside each file).  Range partitioning on (key, time) keeps files balanced even when one user
-# owns a large share of the rows, and clusters each user's rows for min/max skipping.
-ROWS_PER_FILE = 10_000_000
-STORE_LAYOUT = {
-    "fact_orders": ["user_id", "order_ts"],
-    "fact_app_sessions": ["user_id", "session_start_ts"],
-    "fact_ab_test_assignments": ["user_id", "assigned_at"],
-    "fact_order_items": ["order_id", "order_item_id"],
-    "dim_users": ["user_id"],
-}
-
-
 class CanonicalTables(Mapping):
-    """The eight canonical tables over the driver's Parquet files.
+    """The eight canonical tables over the driver's Parquet files, as lazy plans.
 
     A table is built on first access only, so a query touching ``fact_orders`` never resolves
-    the other files.  With ``store=True`` (default) the mapped table is written as Parquet under
-    the shared checkpoint folder, laid out by ``STORE_LAYOUT`` over max(cores, rows /
-    ``ROWS_PER_FILE``) files, and read back: like loading the raw files into the relational
-    tables once, after which every query scans real columns (filter pushdown, column pruning,
-    one task per file) instead of re-deriving the mapping in its plan.  The copy is keyed by a
-    fingerprint of the mapping code and the input files (name, size, mtime) and reused by later
-    sessions while both are unchanged; any change gives a new key, hence a fresh copy.
+    the other files; nothing is read or written before an action.  Loading the mapped tables into
+    stored ones is a separate, explicit step: ``sources.layout.write_layout`` to a path of the caller's.
     """
 
     _builders = {
@@ -303,70 +274,13 @@ class CanonicalTables(Mapping):
         "fact_ab_test_assignments": lambda self: map_assignments(self._raw),
     }
 
-    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
-        self._spark, self._raw, self._store = spark, read_driver_tables(spark, sf_dir), store
-        self._dir = sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._raw = read_driver_tables(spark, sf_dir)
         self._built: dict[str, DataFrame] = {}
-        self._folder: str | None = None
-
-    def _fingerprint(self) -> str | None:
-        """Hash of this module's source and the driver files' (name, size, mtime); None when the
-        files are not local (then nothing is reused across sessions)."""
-        import hashlib
-        import os
-
-        with open(__file__, "rb") as fh:  # a changed mapping must never reuse an old copy
-            parts = [hashlib.sha256(fh.read()).hexdigest()]
-        for t in DRIVER_TABLES:
-            path = f"{_local(self._dir)}/{t}.parquet"
-            if not os.path.exists(path):
-                return None
-            st = os.stat(path)
-            parts.append(f"{t}:{st.st_size}:{st.st_mtime_ns}")
-        return hashlib.sha256("|".join(parts).encode()).hexdigest()[:24]
-
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        import os
-        import uuid
-
-        from retainr import session
-
-        if self._folder is None:
-            base = session.shared_root(self._spark).rstrip("/")
-            key = self._fingerprint() or uuid.uuid4().hex
-            self._folder = f"{base}/retainr-canonical/{key}"
-        root = f"{self._folder}/{name}"
-        local_root = _local(root)
-        if local_root is not None and os.path.isdir(local_root):
-            # a complete copy from an earlier session over the same input files
-            for sub in sorted(os.listdir(local_root)):
-                if os.path.exists(f"{local_root}/{sub}/_SUCCESS"):
-                    return self._spark.read.schema(df.schema).parquet(f"{root}/{sub}")
-        keys = STORE_LAYOUT.get(name)
-        out = df
-        if keys:
-            # files sized by rows: at least one per core, at most ROWS_PER_FILE rows each
-            rows = df.count()
-            parts = max(1, min(self._spark.sparkContext.defaultParallelism, rows),
-                        math.ceil(rows / ROWS_PER_FILE))
-            out = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-        path = f"{root}/{uuid.uuid4().hex}"  # own folder per writer: concurrent sessions never clash
-        out.write.mode("error").parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)  # schema known: no footer job
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            if name not in self._builders:
-                raise KeyError(name)
-            df = self._builders[name](self)
-            if self._store:
-                try:
-                    df = self._stored(name, df)
-                except Exception as exc:  # unwritable folder: the lazy mapping gives the same rows
-                    import warnings
-
-                    warnings.warn(f"storing {name} failed, using the lazy mapping: {exc}")
-            self._built[name] = df
+            self._built[name] = self._builders[name](self)
         return self._built[name]
 
     def __iter__(self):
@@ -376,25 +290,6 @@ class CanonicalTables(Mapping):
         return len(CANONICAL_TABLES)
 
 
-def _local(path: str) -> str | None:
-    """Local filesystem path for ``path`` (plain or ``file:``), None for other schemes."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return None
-    return path
-
-
-_PLANS: dict[tuple[int, str, bool], CanonicalTables] = {}
-
-
-def canonical_tables(spark: SparkSession, sf_dir: str, store: bool = True) -> CanonicalTables:
-    """Canonical tables for ``sf_dir`` (stored once per session unless ``store=False``)."""
-    key = (id(spark), sf_dir, store)
-    if key not in _PLANS:
-        _PLANS[key] = CanonicalTables(spark, sf_dir, store)
-    return _PLANS[key]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def canonical_tables(spark: SparkSession, sf_dir: str) -> CanonicalTables:
+    """Canonical tables for ``sf_dir``."""
+    return CanonicalTables(spark, sf_dir)

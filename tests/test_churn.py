@@ -49,10 +49,9 @@ def test_threshold_and_metrics_match_brute_force(spark):
     assert m["tp"] == float((p & (pdf["churn_label"] == 1)).sum())
 
 
-def test_score_table_multi_range(spark):
+def test_score_table(spark):
     df, pdf = _scores(spark, 3000)
-    table = churn.score_table(df, rows_per_bucket=20)
-    assert "SinglePartition" not in table._jdf.queryExecution().executedPlan().toString()
+    table = churn.score_table(df)
     t = table.orderBy(F.desc("score")).toPandas()
     assert t["cum_pos"].tolist() == t["pos"].cumsum().tolist()
     assert t["cum_neg"].iloc[-1] == (pdf["churn_label"] == 0).sum()
@@ -84,7 +83,7 @@ def test_winsorize_matches_pandas(spark):
 
 def test_exact_stratified_split(spark):
     df, pdf = _scores(spark, 1001)
-    train, test = churn.stratified_split(df, exact=True)
+    train, test = churn.stratified_split(df)
     counts = pdf["churn_label"].value_counts()
     got = {r[0]: r[1] for r in test.groupBy("churn_label").count().collect()}
     assert got == {k: int(round(0.25 * v)) for k, v in counts.items()}
@@ -101,7 +100,7 @@ def test_feature_matrix_requires_target(spark):
 def test_small_model_fit_save_load(spark, scratch):
     t = canonical_tables(spark, SF_SMALL)
     feats = features.user_features(t["dim_users"], t["fact_orders"], t["fact_app_sessions"],
-                                   t["fact_ab_test_assignments"])
+                                   t["fact_ab_test_assignments"], test_id="free_delivery_banner_v1")
     data = features.modeling_dataset(feats, eligible_only=False)
     res = churn.train_churn_model(data, maxIter=3, maxDepth=3)
     assert 0.0 <= res.threshold <= 1.0
@@ -116,11 +115,8 @@ def test_small_model_fit_save_load(spark, scratch):
     assert again.join(a, "user_id").where(F.abs(F.col("churn_proba") - F.col("a")) > 1e-12).count() == 0
 
 
-def test_top_k_large_k_uses_distributed_rank(spark, monkeypatch):
+def test_top_k(spark):
     df, pdf = _scores(spark, 400)
-    small = churn.top_k_precision(df, k=123).first()
-    monkeypatch.setattr(churn, "TOP_K_IN_MEMORY", 10)
-    big = churn.top_k_precision(df, k=123).first()
+    got = churn.top_k_precision(df, k=123).first()
     want = pdf.sort_values(["churn_proba", "user_id"], ascending=[False, True]).head(123)
-    assert small["precision_at_k"] == pytest.approx(want["churn_label"].mean())
-    assert big["precision_at_k"] == pytest.approx(small["precision_at_k"])
+    assert got["k"] == 123 and got["precision_at_k"] == pytest.approx(want["churn_label"].mean())

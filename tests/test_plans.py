@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from retainr.plans import cohorts, common
+from retainr.plans.registry import QUERIES
 from retainr.sources import tables
 from retainr.sources.mapping import canonical_tables
 from tests.conftest import SF_ORACLE, SF_SMALL
@@ -27,9 +28,7 @@ def _unbounded_single_partition(plan: str) -> list[str]:
     return bad
 
 
-# Ranking inputs that grow with the data (one row per user / per distinct basket value).  The
-# churn threshold scan ranks distinct scores, at most 93 for the registered recency score, so a
-# single range is bounded there; tests/test_churn.py checks its multi-range plan.
+# Ranking inputs that grow with the data (one row per user / per distinct basket value).
 @pytest.mark.parametrize("name", ["rfm_user_ltv", "rfm_segment_summary", "rfm_segments_calendar",
                                   "rfm_segments_calendar_summary", "winsorize_basket"])
 def test_no_single_partition_windows(spark, name):
@@ -39,8 +38,8 @@ def test_no_single_partition_windows(spark, name):
 
 
 def test_no_python_udfs_anywhere(spark):
-    for name, fn in E.queries().items():
-        plan = _plan(fn(spark, SF_SMALL))
+    for name in QUERIES:
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
         for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
             assert node not in plan, (name, node)
 

@@ -1,118 +1,71 @@
-"""Exact distributed rank / NTILE / bins / running sums."""
+"""Rows at given ranks, tiles, bins, running sums and exact rounding."""
+
+import random
+from decimal import ROUND_HALF_UP, Decimal, getcontext
 
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from retainr.operators.ranking import (global_ntile, global_rank, quantile_bin_of_rank,
-                                       quantile_bins, running_sum)
+from retainr.functions.numeric import avg_round, round_ratio
+from retainr.operators.ranking import quantile_bin_end, running_sums, scaled_class, value_class, with_tiles
 
 
 def _data(spark, n=5000):
-    # a third of the rows share one value: heavy ties must spread over ranges
+    # a third of the rows share one value: heavy ties are split by the tie key
     return spark.range(n).select(
         F.col("id").alias("user_id"),
-        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 23).cast("long").alias("m"))
-
-
-def test_rank_is_permutation_and_matches_row_number(spark):
-    df = _data(spark)
-    ranked, n = global_rank(df, ["m"], "user_id", "r", rows_per_bucket=300)
-    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("m", "user_id")))
-    j = ranked.join(ref, "user_id")
-    assert n == 5000
-    assert j.where(F.col("r") != F.col("rn")).count() == 0
-    stats = ranked.agg(F.min("r"), F.max("r"), F.count_distinct("r")).first()
-    assert tuple(stats) == (1, 5000, 5000)
-
-
-def test_rank_plan_has_no_single_partition(spark):
-    ranked, _ = global_rank(_data(spark), ["m"], "user_id", "r", rows_per_bucket=300)
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-
-
-def test_ntile_matches_sql_ntile(spark):
-    for n in (7, 13, 2000):
-        df = _data(spark, n)
-        got = global_ntile(df, "m", "user_id", 5, "t", rows_per_bucket=150)
-        ref = df.withColumn("t2", F.ntile(5).over(Window.orderBy("m", "user_id")))
-        assert got.join(ref, "user_id").where(F.col("t") != F.col("t2")).count() == 0
-        sizes = [r[1] for r in got.groupBy("t").count().collect()]
-        assert max(sizes) - min(sizes) <= 1
-
-
-def test_quantile_bins_match_pandas_qcut(spark):
-    for n in (5, 6, 7, 8, 9, 11, 37, 501):
-        ranks = pd.Series(range(1, n + 1))
-        want = pd.qcut(ranks, 5, labels=[1, 2, 3, 4, 5]).astype(int).tolist()
-        df = spark.range(1, n + 1).withColumnRenamed("id", "r")
-        got = [row[0] for row in df.orderBy("r")
-               .select(quantile_bin_of_rank(F.col("r"), n, 5)).collect()]
-        assert got == want, n
-
-
-def test_quantile_bins_of_metric(spark):
-    df = _data(spark, 1000)
-    got = quantile_bins(df, "m", "user_id", 5, "b", rows_per_bucket=100).toPandas()
-    got = got.sort_values("user_id").reset_index(drop=True)
-    pdf = df.toPandas().sort_values("user_id").reset_index(drop=True)
-    want = pd.qcut(pdf["m"].rank(method="first"), 5, labels=[1, 2, 3, 4, 5]).astype(int)
-    assert got["b"].tolist() == want.tolist()
-
-
-def test_running_sum(spark):
-    df = spark.range(1, 3001).select(F.col("id").alias("k"), (F.col("id") % 7).alias("w"))
-    got = running_sum(df, ["k"], "k", "w", "cum", rows_per_bucket=250).orderBy("k").toPandas()
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise((F.col("id") * 7919) % 100_003 - 300).cast("long").alias("m"))
+
+
+def test_value_class_is_monotone_and_small(spark):
+    rng = random.Random(3)
+    xs = sorted({s * rng.randint(0, 1 << rng.randint(1, 62)) for s in (1, -1) for _ in range(3000)} | set(range(-3000, 3000)))
+    got = [r.c for r in spark.createDataFrame([(x,) for x in xs], "x long").coalesce(1).select(
+        value_class(F.col("x")).alias("c")).collect()]
+    assert got == sorted(got) and max(got) < 66_000
+    assert len({c for c, x in zip(got, xs) if abs(x) < 2048}) == sum(abs(x) < 2048 for x in xs)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 7, 13, 2000])
+def test_tiles_match_sql_ntile_and_pandas_qcut(spark, n):
+    df = _data(spark, n)
+    got = with_tiles(df, {"t": F.col("m"), "u": -F.col("m")}, F.col("user_id"), 5)
+    got = with_tiles(got, {"q": F.col("m")}, F.col("user_id"), 5, quantile_bin_end).toPandas()
+    ref = df.withColumn("t", F.ntile(5).over(Window.orderBy("m", "user_id"))).withColumn(
+        "u", F.ntile(5).over(Window.orderBy(-F.col("m"), "user_id"))).toPandas()
+    got, ref = (x.sort_values("user_id").reset_index(drop=True) for x in (got, ref))
+    assert got["t"].tolist() == ref["t"].tolist() and got["u"].tolist() == ref["u"].tolist()
+    if n >= 5:
+        ranks = ref.sort_values(["m", "user_id"])["m"].rank(method="first")
+        want = pd.qcut(ranks, 5, labels=[1, 2, 3, 4, 5]).astype(int)
+        assert got["q"].tolist() == want.sort_index().tolist()
+    elif n == 1:
+        assert got["q"].tolist() == [1]
+
+
+def test_running_sums(spark):
+    df = spark.range(1, 3001).select((F.col("id") * 37 % 3001 / 3001).alias("k"), (F.col("id") % 7).alias("w"))
+    got = running_sums(df, F.col("k"), scaled_class(F.col("k")), {"cum": "w"}, {"all": "w"}).toPandas().sort_values("k")
     assert got["cum"].tolist() == got["w"].cumsum().tolist()
+    assert set(got["all"]) == {got["w"].sum()}
 
 
-def test_several_orders_share_one_pass(spark):
-    from retainr.operators.ranking import global_ranks
-
-    df = _data(spark, 3000).withColumn("m2", (F.col("user_id") * 7) % 101)
-    ranked, n = global_ranks(df, {"ra": ["m"], "rb": ["m2"], "rc": ["m", "m2"]}, "user_id",
-                             rows_per_bucket=200)
-    ref = (df.withColumn("xa", F.row_number().over(Window.orderBy("m", "user_id")))
-             .withColumn("xb", F.row_number().over(Window.orderBy("m2", "user_id")))
-             .withColumn("xc", F.row_number().over(Window.orderBy("m", "m2", "user_id"))))
-    j = ranked.join(ref, ["user_id", "m", "m2"])
-    bad = j.where((F.col("ra") != F.col("xa")) | (F.col("rb") != F.col("xb")) | (F.col("rc") != F.col("xc")))
-    assert n == 3000 and bad.count() == 0
-
-
-def test_round_ratio_matches_decimal_half_up(spark):
-    import random
-    from decimal import ROUND_HALF_UP, Decimal
-
-    from retainr.functions.numeric import round_ratio
-
+def test_round_ratio_is_exact_far_beyond_64_bits(spark):
+    getcontext().prec = 60
     rng = random.Random(7)
-    pairs = [(rng.randint(-10**7, 10**7), rng.randint(1, 10**4)) for _ in range(3000)]
+    pairs = [(rng.randint(-10**rng.randint(1, 22), 10**rng.randint(1, 22)), rng.randint(1, 10**rng.randint(1, 12)))
+             for _ in range(3000)]
     pairs += [(k * 5, 1000) for k in range(-40, 40)]          # exact ties at the 3rd decimal
-    df = spark.createDataFrame(pairs, "n long, d long")
-    got = [(r[0], r[1], r[2], r[3]) for r in df.select(
-        "n", "d", round_ratio(F.col("n"), F.col("d"), 2), round_ratio(F.col("n"), F.col("d"), 4)).collect()]
-    for n, d, r2, r4 in got:
+    df = spark.createDataFrame([(Decimal(n), d) for n, d in pairs], "n decimal(38,0), d long")
+    for n, d, r2, r4 in df.select("n", "d", round_ratio("n", "d", 2), round_ratio("n", "d", 4)).collect():
         for digits, r in ((2, r2), (4, r4)):
-            q = Decimal(1).scaleb(-digits)
-            want = (Decimal(abs(n)) / Decimal(d)).quantize(q, rounding=ROUND_HALF_UP)
-            want = -want if n < 0 else want
-            assert r == float(want), (n, d, digits, r, want)
-    zero = spark.createDataFrame([(5, 0)], "n long, d long").select(round_ratio(F.col("n"), F.col("d"), 2)).first()[0]
-    assert zero is None
-
+            want = (abs(n) / d).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
+            assert r == float(-want if n < 0 else want), (n, d, digits, r, want)
+    assert spark.createDataFrame([(5, 0)], "n long, d long").select(round_ratio("n", "d", 2)).first()[0] is None
 
-def test_large_input_path_balances_ranges(spark, monkeypatch):
-    from retainr.operators import ranking
 
-    monkeypatch.setattr(ranking, "LARGE_INPUT_ROWS", 0)   # force the large-input layout
-    df = _data(spark, 4000)
-    ranked, _ = ranking.global_ranks(df, {"r": ["m"]}, "user_id", rows_per_bucket=250)
-    plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning(__b_r" in plan and "hashpartitioning(__b_r" not in plan
-    ref = df.withColumn("x", F.row_number().over(Window.orderBy("m", "user_id")))
-    assert ranked.join(ref, ["user_id", "m"]).where(F.col("r") != F.col("x")).count() == 0
-    cum = ranking.running_sums(df.withColumn("w", F.lit(1)), ["m"], "user_id", {"c": "w"},
-                               rows_per_bucket=250)
-    assert cum.join(ref, ["user_id", "m"]).where(F.col("c") != F.col("x")).count() == 0
+def test_avg_round_of_huge_sums(spark):
+    df = spark.range(4000).select((F.lit(9 * 10**15) + F.col("id")).cast("decimal(20,2)").alias("x"))
+    assert df.agg(avg_round("x", 2, 2)).first()[0] == pytest.approx(9 * 10**15 + 1999.5)

@@ -68,7 +68,7 @@ def test_jdbc_round_trip_embedded_derby(spark):
                           lower_bound=1, upper_bound=100, num_partitions=4)
     assert back.rdd.getNumPartitions() == 4
     assert back.count() == 100 and back.agg(F.sum("USER_ID")).first()[0] == 5050
-    assert jdbc.mysql_url("db", 3306, "x") == "jdbc:mysql://db:3306/x"
+    assert jdbc.mysql_url("db", "x") == "jdbc:mysql://db:3306/x"
 
 
 def test_layout_partition_pruning(spark, scratch):
@@ -82,6 +82,15 @@ def test_layout_partition_pruning(spark, scratch):
     assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(order_status), EqualTo(order_status,delivered)]" in plan
 
 
+def test_layout_splits_a_large_month(spark, scratch):
+    orders = canonical_tables(spark, SF_SMALL)["fact_orders"].withColumn("order_ts", F.lit("1998-03-05 00:00:00").cast("timestamp_ntz"))
+    out = os.path.join(scratch, "one_month")
+    layout.write_layout(orders, out, "fact_orders", tasks=8)
+    files = [f for f in os.listdir(os.path.join(out, "ym=1998-03")) if f.endswith(".parquet")]
+    assert len(files) == 8
+    assert spark.read.parquet(out).count() == orders.count()
+
+
 def test_streaming_ingest_is_incremental(spark, scratch):
     src = os.path.join(scratch, "in")
     os.makedirs(src)

@@ -2,13 +2,15 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from retainr.functions.dates import week_start
 from retainr.plans import cohorts, experiments, features
+from retainr.plans.experiments import TEST_ID
 from retainr.sources.mapping import canonical_tables
 from tests.conftest import SF_SMALL
-from tests.fixtures import assignments, orders
+from tests.fixtures import assignments, orders, sessions, users
 
 
 def _repeat_orders(spark):
@@ -117,12 +119,12 @@ def test_features_do_not_leak_future_rows(spark):
     t = canonical_tables(spark, SF_SMALL)
     ref = "2001-06-01 00:00:00"
     base = features.user_features(t["dim_users"], t["fact_orders"], t["fact_app_sessions"],
-                                  t["fact_ab_test_assignments"], reference_date=ref)
+                                  t["fact_ab_test_assignments"], reference_date=ref, test_id=TEST_ID)
     extra = orders(spark, [dict(order_id=10**9, user_id=1, order_ts="2001-06-05 00:00:00",
                                 basket="999.00")])
     more = t["fact_orders"].unionByName(extra)
     changed = features.user_features(t["dim_users"], more, t["fact_app_sessions"],
-                                     t["fact_ab_test_assignments"], reference_date=ref)
+                                     t["fact_ab_test_assignments"], reference_date=ref, test_id=TEST_ID)
     cols = [c for c in base.columns if c not in ("future_orders_cnt", "churn_label")]
     assert base.select(cols).exceptAll(changed.select(cols)).count() == 0
     f_before = base.where("user_id = 1").first()["future_orders_cnt"]
@@ -130,6 +132,19 @@ def test_features_do_not_leak_future_rows(spark):
     assert f_after == f_before + 1
 
 
+def test_features_use_one_test_and_reject_double_assignment(spark):
+    u = users(spark, [1, 2])
+    o = orders(spark, [dict(order_id=1, user_id=1, order_ts="2025-03-01 10:00:00")])
+    s = sessions(spark, [dict(session_id=1, user_id=1, start="2025-01-02 10:00:00")])
+    two = [dict(user_id=1, variant="treatment", assigned_at="2025-01-01 00:00:00"),
+           dict(user_id=1, variant="control", assigned_at="2025-01-01 00:00:00", test_id="another")]
+    got = features.user_features(u, o, s, assignments(spark, two), test_id=TEST_ID).collect()
+    assert sorted((r["user_id"], r["variant"]) for r in got) == [(1, "treatment"), (2, None)]
+    again = two + [dict(user_id=1, variant="control", assigned_at="2025-01-02 00:00:00")]
+    with pytest.raises(Exception, match="more than one assignment"):
+        features.user_features(u, o, s, assignments(spark, again), test_id=TEST_ID).collect()
+
+
 def test_conversion_window_day_boundaries(spark):
     a = assignments(spark, [dict(user_id=u, variant="control", assigned_at="2025-01-01 10:00:00")
                             for u in range(1, 6)])
