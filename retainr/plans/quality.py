@@ -2,7 +2,7 @@
 invariants the source data is built on, as distributed checks.
 
 Scale notes
-* Key checks aggregate first (``groupBy(key).count()`` with partial aggregation), so the
+* Keys are counted with partial aggregation, all keys of a table in one scan, so the
   duplicate and orphan tests join one row per key, never the raw fact rows; a key holding a
   large share of the rows is collapsed before the shuffle.
 * NOT NULL and length checks are one aggregate pass per table.
@@ -38,53 +38,60 @@ def _rows(table: str, checks: list[tuple[str, str, str]], agg_source: DataFrame)
                           f"stack({len(checks)}, {triples}) AS (rule, column_name, violations)")
 
 
-def _duplicates(key_counts: DataFrame, table: str, rule: str, key: list[str]) -> DataFrame:
-    """Surplus rows per key: sum over keys of (count - 1)."""
-    dup = key_counts.agg(F.sum(col("count") - 1).alias("v"))
-    return dup.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                      F.lit(",".join(key)).alias("column_name"),
-                      F.coalesce(col("v"), F.lit(0)).cast("long").alias("violations"))
-
-
-def _orphans(child: DataFrame, table: str, column: str, parent_keys: DataFrame) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row (keys aggregated before the anti join;
-    the parent side is the parent's primary-key count table, shared with its key check)."""
-    keys = child.where(col(column).isNotNull()).groupBy(col(column).alias("__k")).count()
-    missing = keys.join(parent_keys, "__k", "left_anti").agg(F.sum("count").alias("v"))
-    return missing.select(F.lit(table).alias("table_name"), F.lit("foreign_key").alias("rule"),
-                          F.lit(column).alias("column_name"),
-                          F.coalesce(col("v"), F.lit(0)).cast("long").alias("violations"))
+def _key_text(columns: list[str]):
+    """A key as text; the key of one column is NULL with it."""
+    if len(columns) == 1:
+        return col(columns[0]).cast("string")
+    return F.concat_ws("\x1f", *[F.coalesce(col(c).cast("string"), F.lit("\x00")) for c in columns])
 
 
 def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per rule (not_null, max_length, primary_key, unique, foreign_key) for
     every table present in ``tables``; rows with 0 violations are kept (a full report).
 
-    Per table: one aggregate pass for all NOT NULL and length rules, one ``groupBy(pk)`` whose
-    result serves the key check and every foreign key pointing at the table (the identical
-    exchange is reused within the plan)."""
-    parts, pk_counts = [], {}
+    Each table is scanned once for all NOT NULL and length rules and once for all its keys: a row
+    gives one (key number, value) pair for each primary, unique and foreign key, and one ``groupBy`` counts the
+    pairs of all tables, combined before the shuffle.  Surplus counts are duplicates; counts of a foreign key without a
+    counterpart under its parent's key number are orphans."""
+    parts, report, numbers = [], [], {}
+
+    def number(table: str, columns: list[str]) -> int:
+        return numbers.setdefault((table, tuple(columns)), len(numbers))
+
     for name, schema in SCHEMAS.items():
         if name not in tables:
             continue
-        df = tables[name]
         checks = [("not_null", f.name, f"count_if(`{f.name}` IS NULL)")
                   for f in schema.fields if not f.nullable]
         checks += [("max_length", c, f"count_if(length(`{c}`) > {n})")
                    for c, n in VARCHAR_LENGTHS.get(name, {}).items()]
-        parts.append(_rows(name, checks, df))
-        pk_counts[name] = df.groupBy(*PRIMARY_KEYS[name]).count()
-        parts.append(_duplicates(pk_counts[name], name, "primary_key", PRIMARY_KEYS[name]))
-        for key in UNIQUE_KEYS.get(name, []):
-            parts.append(_duplicates(df.groupBy(*key).count(), name, "unique", key))
+        parts.append(_rows(name, checks, tables[name]))
+        for rule, keys in (("primary_key", [PRIMARY_KEYS[name]]), ("unique", UNIQUE_KEYS.get(name, []))):
+            report += [(name, rule, ",".join(k), number(name, k)) for k in keys]
+    parents = {}
     for child, ccol, parent, pcol in FOREIGN_KEYS:
         if child in tables and parent in tables:
-            if PRIMARY_KEYS[parent] == [pcol]:
-                parent_keys = pk_counts[parent].select(col(pcol).alias("__k"))
-            else:
-                parent_keys = tables[parent].select(col(pcol).alias("__k")).distinct()
-            parts.append(_orphans(tables[child], child, ccol, parent_keys))
-    return reduce(DataFrame.unionByName, parts).select(*_RESULT_COLS)
+            parents[number(child, [ccol])] = number(parent, [pcol])
+            report.append((child, "foreign_key", ccol, number(child, [ccol])))
+    pairs = []
+    for name in dict.fromkeys(t for t, _ in numbers):
+        of_table = [F.struct(F.lit(i).alias("i"), _key_text(list(k)).alias("k"))
+                    for (t, k), i in numbers.items() if t == name]
+        pairs.append(tables[name].select(F.explode(F.array(*of_table)).alias("p")).select("p.i", "p.k"))
+    counts = reduce(DataFrame.unionByName, pairs).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("i").agg(F.sum(col("n") - 1).alias("v")).withColumn("foreign", F.lit(False))
+    if parents:
+        parent = F.element_at(F.create_map(*[F.lit(x) for pair in parents.items() for x in pair]), col("i"))
+        child = counts.where(col("i").isin(*parents) & col("k").isNotNull()).withColumn("i_parent", parent)
+        keys = counts.select(col("i").alias("i_parent"), "k")
+        orphans = child.join(keys, ["i_parent", "k"], "left_anti").groupBy("i").agg(F.sum("n").alias("v"))
+        found = found.unionByName(orphans.withColumn("foreign", F.lit(True)))
+    rules = tables[next(iter(tables))].sparkSession.createDataFrame(
+        [(*r, r[1] == "foreign_key") for r in report],
+        "table_name string, rule string, column_name string, i int, foreign boolean")
+    keyed = rules.join(found, ["i", "foreign"], "left").select(
+        "table_name", "rule", "column_name", F.coalesce("v", F.lit(0)).cast("long").alias("violations"))
+    return reduce(DataFrame.unionByName, [*parts, keyed]).select(*_RESULT_COLS)
 
 
 def active_campaigns(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
