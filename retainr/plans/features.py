@@ -128,15 +128,16 @@ def user_features(users: DataFrame, orders: DataFrame, sessions: DataFrame,
         .where((col("order_ts") > ref) & (col("order_ts") <= plus_days(ref, label_horizon_days)))
         .groupBy("user_id").agg(F.count("order_id").alias("future_orders_cnt"))
     )
-    f = users.join(of, "user_id", "left").join(sf, "user_id", "left").join(af, "user_id", "left")
+    # the reference time becomes a column once: each mention of the scalar would be planned again
+    f = users.withColumn("__ref", ref).join(of, "user_id", "left").join(sf, "user_id", "left").join(af, "user_id", "left")
 
     def gap(name: str) -> Column:
-        return F.coalesce(elapsed_days_floor(ref, col(name)), F.lit(MISSING_DAYS))
+        return F.coalesce(elapsed_days_floor(col("__ref"), col(name)), F.lit(MISSING_DAYS))
 
     f = f.select(
-        *[c for c in f.columns if c not in NUMERIC_DEFAULTS],
+        *[c for c in f.columns if c not in NUMERIC_DEFAULTS and c != "__ref"],
         *[F.coalesce(col(c), F.lit(v)).alias(c) for c, v in NUMERIC_DEFAULTS.items()],
-        F.greatest(elapsed_days_floor(ref, col("registration_ts")), F.lit(0))
+        F.greatest(elapsed_days_floor(col("__ref"), col("registration_ts")), F.lit(0))
         .alias("days_since_registration"),
         gap("last_order_ts").alias("days_since_last_order"),
         gap("last_session_ts").alias("days_since_last_session"),
