@@ -4,15 +4,19 @@ A document's set holds its distinct shingles of ``SHINGLE`` words (A-Z lower-cas
 permutations of the 32-bit integers make all signature coordinates: the first is applied to
 each shingle hash, the second is shifted circularly by k for coordinate k, whose value is the
 minimum over the set.  ``BANDS`` bands of ``ROWS`` coordinates find candidates; at a similarity of 0.85 the
-chance that a pair shares no band is below 3e-7.
+chance that a pair shares no band is below 3e-7.  The curve is steep on purpose: texts that merely share a passage
+(a similarity of 0.4, say) meet in a band in 1 of 70 cases, so they do not fill the buckets.
 
 Equal sets are one class, so exact copies are one row.  Candidates are compared on their whole
 sets:
 
 * in each bucket every member with the smallest one (a star: as many pairs as members), and the
   confirmed links are closed into components;
-* then, only in buckets that still hold several components, the pairs of members of different components
-  that are left.  Pairs inside one component cannot change the result and are never made.
+* in buckets that still hold several components, shingles that a document shares with none of the documents left there
+  bound its similarity from above; documents that cannot reach the threshold leave, and a second star joins the others to
+  the member with the fewest shingles of its own;
+* then the pairs of members of different components that are left and that the bound admits.  Pairs
+  inside one component cannot change the result and are never made.
 
 Edge cases: null or empty texts have no shingles and link with nothing; fewer than
 ``SHINGLE`` words are one shingle; rows without an id are linked with nothing and kept; rows that share an id
@@ -33,7 +37,7 @@ from retainr.llm.components import components
 from retainr.llm.shared import stored
 
 SHINGLE = 5
-ROWS, BANDS = 5, 26
+ROWS, BANDS = 9, 58
 PERCENT = 85
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -140,6 +144,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         lambda b: _similar(b, percent), "a long, b long")
 
 
+def _exploded(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            nodes = np.repeat(np.asarray(part.column(0)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(np.concatenate(sets) if sets else nodes)], ["node", "shingle"])
+
+
+def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets with their components so far."""
+    return members.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Only the buckets that hold several components."""
+    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return labelled.join(keys, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS,
                     bands: int = BANDS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable over links,
@@ -150,40 +175,62 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     classes = about.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = classes.select(F.explode("bands").alias("key"), "node", "n")
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("hi")).where(
-        "pivot < hi").drop("hi")
+    shared = members.groupBy("key").agg(
+        F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("hi")).where("pivot.node < hi").drop("hi")
     members = stored(members.join(shared, "key"), "members")
     nodes = members.select("node").distinct()
     sets = stored(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(
-        lambda b: _sets(b, k), "node long, shingles binary").dropDuplicates(["node", "shingles"]), "sets")
-    size = members.groupBy("node").agg(F.min("n").alias("n"))
+        lambda b: _sets(b, k), "node long, shingles binary"), "sets")
 
-    def fitting(pairs: DataFrame) -> DataFrame:  # the sizes alone rule out the others
-        one, two = size.select(F.col("node").alias("a"), F.col("n").alias("na")), size.select(
-            F.col("node").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(one, "a").join(two, "b").where(
-            100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    def fits(m, n):  # the sizes alone rule out the other pairs
+        return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
-    star = members.where("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(confirmed(fitting(star), sets, percent), "links")
+    star = members.where((F.col("pivot.node") != F.col("node")) & fits("pivot.n", "n")).select(
+        F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(confirmed(star, sets, percent), "links")
+    groups = stored(components(links), "groups")
+    labelled = _mixed(_labelled(members.select("key", "node", "n", F.col("pivot.node").alias("first")), groups))
+    # shingles that a document shares with any other one that could still be linked bound its similarities
+    grams = sets.join(labelled.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _exploded, "node long, shingle long")
+    common = grams.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    known = grams.join(common.select("shingle"), "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    labelled = labelled.join(known, "node")
+    least = labelled.groupBy("key").agg(F.min("n").alias("least"))
+    labelled = labelled.join(least, "key").where(
+        100 * F.col("u") >= percent * (F.col("n") + F.greatest("least", "u") - F.col("u"))).drop("least")
+
+    def near(u, v, m, n):
+        most = F.least(u, v)
+        return (100 * most >= percent * (F.col(m) + F.col(n) - most)) & fits(m, n)
+
+    # a star again, around the member with the fewest shingles of its own
+    best = _mixed(labelled).groupBy("key").agg(
+        F.max(F.struct((F.col("u") - F.col("n")).alias("own"), (-F.col("node")).alias("minus"), "node", "n", "u", "c")).alias("p"))
+    labelled = stored(labelled.join(best, "key"), "labelled")
+    star = labelled.where("c != p.c").where(near("u", "p.u", "n", "p.n")).select(
+        F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    links = stored(links.unionByName(confirmed(star, sets, percent)), "links")
     groups = stored(components(links), "groups")
-    # buckets with several components: members of the others against each one's strangers
-    labelled = members.join(groups, "node", "left").select(
-        "key", "node", "pivot", F.coalesce("component", "node").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(
-        "lo < hi").select("key")
-    labelled = labelled.join(mixed, "key")
-    sizes = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top")).select(
-        "key", F.col("top.c").alias("main"))
-    labelled = stored(labelled.join(largest, "key"), "labelled")
-    stray = labelled.where("c != main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-    other = labelled.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), "main", "pivot")
+    # what is left: members of all but the largest component of a bucket against the others' members
+    labelled = _mixed(_labelled(labelled.select("key", "node", "n", "u", "first", F.col("p.node").alias("second")), groups))
+    main = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
+        F.max(F.struct("m", "c"))["c"].alias("main"))
+    labelled = stored(labelled.join(main, "key"), "labelled")
+    keys = labelled.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    labelled = labelled.where("node != second").join(keys, "node")
+    stray = labelled.where("c != main").select(
+        "key", *[F.col(x).alias(f"{x}_a") for x in ("node", "c", "n", "u", "keys")])
+    other = labelled.select("key", "main", "first", *[F.col(x).alias(f"{x}_b") for x in ("node", "c", "n", "u", "keys")])
+    # a pair is made once, in the first bucket that holds both
     rest = stray.join(other, "key").where(
-        "ca != cb AND pivot != a AND pivot != b AND (cb = main OR a < b)").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(fitting(rest), sets, percent)
-    groups = components(links.unionByName(more))
+        (F.col("c_a") != F.col("c_b")) & (F.col("first") != F.col("node_a")) & (F.col("first") != F.col("node_b"))
+        & ((F.col("c_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))) & near("u_a", "u_b", "n_a", "n_b")
+        & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))).select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    more = stored(confirmed(rest, sets, percent), "links")
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
     of = classes.select("d1", "d2", "node").join(groups, "node", "left").select(
         "d1", "d2", F.coalesce("component", "node").alias("group"))
     out = about.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")

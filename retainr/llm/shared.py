@@ -14,7 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     test) gets a folder of its own; a cluster without it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="retainr-llm-")
         spark.sparkContext.setCheckpointDir(path)
