@@ -100,9 +100,70 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+def _vector_codes(rounds: int = 6) -> str:
+    """Rounds are written out one after the other; d * 16 + entry orders by distance, then by index."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (
+    SELECT r, part, MIN(d * 16 + entry) AS best FROM (
+        SELECT r, part, entry, SUM((x - c) * (x - c)) AS d FROM x JOIN book{i} USING (part, pos) GROUP BY r, part, entry)
+    GROUP BY r, part)""")
+        if i < rounds:
+            steps.append(f"""
+mean{i} AS (
+    SELECT part, CAST(best % 16 AS BIGINT) AS entry, pos, CAST(SUM(x) AS BIGINT) AS s, COUNT(*) AS n
+    FROM x JOIN near{i} USING (r, part) GROUP BY ALL),
+book{i + 1} AS MATERIALIZED (
+    SELECT part, entry, pos, COALESCE((s - (s % n + n) % n) // n, c) AS c FROM book{i} LEFT JOIN mean{i} USING (part, entry, pos))""")
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, embedding, ROW_NUMBER() OVER (ORDER BY vec_id) AS r FROM embeddings
+    WHERE embedding IS NOT NULL AND len([v FOR v IN embedding IF v IS NULL OR NOT isfinite(v)]) = 0),
+x AS MATERIALIZED (
+    SELECT r, (i - 1) // (m // 8) AS part, (i - 1) % (m // 8) AS pos, x FROM (
+        SELECT r, len(embedding) AS m, UNNEST(range(1, len(embedding) + 1)) AS i,
+               CAST(floor(4096 * CAST(UNNEST(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept)),
+book0 AS (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= 16),{",".join(steps)},
+codes AS (
+    SELECT r, STRING_AGG(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY part) AS code,
+           CAST(SUM(best // 16) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(STRING_AGG(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (r)
+"""
+
+
+LEXICAL = r"""
+WITH words AS (
+    SELECT doc_id, UNNEST(regexp_extract_all(
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM words GROUP BY ALL),
+size AS (SELECT doc_id, CAST(SUM(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT COUNT(*) AS N, CAST(SUM(n) AS BIGINT) AS L FROM size),
+asked AS (
+    SELECT item_id, UNNEST(regexp_extract_all(
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+query AS (SELECT item_id, term, COUNT(*) AS qtf FROM asked GROUP BY ALL),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT N FROM total) + 2 AS DOUBLE) / CAST(2 * COUNT(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM tf WHERE term IN (SELECT term FROM query) GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, CAST(SUM(qtf * w * ((1000000000 * tf.tf) // (1000 * tf.tf
+           + 12 * (100 - 25 + (25 * size.n * total.N) // total.L)))) AS BIGINT) AS score
+    FROM query JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_chat_format": CHAT,
     "op10_mix_sources": MIX,
+    "op11_vector_codes": _vector_codes(),
+    "op13_lexical_search": LEXICAL,
 }

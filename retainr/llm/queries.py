@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from retainr.llm import ann, chat, decontam, langid, mixing, neardup, pii, pseudolikelihood, substrings, toxicity
+from retainr.llm import (
+    ann, chat, decontam, langid, lexical, mixing, neardup, pii, pseudolikelihood, substrings, tokenfiles, toxicity,
+    vectorcodes,
+)
 from retainr.llm.oracles import SQL
 from retainr.llm.shared import importable
 
@@ -87,6 +90,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenfiles.write(docs, public_tokenizers.path("word_bpe_49k.json")).digests()
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -98,6 +117,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_chat_format": op9_chat_format,
     "op10_mix_sources": op10_mix_sources,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_files": op12_token_files,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
