@@ -15,8 +15,8 @@ table of four lengths and adding these up.  Documents are in ascending order of
 file's name orders.  Spark writes them (its text writer puts out the bytes as they are) and reads them whole, so they may lie in any store; a
 file holds about ``SHARD_BYTES``.
 
-A word is white-space-free, and where the tokenizer file says that nothing crosses white space (``splits_at_spaces``), the tokenizer encodes each
-distinct word of a block of texts once and the ids are put together; otherwise it encodes text by text.
+Where the tokenizer file says that nothing crosses white space (``splits_at_spaces``), the tokenizer encodes each
+distinct word once (``Encoder``) and the ids are put together; otherwise it encodes text by text.
 
 Documents are dealt by ranges of (doc_id, hash of the ids, row number), so that an id, or no id, that a third of all rows share is cut
 like any other range.
@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,9 @@ END_ID = 1
 MAGIC = 0x314B4F54
 SHARD_BYTES = 8 << 20
 BLOCK_IDS = 1 << 16
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
+CACHE = 1 << 19
+CHUNK = 2000
 SHARDS_A_GROUP = 1024
 
 # lengths of the four ids of each control byte
@@ -144,18 +147,78 @@ def _gather(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple
     return values[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(offsets[which] - (to - n), n)], n
 
 
+# Bytes of a piece that is one word for the tokenizer's split: ASCII letters and, as UTF-8, the letters U+00C0 to U+00FF, ...
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[0x41:0x5B] = _ASCII_LETTER[0x61:0x7B] = True
+_LATIN = 0xC3
+_LATIN_TAIL = np.zeros(256, dtype=bool)
+_LATIN_TAIL[0x80:0xC0] = True
+_LATIN_TAIL[[0x97, 0xB7]] = False  # the signs for times and divided by
+# ... or marks alone, which end many words.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b".,;:!?")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_NO_SPACE = np.ones(256, dtype=bool)
+_NO_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+
+
 class Encoder:
-    """Token ids of the texts of a column."""
+    """Token ids of the texts of a column.
+
+    Words are cut once more, into letters and the marks after them, which the tokenizer splits as well; distinct pieces are encoded
+    many at a time, put together with blanks, and taken apart again after the tokens that end a word.  Any other word is
+    encoded on its own.  Pieces that were encoded are kept, ``CACHE`` of them."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_str(tokenizer), splits_at_spaces(tokenizer)
+        model = json.loads(tokenizer)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(max(model["vocab"].values()) + 2, dtype=bool)
+        self.ends[[i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.pool, self.offsets = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[str], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of the pieces; a simple one is one word for the tokenizer."""
+        if simple and self.ends.any():
+            ids = np.array(self._encode([" ".join(words)])[0], dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        ids, offsets = _ragged(self._encode(words))
+        return ids, np.diff(offsets)
+
+    def _places(self, words: pa.Array, simple: np.ndarray) -> np.ndarray:
+        """Where each of some distinct pieces stands in the pool."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        if len(self.known) + int((at < 0).sum()) > CACHE:
+            self._forget()
+            at[:] = -1
+        ids, lengths = [self.pool], [np.empty(0, dtype=np.int64)]
+        order = [np.flatnonzero((at < 0) & (simple == kind)) for kind in (True, False)]
+        for kind, new in zip((True, False), order, strict=True):
+            for lo in range(0, len(new), CHUNK):
+                some = words.take(pa.array(new[lo:lo + CHUNK])).cast(pa.large_string()).to_pylist()
+                i, n = self._pieces(some, kind)
+                ids.append(i)
+                lengths.append(n)
+        new = np.concatenate(order)
+        at[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(new))])
+        self.pool = np.concatenate(ids)
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(lengths))])
+        return at
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets) for blocks of consecutive rows."""
         if not self.by_word:
@@ -163,28 +226,65 @@ class Encoder:
                 yield lo, *_ragged(self._encode([t or "" for t in column[lo:lo + 64].to_pylist()]))
             return
         for b in blocks(column, TEXT_BYTES):
-            inside = np.zeros(len(b.data) + 1, dtype=np.int8)
-            inside[b.starts] = 1
-            inside[b.ends] -= 1
-            letters = b.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
-            to = np.zeros(len(b.starts) + 1, dtype=np.int64)
-            np.cumsum(b.ends - b.starts, out=to[1:])
-            words = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(b.starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(letters))])
-            distinct = words.dictionary_encode()
-            ids, offsets = _ragged(self._encode(distinct.dictionary.cast(pa.large_string()).to_pylist()))
-            ids, n = _gather(ids, offsets, np.asarray(distinct.indices))
-            ends = np.zeros(len(n) + 1, dtype=np.int64)
-            np.cumsum(n, out=ends[1:])
-            yield b.first, ids, ends[b.words]
+            starts, ends, simple, word = _cut(b.data, b.starts, b.ends)
+            letters = _LOWER[b.data]
+            odd = np.flatnonzero(~simple)  # lower-cased by the tokenizer alone, which looks for special tokens first
+            at, _ = _gather(np.arange(len(b.data)), np.stack([starts[odd], ends[odd]], axis=1).ravel(), 2 * np.arange(len(odd)))
+            letters[at] = b.data[at]
+            letters = letters[_NO_SPACE[b.data]]
+            to = np.zeros(len(starts) + 1, dtype=np.int64)
+            np.cumsum(ends - starts, out=to[1:])
+            pieces = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(letters))])
+            distinct = pieces.dictionary_encode()
+            which = np.asarray(distinct.indices)
+            kinds = np.zeros(len(distinct.dictionary), dtype=bool)
+            kinds[which] = simple
+            places = self._places(distinct.dictionary, kinds)
+            ids, n = _gather(self.pool, self.offsets, places[which])
+            so_far = np.zeros(len(n) + 1, dtype=np.int64)
+            np.cumsum(n, out=so_far[1:])
+            yield b.first, ids, so_far[np.searchsorted(word, b.words)]
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of words, whether each is simple, and its word."""
+    plain = _ASCII_LETTER[data]
+    lead = np.flatnonzero(data[:-1] == _LATIN)
+    lead = lead[_LATIN_TAIL[data[lead + 1]]]
+    plain[lead] = plain[lead + 1] = True
+    odd = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(~plain, out=odd[1:])
+    # a word's letters end after its last byte that is no mark
+    last = np.where(_MARK[data], -1, np.arange(len(data), dtype=np.int32))
+    last = np.maximum.accumulate(last) if len(data) else last
+    middle = np.maximum(last[ends - 1] + 1, starts) if len(ends) else ends
+    letters = odd[middle] == odd[starts]
+    middle = np.where(letters, middle, ends)  # any other word stays whole
+    s, e = np.stack([starts, middle], axis=1).ravel(), np.stack([middle, ends], axis=1).ravel()
+    simple, word = np.repeat(letters, 2), np.repeat(np.arange(len(starts)), 2)
+    some = e > s
+    return s[some], e[some], simple[some], word[some]
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(tokenizer: str) -> Encoder:
+    """The encoder of this worker process, made once for its tasks."""
+    key = hash(tokenizer)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer)
+    return _ENCODERS[key]
 
 
 def _tokenized(docs: DataFrame, tokenizer, end_id: int, width: int) -> DataFrame:
     """(doc_id, n, ids): ids of every document with its end id, as little-endian integers of ``width`` bytes."""
 
     def run(batches):
-        encoder = Encoder(tokenizer.value)
         for batch in batches:
+            encoder = _encoder(tokenizer.value)
             for first, ids, offsets in encoder.encode(batch.column(1)):
                 rows = len(offsets) - 1
                 ended = np.insert(ids, offsets[1:], end_id).astype(f"<u{width}")

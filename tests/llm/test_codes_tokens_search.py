@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from fractions import Fraction
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -126,16 +127,20 @@ def test_token_files_whole_table(spark):
     assert got == plain_tokens(sorted(read(SF_ORACLE, "doc_id, text")))
 
 
-@settings(max_examples=150, deadline=None)
+@cache
+def _word_encoder():
+    with open(WORDS, encoding="utf-8") as f:
+        return tokenfiles.Encoder(f.read()), Tokenizer.from_file(WORDS)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \t\n\x0b\x0c\r\x85\xa0 'sSİıΣςȩ́é가각ᄀ漢<|endoftext|>12a,"), st.characters(
     codec="utf-8")), max_size=40)))
 def test_words_apart_equal_whole_texts(texts):
     import pyarrow as pa
 
-    with open(WORDS, encoding="utf-8") as f:
-        encoder = tokenfiles.Encoder(f.read())
+    (encoder, t), got = _word_encoder(), []
     assert encoder.by_word
-    t, got = Tokenizer.from_file(WORDS), []
     texts = [*texts, None, "they're <|endoftext|>x<|startoftext|> don't", " ".join(texts)]
     for _, ids, offsets in encoder.encode(pa.array(texts, pa.string())):
         got += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
