@@ -3,7 +3,8 @@
 An item of n words may be found with up to e = floor(n * ``ERROR_RATE``) word edits.  It is cut into
 e + 1 pieces, so one piece is untouched wherever the item occurs; windows of a document that hash
 like the first words of a piece are candidates, and Myers' bit-parallel algorithm computes
-the edit distance of the item to the best place around each.  Words are compared lower-cased, with ASCII
+the edit distance of the item to the best place around each.  A document and an item are reported once, with the
+fewest edits over all places, at the first place that has them.  Words are compared lower-cased, with ASCII
 punctuation as blanks.
 
 Test items are taken in blocks of at most ``BLOCK_BYTES`` of text; each block's index is sent to the
@@ -47,9 +48,9 @@ def clean_blocks(column) -> Iterator[B.Block]:
     yield from B.blocks(pa.LargeStringArray.from_buffers(len(off) - 1, buffers[1], buffers[2]))
 
 
-def myers(masks: dict[int, int], m: int, text: list[int], most: int) -> tuple[int, int]:
+def myers(masks: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
     """Smallest edit distance of a pattern (bit masks of its m words) to any part of ``text``, and the
-    position after that part; stops at the best place after the first within ``most``."""
+    position after the first such part."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     vp, vn, score, best, end = full, 0, m, m, 0
     for j, c in enumerate(text, 1):
@@ -66,8 +67,6 @@ def myers(masks: dict[int, int], m: int, text: list[int], most: int) -> tuple[in
         vp = ((hn << 1) | ~(x | d0)) & full
         if score < best:
             best, end = score, j
-        elif best <= most and j > end + most:
-            break
     return best, end
 
 
@@ -125,19 +124,20 @@ class Index:
             return
         item, at, offset = (np.concatenate(x) for x in zip(*proposals, strict=True))
         row = np.searchsorted(block.words, at, side="right") - 1
-        found = set()
+        best: dict[tuple[int, int], tuple[int, int]] = {}
         places = np.unique(np.stack([row, item, at - offset], axis=1), axis=0)
         for r, i, begin in places.tolist():
-            if (r, i) in found:
+            if best.get((r, i), (1, 0))[0] == 0:  # an unchanged place, and places come in order
                 continue
             e, n = self.errors[i], self.sizes[i]
             lo = max(int(block.words[r]), begin - e)
             hi = min(int(block.words[r + 1]), begin + n + e)
-            edits, end = myers(self.masks[i], n, hashes[lo:hi].tolist(), e)
+            edits, end = myers(self.masks[i], n, hashes[lo:hi].tolist())
             if edits <= e:
-                found.add((r, i))
-                stop = lo + end - int(block.words[r])
-                yield r, self.ids[i], edits, max(0, stop - n), stop
+                place = edits, lo + end - int(block.words[r])
+                best[r, i] = min(place, best.get((r, i), place))
+        for (r, i), (edits, stop) in best.items():
+            yield r, self.ids[i], edits, max(0, stop - self.sizes[i]), stop
 
 
 def _item_blocks(benchmark: DataFrame, text: str) -> Iterator[Index]:

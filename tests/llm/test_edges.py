@@ -64,7 +64,7 @@ def test_myers_against_dynamic_programming():
         masks = {}
         for j, c in enumerate(p):
             masks[c] = masks.get(c, 0) | 1 << j
-        assert decontam.myers(masks, len(p), t, -1)[0] == brute.best_distance(p, t)
+        assert decontam.myers(masks, len(p), t)[0] == brute.best_distance(p, t)
 
 
 def test_language(edges, no_rows):
@@ -232,3 +232,17 @@ def test_mix(edges, no_rows):
     out = mixing.repeated(mixing.mix(edges))
     assert out.count() == sum(r.mix_copies for r in rows)
     assert mixing.mix(no_rows).count() == 0
+
+
+def test_decontam_reports_the_best_place(spark):
+    """An item that occurs twice in a document, first changed and then unchanged, and the other way round."""
+    item = " ".join(f"w{i}" for i in range(20))
+    changed = item.replace("w4 ", "x4 ").replace("w15", "x15")
+    filler = " ".join(f"f{i}" for i in range(30))
+    texts = [f"{changed} {filler} {item}", f"{item} {filler} {changed}", f"{changed} {item}", f"{filler} {changed} {changed}",
+             f"{item} {item}", item.replace("w4 ", "")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.edits, r.first_word, r.end_word) for r in decontam.leaks(df, bench).collect()}
+    assert got == {0: (0, 50, 70), 1: (0, 0, 20), 2: (0, 20, 40), 3: (2, 30, 50), 4: (0, 0, 20), 5: (1, 0, 19)}
+    assert {(i, 1): e for i, (e, _, _) in got.items()} == brute.leaks(dict(enumerate(texts)), [(1, item)])
