@@ -10,7 +10,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 the shared folder and reads it again as the next stage's docs.  All stages but the last return the columns of
 ``documents``; the last adds ``copy`` (0, 1, ...) and returns a row for each time a document is taken.
 
-Rows with a null id pass toxicity and near_duplicates on their own text; null or empty texts are kept by all
+Near duplicates are rows, whatever their ids: of equal or near texts one row stays, the one with the smallest id (null ids last),
+also where rows share an id or have none.  Null or empty texts, and texts without words, are kept by all
 filters and have size 0 in the mix, which takes them as often as any document of their source; no rows give no rows.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from retainr.llm import decontam, mixing, neardup, pii, toxicity
 from retainr.llm.shared import importable, stored
 
+SIMILARITY = 80  # percent of shared 5-word shingles from which texts are near duplicates
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,8 +42,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # ids may repeat or be missing: rows are numbered once, in a stored table
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = stored(neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent=SIMILARITY).select(
+        F.col("doc_id").alias("__row"), "component_id"), "components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(
+        F.min(order)["__row"].alias("__row")).select("__row")
+    dropped = found.select("__row").join(kept, "__row", "left_anti")
+    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# toxicity is learned and decontamination uses an edit distance over words: no SQL; the tests
-# compare the pipeline with a brute-force version
+# toxicity is learned and decontamination uses an edit distance over words: no SQL;
+# tests/llm/test_pipeline.py compares every stage with a plain Python version
 ORACLE_SQL = None
