@@ -1,10 +1,12 @@
 """Exact global order without a single-task sort: rows at given ranks, tiles, bins, running sums.
 
-Everything is a lazy plan without a driver job.  A value has a *class*, a monotone function with
-at most about 66,000 results whatever the data (sign, bit length and the ``CLASS_BITS`` bits after the first).  Counts per class are prefix-summed in one small window; counts per
-distinct value only inside the few classes that hold a wanted rank; rows are numbered only
-inside the cell (value, class of the tie key) that holds it.  A value that a third of all rows share is many
-cells, because the tie key splits it, and all counts are combined before they are shuffled.
+Everything is a lazy plan without a driver job.  Rows are dealt into ``RANGES`` ranges of their (value, tie) keys.
+The ends of the ranges come from a sample of about ``SAMPLE`` keys, those whose hash is below a bound that follows from the
+number of rows; so they adapt to any distribution (heavy tails, values that differ in their last bits only, a value that a
+third of all rows share, which the tie splits), a range holds about 1 / ``RANGES`` of the rows, and the sample is the same whenever it is
+evaluated.  All counts and sums are over all rows: per range first (at most ``RANGES`` rows after map-side combining, which one small window
+sums up), then inside a range.  What is taken over from one step to the next are exact facts (the smallest and largest
+key of a range, the rows before it), so the sample decides the balance and never the result.
 
 Tiles and bins need only the k - 1 rows at their upper ends: they are found first, as a scalar
 subquery, and every row is then compared with them in a projection, without a window or a shuffle.
@@ -19,20 +21,10 @@ from pyspark.sql import functions as F
 
 from retainr.functions.columns import col
 
-CLASS_BITS = 10
-
-
-def value_class(x: Column) -> Column:
-    """Monotone class of an integer; values below 2**(CLASS_BITS + 1) are their own class."""
-    a = F.abs(x.cast("long"))
-    shift = F.greatest(F.length(F.bin(a)) - (CLASS_BITS + 1), F.lit(0))
-    cls = F.call_function("shiftright", a, shift) + shift.cast("long") * (1 << CLASS_BITS)
-    return F.when(x < 0, -cls).otherwise(cls)
-
-
-def scaled_class(x: Column) -> Column:
-    """Monotone class of any number (in steps of 1/1024 near zero)."""
-    return value_class(F.floor(x.cast("double") * 1024).cast("long"))
+STEP = 32
+RANGES = STEP * STEP
+SAMPLE = 64 * RANGES
+DRAW = 1 << 40
 
 
 def ntile_end(n: Column, j: int, k: int) -> Column:
@@ -45,36 +37,61 @@ def quantile_bin_end(n: Column, j: int, k: int) -> Column:
     return F.floor((n - 1) * j / k) + 1
 
 
-def rows_at_ranks(df: DataFrame, orders: list[tuple[Column, Column]], tie: Column,
+def with_range(rows: DataFrame, order: str, key: str, out: str, keys: DataFrame | None = None) -> DataFrame:
+    """Add the number (0 .. RANGES - 1) of a row's range among the rows with its ``order``: monotone in ``key``.
+
+    Ranges hold equally many of ``keys`` (order, key), the rows themselves by default."""
+    keys = rows if keys is None else keys
+    counts = keys.groupBy(order).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.collect_list(F.struct(order, "n")))).scalar()
+    draw = F.pmod(F.xxhash64(order, key), F.lit(DRAW)).cast("double")
+    sample = keys.withColumn("__n", counts).where(draw * F.try_element_at("__n", col(order)) < float(SAMPLE * DRAW))
+    # one row an order, of about SAMPLE keys; then RANGES - 1 keys, and every STEP-th of them
+    ends = sample.groupBy(order).agg(F.sort_array(F.collect_list(key)).alias("s")).select(order, F.transform(
+        F.sequence(F.lit(1), F.lit(RANGES - 1)),
+        lambda i: F.element_at("s", (F.floor(i * F.size("s") / RANGES) + 1).cast("int"))).alias("ends")).select(order, "ends", F.transform(
+            F.sequence(F.lit(1), F.lit(STEP - 1)), lambda i: F.element_at("ends", i * STEP)).alias("coarse"))
+    found = ends.agg(F.map_from_entries(F.collect_list(F.struct(order, F.struct("ends", "coarse"))))).scalar()
+
+    def below(ends: Column) -> Column:
+        return F.coalesce(F.size(F.filter(ends, lambda e: e <= col(key))), F.lit(0))
+
+    first = rows.withColumn("__ends", found).withColumn("__ends", F.try_element_at("__ends", col(order))).withColumn(
+        "__at", STEP * below(col("__ends.coarse")))
+    inside = F.slice("__ends.ends", col("__at") + 1, STEP - 1)
+    return first.withColumn(out, col("__at") + below(inside)).drop("__ends", "__at")
+
+
+def rows_at_ranks(df: DataFrame, values: list[Column], tie: Column | None,
                   ranks: Callable[[Column], list[Column]]) -> Column:
     """Rows at the 1-based ``ranks(n)`` of several orders of ``df`` at once, as a scalar Column to be added to a
     DataFrame once and read with ``at_rank``.
 
-    An order is a (value, class of the value) pair, ascending with ties by ``tie``; all values have one type, and null
-    values count as no rows."""
-    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), v.alias("v"), c.alias("c"))
-                               for o, (v, c) in enumerate(orders)]))
-    rows = df.select(tie.alias("u"), each.alias("e")).select("e.*", "u", value_class(col("u")).alias("uc")).where(
-        "v IS NOT NULL")
-    cells = rows.groupBy("o", "c", "v", "uc").agg(F.count(F.lit(1)).alias("m"))
+    Each of ``values`` is an order, ascending with ties by ``tie``; all have one type, and null values count as no rows.
+    The tie should differ between the rows of a value, as an id does, because a range cannot cut equal (value, tie) keys; without a tie
+    the rows of a value are counted before they are shuffled, and the value at a rank is all that is meant."""
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), v.alias("v")) for o, v in enumerate(values)]))
+    if tie is None:
+        rows = df.select(each.alias("e")).where("e.v IS NOT NULL").groupBy("e.o", "e.v").agg(F.count(F.lit(1)).alias("m")).select(
+            "o", F.struct("v", F.lit(0).cast("long").alias("u")).alias("k"), "m")
+    else:
+        rows = df.select(tie.alias("u"), each.alias("e")).where("e.v IS NOT NULL").select(
+            "e.o", F.struct("e.v", "u").alias("k"), F.lit(1).cast("long").alias("m"))
     whole = Window.partitionBy("o")
-    classes = cells.groupBy("o", "c").agg(F.sum("m").alias("m")).select(
-        "o", "c", "m", F.sum("m").over(whole).alias("n"),
-        (F.sum("m").over(whole.orderBy("c")) - col("m")).alias("before"))
+    counted = with_range(rows, "o", "k", "b").groupBy("o", "b").agg(
+        F.sum("m").alias("m"), F.min("k").alias("lo"), F.max("k").alias("hi")).select(
+        "o", "lo", "hi", "m", F.sum("m").over(whole).alias("n"), (F.sum("m").over(whole.orderBy("b")) - col("m")).alias("before"))
     asked = F.explode(F.array(*[
         F.struct(F.lit(j).alias("j"), r.cast("long").alias("r")) for j, r in enumerate(ranks(col("n")))]))
-    # at most one class, one cell and one row for each order and rank: bounded by the call, not by the data
-    wanted = classes.select("o", "c", "n", "before", "m", asked.alias("a")).where(
+    # at most one range for each order and rank: bounded by the call, not by the data
+    wanted = counted.select("o", "lo", "hi", "n", "before", "m", asked.alias("a")).where(
         (col("a.r") > col("before")) & (col("a.r") <= col("before") + col("m"))).select(
-        "o", "c", "n", col("a.j").alias("j"), (col("a.r") - col("before")).alias("r"))
-    inside = Window.partitionBy("o", "j").orderBy("v", "uc")
-    hit = cells.join(F.broadcast(wanted), ["o", "c"]).withColumn("to", F.sum("m").over(inside)).where(
-        (col("r") > col("to") - col("m")) & (col("r") <= col("to"))).select(
-        "o", "c", "v", "uc", "n", "j", (col("r") - col("to") + col("m")).alias("r"))
-    numbered = rows.join(F.broadcast(hit), ["o", "c", "v", "uc"]).withColumn(
-        "at", F.row_number().over(Window.partitionBy("o", "j").orderBy("u")))
-    entry = F.struct((col("o") * 1000 + col("j")).alias("key"), F.struct("v", "u", "n").alias("value"))
-    return numbered.where("at = r").agg(F.map_from_entries(F.collect_list(entry)).alias("rows")).scalar()
+        "o", "lo", "hi", "n", col("a.j").alias("j"), (col("a.r") - col("before")).alias("r"))
+    inside = rows.join(F.broadcast(wanted), "o").where((col("k") >= col("lo")) & (col("k") <= col("hi"))).withColumn(
+        "to", F.sum("m").over(Window.partitionBy("o", "j").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    entry = F.struct((col("o") * 1000 + col("j")).alias("key"), F.struct("k.v", "k.u", "n").alias("value"))
+    return inside.where((col("to") - col("m") < col("r")) & (col("r") <= col("to"))).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("rows")).scalar()
 
 
 def at_rank(found: str, order: int, rank: int) -> Column:
@@ -86,7 +103,7 @@ def at_rank(found: str, order: int, rank: int) -> Column:
 def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, k: int, end=ntile_end) -> DataFrame:
     """Add for each ``out -> integer column`` the tile (1..k) of a row in ascending (value, tie) order: ``NTILE(k)``
     (W02), or the bins of ``qcut(rank(method='first'), k)`` (W04) with ``end=quantile_bin_end``."""
-    ends = rows_at_ranks(df, [(v, value_class(v)) for v in values.values()], tie,
+    ends = rows_at_ranks(df, list(values.values()), tie,
                          lambda n: [end(n, j, k) for j in range(1, k)])
 
     def above(o: int, value: Column) -> Column:
@@ -101,19 +118,18 @@ def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, k: int, en
         {out: above(o, v) for o, (out, v) in enumerate(values.items())}).drop("__ends")
 
 
-def running_sums(df: DataFrame, key: Column, cls: Column, weights: dict[str, str],
-                 totals: dict[str, str] | None = None) -> DataFrame:
-    """Add ``out -> weight`` inclusive running sums of integer columns in ascending order of the (distinct) ``key``
-    of class ``cls``, and ``totals``: out -> weight sums over all rows."""
+def running_sums(df: DataFrame, key: Column, weights: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """Add ``out -> weight`` inclusive running sums of integer columns in ascending order of the (distinct) ``key``,
+    and ``totals``: out -> weight sums over all rows."""
     totals = totals or {}
-    d = df.withColumns({"__key": key, "__c": cls})
+    d = with_range(df.withColumns({"__o": F.lit(0), "__key": key}), "__o", "__key", "__c")
     names = sorted({*weights.values(), *totals.values()})
     per = d.groupBy(col("__c").alias("__d")).agg(*[F.sum(w).alias(f"__s_{w}") for w in names])
-    whole = Window.partitionBy()
+    whole = Window.partitionBy()  # RANGES rows at most
     per = per.select(
         "__d", *[(F.sum(f"__s_{w}").over(Window.orderBy("__d")) - col(f"__s_{w}")).alias(f"__b_{w}") for w in names],
         *[F.sum(f"__s_{w}").over(whole).alias(o) for o, w in totals.items()])
     inside = Window.partitionBy("__c").orderBy("__key")
-    out = d.join(per, col("__c") == col("__d"))
+    out = d.join(F.broadcast(per), col("__c") == col("__d"))
     return out.select(*df.columns, *[(col(f"__b_{w}") + F.sum(w).over(inside)).alias(o) for o, w in weights.items()],
                       *totals)

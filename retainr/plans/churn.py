@@ -6,11 +6,12 @@ Everything that touches all rows is a distributed DataFrame job:
   score with exact running sums of positives and negatives (``operators.ranking.running_sums``),
   not on a collected score array and not in a single-partition window;
 * the split (M2) takes an exact quota of each class, by a seeded md5 of the id;
-* training uses MLlib's ``GBTClassifier`` inside a ``Pipeline``.
+* training is a ``Pipeline`` of a fitted category encoder and a booster, so a saved model scores raw feature rows.
 
-MLlib's GBT is not the reference's booster (no L1/L2 terms, feature subsampling per node), so
-scores differ; the pipeline, the split, the threshold rule and the metric definitions are the
-same.
+The booster is ``boosting.HistogramBoosting`` (second-order, L1 and L2 penalties, rows and columns drawn per tree), with
+the settings below; ``booster="plain"`` has no penalties and no draws, ``booster="gbt"`` is MLlib's
+``GBTClassifier``.  Row and column draws differ from the reference's, so scores are close and not equal; the pipeline, the
+split, the threshold rule and the metric definitions are the same.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from retainr.functions.columns import col
-
 from retainr.functions.numeric import clip
-from retainr.operators.ranking import at_rank, rows_at_ranks, running_sums, scaled_class, value_class
+from retainr.operators.lineage import StoredTable
+from retainr.operators.ranking import at_rank, rows_at_ranks, running_sums
+from retainr.plans.boosting import HistogramBoosting
+from retainr.plans.encoding import CategoryEncoder
+from retainr.plans.features import CATEGORICAL_COLUMNS
 
 TARGET = "churn_label"
 SCORE = "churn_proba"
@@ -36,7 +41,11 @@ TEST_SIZE = 0.25
 SEED = 42
 
 # Booster settings of the reference model (350 trees, depth 5, learning rate 0.06,
-# row subsample 0.9, column subsample 0.85).
+# row subsample 0.9, column subsample 0.85, L1 0.2, L2 1.4) and of its fallback (320 trees, depth 6, rate 0.08).
+BOOSTER_PARAMS = {"maxIter": 350, "maxDepth": 5, "stepSize": 0.06, "subsamplingRate": 0.9, "columnRate": 0.85,
+                  "regAlpha": 0.2, "regLambda": 1.4}
+PLAIN_PARAMS = {"maxIter": 320, "maxDepth": 6, "stepSize": 0.08, "subsamplingRate": 1.0, "columnRate": 1.0,
+                "regAlpha": 0.0, "regLambda": 0.0}
 GBT_PARAMS = {"maxIter": 350, "maxDepth": 5, "stepSize": 0.06, "subsamplingRate": 0.9,
               "featureSubsetStrategy": "0.85"}
 
@@ -52,10 +61,12 @@ TOP_K = 1000
 # ---------------------------------------------------------------- M1 feature matrix
 
 def feature_columns(dataset: DataFrame, target: str = TARGET) -> list[str]:
-    """Model inputs: every column except the target and the leak / id columns (trap T18)."""
+    """Model inputs: every numeric column except the target and the leak / id columns (trap T18); categories become numeric
+    by ``encoding.CategoryEncoder``, and dates are no inputs."""
     if target not in dataset.columns:
         raise ValueError(f"no column {target!r} to learn from")
-    return [c for c in dataset.columns if c != target and c not in LEAK_COLUMNS]
+    return [f.name for f in dataset.schema.fields if isinstance(f.dataType, NumericType)
+            and f.name not in (target, "label", "is_model_eligible", *LEAK_COLUMNS)]
 
 
 def feature_matrix(dataset: DataFrame, target: str = TARGET) -> tuple[DataFrame, list[str]]:
@@ -80,7 +91,7 @@ def with_test_flag(df: DataFrame, label: str = TARGET, test_size: float = TEST_S
     with the smallest draws (ties by id).  Found without a sort: the last such row of a class is a scalar subquery."""
     draw, tie = _draw(id_col, seed), col(id_col)
     by_class = [F.when(col(label) == value, draw) for value in (0, 1)]
-    last = rows_at_ranks(df, [(d, value_class(d)) for d in by_class], tie,
+    last = rows_at_ranks(df, by_class, tie,
                          lambda n: [F.round(n * test_size).cast("long")])
     flag = F.lit(False)
     for i, d in enumerate(by_class):
@@ -104,18 +115,21 @@ def gbt_classifier(seed: int = SEED, **overrides) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol="label", seed=seed, **params)
 
 
-def churn_pipeline(names: list[str], seed: int = SEED, **gbt_overrides) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
-        gbt_classifier(seed, **gbt_overrides),
-    ])
+def churn_pipeline(names: list[str], seed: int = SEED, booster: str = "histogram", **overrides) -> list:
+    """The stages that learn the 0/1 column ``label`` from the numeric columns ``names``."""
+    if booster == "gbt":
+        return [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), gbt_classifier(seed, **overrides)]
+    params = {"histogram": BOOSTER_PARAMS, "plain": PLAIN_PARAMS}[booster] | overrides
+    return [HistogramBoosting(inputCols=names, labelCol="label", scoreCol=SCORE, seed=seed, **params)]
 
 
 def score(model: PipelineModel, df: DataFrame, out_col: str = SCORE) -> DataFrame:
     """Positive-class probability as a double column (M4)."""
-    return (model.transform(df)
-            .withColumn(out_col, vector_to_array("probability").getItem(1))
-            .drop("features", "rawPrediction", "probability", "prediction"))
+    out = model.transform(df)
+    if "probability" not in out.columns:
+        return out.withColumnRenamed(SCORE, out_col)
+    return out.withColumn(out_col, vector_to_array("probability").getItem(1)).drop(
+        "features", "rawPrediction", "probability", "prediction")
 
 
 def minmax_scores(df: DataFrame, column: str, out_col: str = SCORE) -> DataFrame:
@@ -139,7 +153,7 @@ def score_table(scored: DataFrame, label: str = TARGET, score_col: str = SCORE)
         (col(label) != 1).cast("long").alias("neg"))
     grouped = each.unionByName(bounds).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     down = -col("score")
-    return running_sums(grouped, down, scaled_class(down), {"cum_pos": "pos", "cum_neg": "neg"}, {"P": "pos", "N": "neg"})
+    return running_sums(grouped, down, {"cum_pos": "pos", "cum_neg": "neg"}, {"P": "pos", "N": "neg"})
 
 
 def threshold_scan(scored: DataFrame, label: str = TARGET, score_col: str = SCORE,
@@ -206,16 +220,15 @@ def classification_metrics(scored: DataFrame, threshold=None, label: str = TARGE
 
 # ---------------------------------------------------------------- M7 importances
 
-def feature_importances(model: PipelineModel, names: list[str], top_n: int = 25) -> DataFrame:
+def feature_importances(model: PipelineModel, names: list[str], top_n: int = 25,
+                        spark: SparkSession | None = None) -> DataFrame:
     """Top-n importances of the fitted trees (zeros when the model exposes none).  The table
     has one row per feature, so it is built from the model on the driver."""
     tree = model.stages[-1]
     values = (list(tree.featureImportances.toArray()) if hasattr(tree, "featureImportances")
               else [0.0] * len(names))
-    from pyspark.sql import SparkSession
-
-    df = SparkSession.getActiveSession().createDataFrame(list(zip(names, [float(v) for v in values])),
-                                 "feature string, importance double")
+    spark = spark or SparkSession.builder.getOrCreate()
+    df = spark.createDataFrame(list(zip(names, [float(v) for v in values], strict=True)), "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature").limit(top_n)
 
 
@@ -263,7 +276,7 @@ def with_quantiles(df: DataFrame, column: str, qs: list[float], out: str = "quan
         lo, hi = at_rank("__at", 0, 2 * i), at_rank("__at", 0, 2 * i + 1)
         h = (lo["n"] - 1) * F.lit(q)
         values.append(lo["v"] + (h - F.floor(h)) * (hi["v"] - lo["v"]))
-    found = rows_at_ranks(df, [(v, scaled_class(v))], F.lit(0).cast("long"), ranks)
+    found = rows_at_ranks(df, [v], None, ranks)
     return df.withColumn("__at", found).withColumn(out, F.array(*values)).drop("__at")
 
 
@@ -315,15 +328,23 @@ class ChurnModelResult:
 
 
 def train_churn_model(dataset: DataFrame, target: str = TARGET, test_size: float = TEST_SIZE,
-                      seed: int = SEED, **gbt_overrides) -> ChurnModelResult:
-    """Split, fit the boosted trees on the training rows, score the test rows, choose the
-    threshold on them (trap T19) and compute the metrics."""
-    names = feature_columns(dataset, target)
-    data = dataset.withColumn("label", col(target).cast("int"))
-    train, test = stratified_split(data, target, test_size, seed)
-    train = train.cache()  # iterative fit reads it once per tree
-    model = churn_pipeline(names, seed, **gbt_overrides).fit(train)
-    train.unpersist()
+                      seed: int = SEED, booster: str = "histogram", **overrides) -> ChurnModelResult:
+    """Split, fit category encoder and boosted trees on the training rows, score the test rows, choose the
+    threshold on them (trap T19) and compute the metrics.
+
+    ``dataset`` is the feature table itself (``features.eligible(user_features(...))``) or an already widened
+    ``modeling_dataset``.  The categories are those of all given rows, as in a one-hot step before the split; a row with another
+    value later has 0 in all of a column's flags."""
+    if target not in dataset.columns:
+        raise ValueError(f"no column {target!r} to learn from")
+    # features and split are read many times: they are computed once
+    data = StoredTable(dataset.withColumn("label", col(target).cast("int")), "churn-data").df
+    categories = [c for c in CATEGORICAL_COLUMNS if c in data.columns]
+    encoder = [CategoryEncoder(inputCols=categories).fit(data)] if categories else []
+    flagged = StoredTable(with_test_flag(data, target, test_size, seed, out="__test"), "churn-split").df
+    train, test = flagged.where(~col("__test")).drop("__test"), flagged.where("__test").drop("__test")
+    names = feature_columns(encoder[0].transform(data) if encoder else data, target)
+    model = Pipeline(stages=[*encoder, *churn_pipeline(names, seed, booster, **overrides)]).fit(train)
     scored = score(model, test)
     thr = best_threshold(scored, target, SCORE).first()["threshold"]
     metrics = classification_metrics(scored, thr, target, SCORE)

@@ -9,7 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retainr.functions.numeric import avg_round, round_ratio
-from retainr.operators.ranking import quantile_bin_end, running_sums, scaled_class, value_class, with_tiles
+from retainr.operators import ranking
+from retainr.operators.ranking import quantile_bin_end, running_sums, with_tiles
+from retainr.plans import churn
 
 
 def _data(spark, n=5000):
@@ -19,13 +21,48 @@ def _data(spark, n=5000):
         F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise((F.col("id") * 7919) % 100_003 - 300).cast("long").alias("m"))
 
 
-def test_value_class_is_monotone_and_small(spark):
-    rng = random.Random(3)
-    xs = sorted({s * rng.randint(0, 1 << rng.randint(1, 62)) for s in (1, -1) for _ in range(3000)} | set(range(-3000, 3000)))
-    got = [r.c for r in spark.createDataFrame([(x,) for x in xs], "x long").coalesce(1).select(
-        value_class(F.col("x")).alias("c")).collect()]
-    assert got == sorted(got) and max(got) < 66_000
-    assert len({c for c, x in zip(got, xs) if abs(x) < 2048}) == sum(abs(x) < 2048 for x in xs)
+def _largest_share(df, order, key):
+    """Share of the rows that the largest range holds."""
+    per = ranking.with_range(df.select(F.lit(0).alias("o"), F.struct(order, key).alias("k")), "o", "k", "b").groupBy("b").count()
+    n, most, ranges = per.agg(F.sum("count"), F.max("count"), F.count("*")).first()
+    assert ranges > ranking.RANGES / 2
+    return most / n
+
+
+SHAPES = {
+    "epoch microseconds": "id + 1735689600000000",
+    "pareto": f"CAST(FLOOR(POW(PMOD(XXHASH64(id), {1 << 40}L) / {1 << 40}L + 1e-6, -2.5)) AS LONG)",
+    "a third is one value": "IF(id % 3 = 0, 5L, id)",
+    "only three values": "id % 3",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_ranges_are_balanced_and_tiles_exact(spark, shape):
+    """10^6 rows: no range over twice the mean, so no task sorts more than 0.2 % of the rows; NTILE equals SQL."""
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") + 10**15).alias("user_id"), F.expr(SHAPES[shape]).alias("m"))
+    assert _largest_share(df, F.col("m"), F.col("user_id")) < 2 / ranking.RANGES
+    got = with_tiles(df, {"t": F.col("m")}, F.col("user_id"), 5)
+    want = df.withColumn("t", F.ntile(5).over(Window.orderBy("m", "user_id")))
+    assert got.exceptAll(want).count() == 0
+
+
+def test_heavy_tailed_scores(spark):
+    """Min-max scaled Pareto scores crowd near 0: running sums stay exact and every range small."""
+    raw = spark.range(1, 200_001).select((F.lit(1e9) / F.pow(F.col("id").cast("double"), 1.2)).alias("x"), (F.col("id") % 7).alias("w"))
+    scores = raw.crossJoin(F.broadcast(raw.agg(F.max("x").alias("top")))).select((F.col("x") / F.col("top")).alias("k"), "w")
+    d = ranking.with_range(scores.withColumn("o", F.lit(0)), "o", "k", "b").groupBy("b").count()
+    assert d.agg(F.max("count")).first()[0] < 2 * 200_000 / ranking.RANGES
+    got = running_sums(scores, F.col("k"), {"cum": "w"}).toPandas().sort_values("k")
+    assert got["cum"].tolist() == got["w"].cumsum().tolist()
+
+
+def test_hot_value_without_a_tie_is_counted_before_the_shuffle(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 1.5).otherwise(F.col("id") / 7.0).alias("x"))
+    got = churn.with_quantiles(df, "x", [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]).first()["quantiles"]
+    assert got == pytest.approx(df.toPandas()["x"].quantile([0.0, 0.01, 0.3, 0.5, 0.99, 1.0]).tolist(), abs=1e-12)
+    assert churn.with_quantiles(df.where("x < 0"), "x", [0.5]).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 7, 13, 2000])
@@ -47,7 +84,7 @@ def test_tiles_match_sql_ntile_and_pandas_qcut(spark, n):
 
 def test_running_sums(spark):
     df = spark.range(1, 3001).select((F.col("id") * 37 % 3001 / 3001).alias("k"), (F.col("id") % 7).alias("w"))
-    got = running_sums(df, F.col("k"), scaled_class(F.col("k")), {"cum": "w"}, {"all": "w"}).toPandas().sort_values("k")
+    got = running_sums(df, F.col("k"), {"cum": "w"}, {"all": "w"}).toPandas().sort_values("k")
     assert got["cum"].tolist() == got["w"].cumsum().tolist()
     assert set(got["all"]) == {got["w"].sum()}
 

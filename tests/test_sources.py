@@ -5,10 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from retainr.checks.compare import compare
+from retainr.plans import features
 from retainr.sources import jdbc, layout, tables
 from retainr.sources.mapping import canonical_tables
 from retainr.streaming.ingest import ingest_csv_stream
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_ORACLE, SF_SMALL
 
 ORDER_HEADER = ("order_id,user_id,restaurant_id,courier_id,campaign_id,order_ts,order_status,"
                 "delivery_minutes,basket_value_rub,delivery_fee_rub,discount_rub,payment_method,"
@@ -117,3 +119,63 @@ def test_adhoc_csv_with_timestamp_columns(spark, scratch):
     assert dict(df.dtypes)["seen_at"] == "timestamp_ntz"
     rows = {r["id"]: r for r in df.collect()}
     assert str(rows[1]["seen_at"]) == "2025-02-03 04:05:06" and rows[2]["seen_at"] is None
+
+
+def _files_with(path, column, value):
+    """Files whose statistics of a column allow the value."""
+    import pyarrow.parquet as pq
+
+    hit = total = 0
+    for f in sorted(os.listdir(path)):
+        if f.endswith(".parquet"):
+            meta = pq.ParquetFile(os.path.join(path, f)).metadata
+            names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+            stats = [meta.row_group(g).column(names.index(column)).statistics for g in range(meta.num_row_groups)]
+            total += 1
+            hit += any(s.has_min_max and s.min <= value <= s.max for s in stats)
+    return hit, total
+
+
+def test_clustered_layout_skips_files_by_any_access_column(spark, scratch):
+    orders = canonical_tables(spark, SF_ORACLE)["fact_orders"]
+    z, plain = os.path.join(scratch, "z"), os.path.join(scratch, "plain")
+    layout.write_clustered(orders, z, "fact_orders", files=32)
+    orders.repartitionByRange(32, "user_id").sortWithinPartitions("user_id", "order_ts").write.parquet(plain)
+    back = spark.read.parquet(z)
+    assert back.columns == orders.columns and back.exceptAll(orders).count() == 0 and back.count() == orders.count()
+    for column, value in (("campaign_id", 40), ("restaurant_id", 4), ("order_status", "cancelled")):
+        few, files = _files_with(z, column, value)
+        every, _ = _files_with(plain, column, value)
+        assert files >= 24 and every == 32 and few <= 0.7 * files, (column, few, files)
+
+
+def test_z_order_interleaves_and_handles_nulls(spark):
+    df = spark.range(4096).select((F.col("id") % 64).alias("a"), F.floor(F.col("id") / 64).alias("b"),
+                                  F.when(F.col("id") % 3 > 0, F.col("id")).alias("c"))
+    z = layout.z_order(df, ["a", "b"]).orderBy("z").toPandas()
+    first = z.iloc[:1024]  # a quarter of the rows is a square of half the side
+    assert first.a.max() < 34 and first.b.max() < 34
+    c = layout.z_order(df, ["c"])
+    nulls = c.where("c IS NULL").agg(F.min("z"), F.max("z")).first()
+    assert nulls[0] == nulls[1] <= c.where("c IS NOT NULL").agg(F.min("z")).first()[0]
+    assert layout.z_order(df.limit(0), ["a", "c"]).count() == 0
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, scratch):
+    t = canonical_tables(spark, SF_SMALL)
+    by_user = {n: layout.write_bucketed(t[n], n, os.path.join(scratch, n), 4) for n in layout.USER_TABLES}
+    try:
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        args = [by_user[n] for n in ("dim_users", "fact_orders", "fact_app_sessions", "fact_ab_test_assignments")]
+        got = features.user_features(*args, reference_date="2001-06-30 00:00:00", test_id="free_delivery_banner_v1")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+        want = features.user_features(*[t[n] for n in ("dim_users", "fact_orders", "fact_app_sessions", "fact_ab_test_assignments")],
+                                      reference_date="2001-06-30 00:00:00", test_id="free_delivery_banner_v1")
+        ok, message = compare(got.toPandas(), want.toPandas())
+        assert ok, message
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for n in layout.USER_TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {n}_by_user")
