@@ -203,7 +203,8 @@ def map_order_items(raw: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> DataFrame:
+def map_session_events(raw: dict[str, DataFrame]) -> DataFrame:
+    """The sessions with the columns of their own; ``city`` and ``device_os`` are the user's."""
     o, ev = raw["orders"], raw["events"]
     k = col("o_orderkey")
     ordering = (
@@ -228,10 +229,14 @@ def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> D
         (col("event_type") == "click").cast("int").alias("is_push_opened"),
         F.lit(0).alias("did_order"),
     )
+    return ordering.unionByName(browsing)
+
+
+def map_sessions(raw: dict[str, DataFrame], users: DataFrame | None = None) -> DataFrame:
     users = users if users is not None else map_users(raw)
     who = users.select("user_id", "city", "device_os")
     return (
-        ordering.unionByName(browsing)
+        map_session_events(raw)
         .join(who, "user_id", "left")
         .select("session_id", "user_id", "session_start_ts", "session_end_ts", "session_source",
                 "city", "device_os", "is_push_opened", "did_order")
@@ -255,12 +260,18 @@ def map_assignments(raw: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+SESSION_EVENTS = "session_events"
+
+
 class CanonicalTables(Mapping):
     """The eight canonical tables over the driver's Parquet files, as lazy plans.
 
     A table is built on first access only, so a query touching ``fact_orders`` never resolves
     the other files; nothing is read or written before an action.  Loading the mapped tables into
     stored ones is a separate, explicit step: ``sources.layout.write_layout`` to a path of the caller's.
+
+    Beside them, ``SESSION_EVENTS`` is a view of the sessions without the two columns looked up from the users; a query that names neither
+    takes it and scans no users.
     """
 
     _builders = {
@@ -271,6 +282,7 @@ class CanonicalTables(Mapping):
         "fact_orders": lambda self: map_orders(self._raw),
         "fact_order_items": lambda self: map_order_items(self._raw),
         "fact_app_sessions": lambda self: map_sessions(self._raw, self["dim_users"]),
+        SESSION_EVENTS: lambda self: map_session_events(self._raw),
         "fact_ab_test_assignments": lambda self: map_assignments(self._raw),
     }
 

@@ -1,6 +1,8 @@
 """Plan shapes: no single-partition ranking windows, no Python UDFs, no Expand for the
 milestone pivot, filters pushed into the Parquet scan."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -11,6 +13,9 @@ from retainr.sources.mapping import canonical_tables
 from tests.conftest import SF_ORACLE, SF_SMALL
 
 
+_JOIN = re.compile(r"(?:SortMerge|BroadcastHash|ShuffledHash|BroadcastNestedLoop)Join")
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -56,3 +61,14 @@ def test_status_filter_and_columns_reach_the_scan(spark, scratch):
     plan = _plan(common.delivered(stored).select("user_id", "order_ts"))
     assert "EqualTo(order_status,delivered)" in plan
     assert "ReadSchema: struct<user_id:bigint,order_ts:timestamp_ntz,order_status:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["eda_overview", "session_features", "daily_kpis", "link_sessions_orders", "wau_mau_stickiness"])
+def test_sessions_do_not_look_up_users(spark, name):
+    """The session's city and device come from the users: queries that name neither scan sessions alone."""
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    # eda_overview counts the users themselves, whose city is looked up in two small tables
+    assert plan.count("nation.parquet") == (name == "eda_overview")
+    assert plan.count("customer.parquet") == (name == "eda_overview")
+    if name == "eda_overview":
+        assert len(_JOIN.findall(plan)) == 2
