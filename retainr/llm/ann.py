@@ -4,8 +4,10 @@ Centroids are fitted on at most ``SAMPLE`` vectors (chosen by a hash of the id)
 lists; there are about n / ``LIST`` of them, ``CENTROIDS`` at most.  Every vector of the table is indexed: it goes to its
 nearest centroid and, if it lies near a boundary, also to the other centroids within ``SPREAD`` times that
 distance (``REPLICAS`` at most).  Centroids are searched by best-first walks on an in-memory neighbour graph,
-for many vectors at once.  A query reads the lists whose centroid is within ``REACH`` times the nearest distance
-(``PROBES`` at most).
+for many vectors at once.  A query reads every list whose centroid is within ``reach`` times the nearest distance, however
+many these are.  The ratio is fitted on the sample: ``RECALL`` of the true neighbours of ``ASKED`` of its vectors lie in lists within
+it (``needed_reach``).  So recall does not fall as lists become more; few lists are read where vectors are clustered, and up to a third of them
+where they have no structure at all.  Beyond ``CENTROIDS`` x ``LIST`` vectors the lists grow with the table instead, and a query's cost with them.
 
 A list is cut into blocks of about ``BLOCK`` vectors, and the queries of a list too, so a list that holds a third of all
 vectors is many small tasks.  One join brings a block of queries to a block of vectors; a matrix product selects,
@@ -13,7 +15,7 @@ and the selected pairs are scored again one by one in double precision on the or
 score equally and ties go to the smaller id.  Queries that found fewer than k candidates read all lists.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part; rows with a null id neither; repeated rows count once; fewer than k candidates are all returned; an empty
+no part; rows with a null id neither; of rows that share an id the one with the smallest vector counts; fewer than k candidates are all returned; an empty
 table gives no rows.
 """
 
@@ -33,7 +35,7 @@ SAMPLE = 20_000
 LIST = 160
 CENTROIDS = 2048
 SPREAD, REPLICAS = 1.15, 6
-REACH, PROBES = 1.35, 32
+RECALL, ASKED = 0.98, 500
 BLOCK, QUERY_BLOCK = 1024, 256
 DEGREE, BEAM = 24, 48
 EPSILON = 1e-9
@@ -50,6 +52,7 @@ class Graph:
     centroids: np.ndarray
     links: np.ndarray
     entries: np.ndarray
+    reach: float = 1.0  # a query reads the lists within that ratio of its nearest one
 
     @classmethod
     def build(cls, centroids: np.ndarray) -> Graph:
@@ -59,33 +62,39 @@ class Graph:
         far = rng.integers(0, n, (n, 4))
         return cls(centroids, np.concatenate([near, far], axis=1), np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int)))
 
-    def nearest(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest centroids found for each unit vector and their distances: walks that keep
-        the best ``BEAM`` nodes and open their links until none improves."""
+    def near(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, distance) of the centroids found within ``ratio`` times the distance of a unit vector's nearest
+        one, by row and distance: walks that open the best ``BEAM`` nodes and every node within that ratio, until no link leads to a new one."""
         n, m = len(self.centroids), len(x)
-        seen = np.zeros((m, n), dtype=bool)
+        seen, opened = np.zeros((m, n), dtype=bool), np.zeros((m, n), dtype=bool)
         dist = np.full((m, n), np.inf, dtype=np.float32)
-        rows = np.arange(m)[:, None]
 
-        def visit(nodes):
-            fresh = ~seen[rows, nodes]
-            r, c = np.nonzero(fresh)
-            node = nodes[r, c]
-            seen[r, node] = True
-            dist[r, node] = 2 - 2 * np.einsum("ij,ij->i", x[r], self.centroids[node])
-            return len(r)
-
-        visit(np.broadcast_to(self.entries, (m, len(self.entries))))
+        def visit(r, c):
+            cell = np.unique(r.astype(np.int64) * n + c)
+            cell = cell[~seen.ravel()[cell]]
+            r, c = cell // n, cell % n
+            seen[r, c] = True
+            for lo in range(0, len(r), 1 << 16):
+                i, j = r[lo:lo + (1 << 16)], c[lo:lo + (1 << 16)]
+                dist[i, j] = np.maximum(2 - 2 * np.einsum("ij,ij->i", x[i], self.centroids[j]), 0)
+
+        rows = np.arange(m)
+        visit(np.repeat(rows, len(self.entries)), np.tile(self.entries, m))
         beam = min(BEAM, n)
         while True:
+            least = dist.min(axis=1, keepdims=True)
+            todo = dist <= (ratio * np.sqrt(least) + EPSILON) ** 2
             best = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
-            if not visit(self.links[best].reshape(m, -1)):
+            np.put_along_axis(todo, best, True, axis=1)
+            r, c = np.nonzero(todo & seen & ~opened)
+            if not len(r):
                 break
-        width = min(width, n)
-        best = np.argpartition(dist, width - 1, axis=1)[:, :width]
-        d = np.take_along_axis(dist, best, axis=1)
-        order = np.lexsort((best, d), axis=1)
-        return np.take_along_axis(best, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(d, order, axis=1), 0))
+            opened[r, c] = True
+            visit(np.repeat(r, self.links.shape[1]), self.links[c].ravel())
+        d = np.sqrt(dist)
+        r, c = np.nonzero(d <= ratio * d.min(axis=1, keepdims=True) + EPSILON)
+        order = np.lexsort((c, d[r, c], r))
+        return r[order], c[order], d[r, c][order]
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -107,6 +116,33 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _boundary(r: np.ndarray, most: int) -> np.ndarray:
+    """Which of some sorted row numbers are among the first ``most`` of their row."""
+    first = np.flatnonzero(np.diff(r, prepend=-1))
+    return np.arange(len(r)) - np.repeat(first, np.diff(first, append=len(r))) < most
+
+
+def needed_reach(graph: Graph, x: np.ndarray, k: int) -> float:
+    """The ratio at which ``RECALL`` of the k nearest sample vectors of some sample vectors are in a list that is read.
+
+    Neighbours in the sample are farther away than those in the table, so the table's need no more."""
+    rng = np.random.default_rng(7)
+    asked = rng.permutation(len(x))[:ASKED]
+    if len(x) < 2:
+        return 1.0
+    sim = x[asked] @ x.T
+    sim[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-sim, min(k, len(x) - 1) - 1, axis=1)[:, :min(k, len(x) - 1)]
+    from_query = np.sqrt(np.maximum(2 - 2 * (x[asked].astype(np.float32) @ graph.centroids.T), 0))
+    from_query /= from_query.min(axis=1, keepdims=True) + EPSILON
+    r, c, _ = graph.near(x[near.ravel()].astype(np.float32), SPREAD)
+    keep = _boundary(r, REPLICAS)
+    r, c = r[keep], c[keep]
+    need = np.full(near.size, np.inf)
+    np.minimum.at(need, r, from_query[r // near.shape[1], c])
+    return float(np.quantile(need, RECALL))
+
+
 def usable(vec: Column) -> Column:
     """Whether a vector takes part."""
     fine = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -118,19 +154,20 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _lists(vectors: DataFrame, shared, width: int, ratio: float) -> DataFrame:
-    """(vec_id, vec, list): the lists near each vector."""
+def _lists(vectors: DataFrame, shared, ratio: float, most: int | None = None) -> DataFrame:
+    """(vec_id, vec, list): the lists near each vector, all within the ratio or the ``most`` nearest of them."""
 
     def run(batches):
         graph = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                which, d = graph.nearest(unit(_matrix(part.column(1))).astype(np.float32), width)
-                r, c = np.nonzero(d <= ratio * d[:, :1] + 1e-6)
+                r, c, _ = graph.near(unit(_matrix(part.column(1))).astype(np.float32), ratio)
+                if most is not None:
+                    keep = _boundary(r, most)
+                    r, c = r[keep], c[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [*(col.take(pa.array(r)) for col in part.columns), pa.array(which[r, c].astype(np.int32))],
-                    ["vec_id", "vec", "list"])
+                    [*(col.take(pa.array(r)) for col in part.columns), pa.array(c.astype(np.int32))], ["vec_id", "vec", "list"])
 
     return vectors.mapInArrow(run, "vec_id long, vec array<double>, list int")
 
@@ -170,7 +207,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.dot(a, b) / (math.sqrt(np.dot(a, a)) * math.sqrt(np.dot(b, b))))
 
 
-def build(vectors: DataFrame) -> Graph | None:
+def build(vectors: DataFrame, size: int = LIST, neighbours: int = 5) -> Graph | None:
     """Centroid graph of the table (vec_id, vec), fitted on the sample."""
     n = vectors.count()
     if not n:
@@ -181,22 +218,25 @@ def build(vectors: DataFrame) -> Graph | None:
     if not rows:  # a table so small that the draw took none
         rows = [tuple(r) for r in vectors.select("vec_id", "vec").orderBy("vec_id").limit(1).collect()]
     x = unit(np.array([r[1] for r in rows], dtype=np.float64))
-    k = max(1, min(CENTROIDS, round(n / LIST), len(x)))
-    return Graph.build(balanced_centroids(x, k).astype(np.float32))
+    k = max(1, min(CENTROIDS, round(n / size), len(x)))
+    graph = Graph.build(balanced_centroids(x, k).astype(np.float32))
+    graph.reach = needed_reach(graph, x, neighbours)
+    return graph
 
 
-def search(table: DataFrame, queries: Column, k: int = 5, vec: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest other rows found for each row that ``queries`` selects."""
+def search(table: DataFrame, queries: Column, k: int = 5, vec: str = "embedding", size: int = LIST) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest other rows found for each row that ``queries`` selects; lists hold about
+    ``size`` vectors."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec")).where(
         F.col("vec_id").isNotNull() & usable(F.col("vec")))
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
         return empty
-    vectors = rows.where(F.size("vec") == sizes[0].d).dropDuplicates(["vec_id"])
-    graph = build(vectors)
+    vectors = rows.where(F.size("vec") == sizes[0].d).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    graph = build(vectors, size, k)
     shared = table.sparkSession.sparkContext.broadcast(graph)
-    postings = stored(_blocked(_lists(vectors, shared, REPLICAS, SPREAD), BLOCK, "block", "vectors"), "postings")
+    postings = stored(_blocked(_lists(vectors, shared, SPREAD, REPLICAS), BLOCK, "block", "vectors"), "postings")
     asked = vectors.where(queries)
 
     def found(lists: DataFrame) -> DataFrame:
@@ -204,7 +244,7 @@ def search(table: DataFrame, queries: Column, k: int = 5, vec: str = "embedding"
         pairs = pairs.repartition("list", "block", "qblock").select("queries", "vectors")
         return pairs.mapInArrow(lambda b: _top(b, k), "query_id long, vec_id long, score double").distinct()
 
-    first = stored(found(_lists(asked, shared, PROBES, REACH)), "found")
+    first = stored(found(_lists(asked, shared, graph.reach)), "found")
     enough = first.groupBy("query_id").count().where(F.col("count") >= k)
     short = asked.join(enough, asked.vec_id == enough.query_id, "left_anti")
     everywhere = short.select("vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).alias("list"))

@@ -246,3 +246,37 @@ def test_decontam_reports_the_best_place(spark):
     got = {r.doc_id: (r.edits, r.first_word, r.end_word) for r in decontam.leaks(df, bench).collect()}
     assert got == {0: (0, 50, 70), 1: (0, 0, 20), 2: (0, 20, 40), 3: (2, 30, 50), 4: (0, 0, 20), 5: (1, 0, 19)}
     assert {(i, 1): e for i, (e, _, _) in got.items()} == brute.leaks(dict(enumerate(texts)), [(1, item)])
+
+
+@pytest.mark.parametrize("kind", ["no structure", "clusters"])
+def test_neighbours_recall_with_many_lists(spark, kind):
+    """More than 1,000 lists: the distance ratio alone selects those that a query reads."""
+    rng = np.random.default_rng(11)
+    n, dim = 16_000, 32
+    x = rng.normal(size=(n, dim))
+    if kind == "clusters":
+        x = rng.normal(size=(400, dim))[rng.integers(0, 400, n)] + 0.35 * x
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = 320
+    lists = {}
+    real = ann.build
+
+    def watched(*args):
+        lists["graph"] = real(*args)
+        return lists["graph"]
+
+    ann.build, got = watched, None
+    try:
+        got = ann.search(df, F.col("vec_id") % (n // asked) == 0, size=14).toPandas()
+    finally:
+        ann.build = real
+    assert len(lists["graph"].centroids) > 1000
+    u = ann.unit(x)
+    hits = 0
+    for q in range(0, n, n // asked):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    read = np.mean([len(lists["graph"].near(u[q:q + 1].astype(np.float32), lists["graph"].reach)[1]) for q in range(0, n, 500)])
+    print(kind, "recall", hits / (5 * asked), "lists read", read, "of", len(lists["graph"].centroids))
+    assert hits / (5 * asked) >= 0.9
