@@ -48,6 +48,12 @@ def thousands_text(x) -> Column:
     return F.replace(F.format_number(_c(x).cast("long"), 0), F.lit(","), F.lit(" "))
 
 
+def percent_text(x, digits: int = 2) -> Column:
+    """A share as percent text, ``f'{v:.2%}'``: 0.1234 is ``12.34%`` (C20); NULL stays NULL."""
+    share = _c(x).cast("double")
+    return F.when(share.isNotNull(), F.format_string(f"%.{digits}f%%", share * 100))
+
+
 def round_ratio(num, den, digits: int) -> Column:
     """``ROUND(num / den, digits)`` for integer-valued ``num``/``den`` with exact half-away-from-
     zero rounding (decimal semantics, no binary floating-point tie errors); NULL when den = 0.

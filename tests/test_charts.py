@@ -26,3 +26,12 @@ def test_chart_tables(spark):
     assert series.columns == ["dt", "delivered_orders_n", "gmv_rub", "dau"]
     windows, months = charts.repeat_panels(o)
     assert windows.count() == 3 and months.count() > 0
+
+
+def test_percent_text(spark):
+    from retainr.functions.numeric import percent_text
+
+    rows = [(0.1234,), (0.0,), (1.0,), (-0.05,), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    assert [r[0] for r in df.select(percent_text("x")).collect()] == ["12.34%", "0.00%", "100.00%", "-5.00%", None]
+    assert df.select(percent_text("x", 1)).first()[0] == "12.3%"
