@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from retainr.llm import decontam, mixing, neardup, pii, toxicity
 from retainr.llm.shared import importable, stored
 
-SIMILARITY = 80  # percent of shared 5-word shingles from which texts are near duplicates
+SIMILARITY = neardup.PERCENT  # shared 5-word shingles from which texts are near duplicates, in percent: as in operator 8
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
