@@ -120,16 +120,29 @@ def with_tiles(df: DataFrame, values: dict[str, Column], tie: Column, k: int, en
 
 def running_sums(df: DataFrame, key: Column, weights: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
     """Add ``out -> weight`` inclusive running sums of integer columns in ascending order of the (distinct) ``key``,
-    and ``totals``: out -> weight sums over all rows."""
+    and ``totals``: out -> weight sums over all rows.
+
+    Two levels: the largest key and the sums of each range come as one scalar subquery (``RANGES`` entries at most); a row finds its range
+    among these keys, and running sums inside it start from the sums of the ranges before."""
     totals = totals or {}
-    d = with_range(df.withColumns({"__o": F.lit(0), "__key": key}), "__o", "__key", "__c")
     names = sorted({*weights.values(), *totals.values()})
-    per = d.groupBy(col("__c").alias("__d")).agg(*[F.sum(w).alias(f"__s_{w}") for w in names])
-    whole = Window.partitionBy()  # RANGES rows at most
-    per = per.select(
-        "__d", *[(F.sum(f"__s_{w}").over(Window.orderBy("__d")) - col(f"__s_{w}")).alias(f"__b_{w}") for w in names],
-        *[F.sum(f"__s_{w}").over(whole).alias(o) for o, w in totals.items()])
-    inside = Window.partitionBy("__c").orderBy("__key")
-    out = d.join(F.broadcast(per), col("__c") == col("__d"))
-    return out.select(*df.columns, *[(col(f"__b_{w}") + F.sum(w).over(inside)).alias(o) for o, w in weights.items()],
-                      *totals)
+    d = df.withColumns({"__o": F.lit(0), "__key": key})
+    ranges = with_range(d.select("__o", "__key", *names), "__o", "__key", "__c").groupBy("__c").agg(
+        F.max("__key").alias("last"), *[F.sum(w).alias(w) for w in names])
+    so_far = Window.orderBy("__c")  # RANGES rows at most
+    ranges = ranges.select("last", *[(F.sum(w).over(so_far) - col(w)).alias(f"b_{w}") for w in names], *names)
+    facts = ranges.agg(F.sort_array(F.collect_list(F.struct("last", *[f"b_{w}" for w in names]))).alias("r"),
+                       *[F.sum(w).alias(w) for w in names])
+    facts = facts.select(F.struct(  # a field of an array of structs is the array of that field
+        col("r")["last"].alias("lasts"), F.filter("r", lambda x, i: (i + 1) % STEP == 0)["last"].alias("coarse"),
+        *[col("r")[f"b_{w}"].alias(f"b_{w}") for w in names], *names)).scalar()
+
+    def below(ends: Column) -> Column:
+        return F.size(F.filter(ends, lambda e: e < col("__key")))
+
+    d = d.withColumn("__f", facts).withColumn("__at", STEP * below(col("__f.coarse")))
+    d = d.withColumn("__c", col("__at") + below(F.slice("__f.lasts", col("__at") + 1, STEP - 1)))
+    d = d.select(*df.columns, "__key", "__c", *[F.get(f"__f.b_{w}", col("__c")).alias(f"__b_{w}") for w in {*weights.values()}],
+                 *[col(f"__f.{w}").alias(o) for o, w in totals.items()])
+    inside = Window.partitionBy("__c").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select(*df.columns, *[(col(f"__b_{w}") + F.sum(w).over(inside)).alias(o) for o, w in weights.items()], *totals)
