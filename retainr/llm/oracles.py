@@ -135,6 +135,59 @@ FROM kept JOIN codes USING (r)
 """
 
 
+def _pii() -> str:
+    """Matches and the gaps between them give positions; a span is (kind number, kind, start, end, score)."""
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    iban = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum([CASE WHEN (len({digits}) - i) % 2 = 1 THEN (2 * CAST({digits}[i] AS INTEGER)) // 10 + (2 * CAST({digits}[i] AS INTEGER)) % 10 "
+            f"ELSE CAST({digits}[i] AS INTEGER) END FOR i IN range(1, len({digits}) + 1)]) % 10 = 0")
+    turned = "replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4]"
+    # letters become two digits; the remainder is taken digit by digit
+    numbers = (f"array_to_string([CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END FOR c IN "
+               f"string_split({turned}, '')], '')")
+    mod97 = (f"list_reduce([CAST(c AS INTEGER) FOR c IN string_split('0' || {numbers}, '')], lambda a, d: (a * 10 + d) % 97) = 1")
+    kinds = [
+        ("email", email, "TRUE", 0.9, "mail|e-mail|email|contact|write|reach|kontakt|correo|courriel"),
+        ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+         "len([p FOR p IN string_split(m, '.') IF len(ltrim(p, '0')) > 3 OR CAST('0' || ltrim(p, '0') AS HUGEINT) > 255]) = 0", 0.6,
+         "ip|host|server|address|login|adresse|dirección"),
+        ("card", r"[0-9](?:[ -]?[0-9])+", f"CASE WHEN len({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE FALSE END", 0.7,
+         "card|visa|mastercard|credit|payment|karte|carte|tarjeta"),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"len({digits}) BETWEEN 9 AND 15", 0.7,
+         "call|phone|tel|mobile|fax|telefon|téléphone|teléfono"),
+        ("iban", iban, mod97, 0.8, "iban|bank|account|konto|compte|cuenta|bic"),
+    ]
+    parts = []
+    for k, (kind, pattern, confirmed, base, context) in enumerate(kinds):
+        # an account number stands alone: it is looked for with its neighbours, which are not part of it
+        whole = f"(?:^|[^A-Za-z0-9]){pattern}(?:$|[^A-Za-z0-9])" if kind == "iban" else pattern
+        lead = "len(regexp_extract(w, '^[^A-Za-z0-9]'))" if kind == "iban" else "0"
+        inner = f"regexp_extract(w, '{pattern}')" if kind == "iban" else "w"
+        parts.append(f"""
+    SELECT doc_id, {k} AS k, '{kind}' AS kind, s, e, {base} + CASE WHEN regexp_matches(
+        lower(text[greatest(s - 39, 1):s] || ' ' || text[e + 1:e + 40]), '(^|[^\\p{{L}}\\p{{N}}])({context})($|[^\\p{{L}}\\p{{N}}])')
+        THEN 0.1 ELSE 0.0 END AS score
+    FROM (SELECT doc_id, text, m, place + {lead} AS s, place + {lead} + len(m) AS e FROM (
+        SELECT doc_id, text, {inner} AS m, w,
+               COALESCE(list_sum([len(x) FOR x IN gaps[1:i]]), 0) + COALESCE(list_sum([len(x) FOR x IN found[1:i - 1]]), 0) AS place
+        FROM (SELECT doc_id, text, found, gaps, i, found[i] AS w FROM (
+            SELECT doc_id, text, found, gaps, UNNEST(range(1, len(found) + 1)) AS i FROM (
+                SELECT doc_id, text, regexp_extract_all(text, '{whole}') AS found, string_split_regex(text, '{whole}') AS gaps
+                FROM doc)))))
+    WHERE {confirmed}""")
+    counts = ", ".join(f"CAST(COUNT(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in ("email", "ip", "card", "phone", "iban"))
+    text = "kind || ':' || s || ':' || e"
+    return f"""
+WITH doc AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {counts},
+       sha256(COALESCE(STRING_AGG({text}, ',' ORDER BY k, s) FILTER (k < 4), '')) AS base_sha256,
+       COALESCE(STRING_AGG({text}, ',' ORDER BY k, s), '') AS spans, round(MAX(score), 4) AS top_score
+FROM doc LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+"""
+
+
 LEXICAL = r"""
 WITH words AS (
     SELECT doc_id, UNNEST(regexp_extract_all(
@@ -161,6 +214,7 @@ FROM scored WHERE score > 0 QUALIFY rank <= 20
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
+    "op5_pii": _pii(),
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_chat_format": CHAT,
     "op10_mix_sources": MIX,
