@@ -1,4 +1,4 @@
-"""Physical-plan audit of every registered query.
+"""Physical-plan audit of every registered analysis.
 
     python -m retainr.checks.plan_audit [sf_dir]
 
@@ -38,8 +38,9 @@ def audit(plan: str) -> dict:
 
 def main(argv: list[str]) -> int:
     sys.path.insert(0, ".")
-    import __spark_entry__ as E
+    from retainr.plans.registry import QUERIES
     from retainr.session import get_spark
+    from retainr.sources.mapping import canonical_tables
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
     spark = get_spark("local[8]", shuffle_partitions=8)
@@ -47,8 +48,8 @@ def main(argv: list[str]) -> int:
     print("| query | hash exch. | range exch. | broadcast | joins | unbounded single-partition "
           "| nested loop | status filter in scan | Python UDF |")
     print("|---|---|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
-        a = audit(fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    for name, fn in QUERIES.items():
+        a = audit(fn(canonical_tables(spark, sf_dir))._jdf.queryExecution().executedPlan().toString())
         print(f"| {name} | {a['hash_ex']} | {a['range_ex']} | {a['bcast']} | {a['joins']} | "
               f"{a['single']} | {a['nested']} | {'yes' if a['pushed'] else '-'} | "
               f"{'YES' if a['python'] else 'no'} |")
