@@ -130,7 +130,7 @@ class _Penalty:
 
 
 def best_split(g: np.ndarray, h: np.ndarray, n_cuts: np.ndarray, penalty: _Penalty):
-    """(gain, column, cut, missing left) of a node's histograms [column, bin]; None if no split gains.
+    """(gain, column, cut, missing left, (g, h) of the left side) of a node's histograms [column, bin]; None if no split gains.
 
     Ties go to the first column, then the smallest cut, then missing values to the right."""
     total_g, total_h = g[0].sum() / UNIT, h[0].sum() / UNIT
@@ -145,8 +145,9 @@ def best_split(g: np.ndarray, h: np.ndarray, n_cuts: np.ndarray, penalty: _Penal
     at = int(gain.argmax())
     if not gain.size or not gain.flat[at] > MIN_GAIN:
         return None
-    column, cut, left = np.unravel_index(at, gain.shape)
-    return float(gain.flat[at]), int(column), int(cut) + 1, bool(left)
+    column, cut, left = (int(x) for x in np.unravel_index(at, gain.shape))
+    sums = tuple(int(below[column, cut] + (x[column, 0] if left else 0)) for x, below in ((g, below_g), (h, below_h)))
+    return float(gain.flat[at]), column, cut + 1, bool(left), sums
 
 
 class _BoostingParams(HasInputCols, HasLabelCol, HasSeed):
@@ -211,24 +212,26 @@ class HistogramBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Defau
         for t in range(p["maxIter"]):
             tree, columns = Tree.root(p["maxDepth"]), tree_columns(len(names), p["columnRate"], p["seed"], t)
             draw = (p["seed"], t, p["subsamplingRate"])
-            open_nodes = [1]
-            for level in range(p["maxDepth"] + 1):
-                # the last level has no splits: one column tells the sums of its leaves
-                some = columns if level < p["maxDepth"] else columns[:1]
-                g, h = _histograms(state.df, pending, tree, open_nodes, some, draw)
+            open_nodes, sums = [1], {}
+            for _ in range(p["maxDepth"]):
+                g, h = _histograms(state.df, pending, tree, open_nodes, columns, draw)
                 grown = []
                 for i, node in enumerate(open_nodes):
-                    split = best_split(g[i], h[i], n_cuts[some], penalty) if level < p["maxDepth"] else None
+                    total = int(g[i][0].sum()), int(h[i][0].sum())
+                    split = best_split(g[i], h[i], n_cuts[columns], penalty)
                     if split is None:
-                        tree.value[node] = penalty.leaf(g[i][0].sum() / UNIT, h[i][0].sum() / UNIT)
+                        tree.value[node] = penalty.leaf(total[0] / UNIT, total[1] / UNIT)
                         continue
-                    gain, c, cut, left = split
-                    tree.column[node], tree.cut[node], tree.missing_left[node] = int(some[c]), cut, left
-                    tree.threshold[node], tree.gain[node] = float(cuts[some[c]][cut - 1]), gain
+                    gain, c, cut, left, below = split
+                    tree.column[node], tree.cut[node], tree.missing_left[node] = int(columns[c]), cut, left
+                    tree.threshold[node], tree.gain[node] = float(cuts[columns[c]][cut - 1]), gain
                     grown += [2 * node, 2 * node + 1]
+                    sums[2 * node], sums[2 * node + 1] = below, (total[0] - below[0], total[1] - below[1])
                 open_nodes = grown
                 if not open_nodes:
                     break
+            for node in open_nodes:  # the deepest nodes: their sums are known from the splits above them
+                tree.value[node] = penalty.leaf(sums[node][0] / UNIT, sums[node][1] / UNIT)
             trees.append(tree)
             pending.append(tree)
             if len(pending) == REWRITE and t + 1 < p["maxIter"]:

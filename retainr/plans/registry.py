@@ -106,7 +106,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 
 def _model_scores(t: Tables) -> DataFrame:
     # a few shallow trees: training runs a job a level
-    result = churn.train_churn_model(features.eligible(_user_features(t)), maxIter=4, maxDepth=3)
+    result = churn.train_churn_model(features.eligible(_user_features(t)), maxIter=3, maxDepth=3)
     return result.scored_test.select("user_id", churn.TARGET, churn.SCORE)
 
 
