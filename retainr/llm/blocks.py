@@ -29,13 +29,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n (kept between calls, grown by doubling)."""
+    """base**i modulo 2**64 for i < n (kept between calls, grown to powers of two)."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * len(have) if have is not None else 1 << 16)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         p = np.full(size, base, dtype=U64)
         p[0] = 1
-        have = _POWERS[base] = np.cumprod(p, dtype=U64)
+        have = _POWERS[base] = np.cumprod(p, out=p)
     return have[:n]
 
 
@@ -52,7 +52,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[s:e] for each span, independent of where the span stands."""
     prefix = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(base, len(values)), out=prefix[1:])
+    np.multiply(values, powers(base, len(values)), out=prefix[1:])
+    np.cumsum(prefix[1:], out=prefix[1:])
     inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
     return mix64((prefix[ends] - prefix[starts]) * inverse[starts])
 
@@ -80,7 +81,9 @@ class Block:
         return np.repeat(np.arange(len(self)), self.n_words)
 
     def word_hashes(self) -> np.ndarray:
-        return span_hashes(self.data.astype(U64) + U64(1), self.starts, self.ends, BYTE_BASE)
+        values = self.data.astype(U64)
+        values += U64(1)
+        return span_hashes(values, self.starts, self.ends, BYTE_BASE)
 
     def windows(self, k: int) -> np.ndarray:
         """First words of all windows of k words that lie in one text."""
@@ -118,6 +121,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)), off
 
 
+def parts(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of consecutive whole texts of at most ``max_bytes``, as views: what is made of a part
+    (lower case, rows kept) is bounded by it, not by the batch."""
+    off = np.zeros(len(column) + 1, dtype=np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), out=off[1:])
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + max_bytes, side="right")) - 1)
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of consecutive whole texts of a string column."""
     if not len(column):

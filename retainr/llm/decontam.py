@@ -39,13 +39,13 @@ _CLEAN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 def clean_blocks(column) -> Iterator[B.Block]:
     """Blocks of normalised texts."""
-    column = pc.utf8_lower(column.cast(pa.large_string()))
-    data, off = B.utf8(column)
-    data = _CLEAN[data]
-    size = int(off[-1] - off[0])
-    buffers = [None, pa.py_buffer(np.ascontiguousarray(off - off[0])),
-               pa.py_buffer(data[off[0]:off[0] + size])]
-    yield from B.blocks(pa.LargeStringArray.from_buffers(len(off) - 1, buffers[1], buffers[2]))
+    for first, part in B.parts(column):
+        data, off = B.utf8(pc.utf8_lower(part.cast(pa.large_string())))
+        data = _CLEAN[data[off[0]:off[-1]]]
+        buffers = [pa.py_buffer(np.ascontiguousarray(off - off[0])), pa.py_buffer(data)]
+        for block in B.blocks(pa.LargeStringArray.from_buffers(len(off) - 1, *buffers)):
+            block.first += first
+            yield block
 
 
 def myers(masks: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
@@ -174,19 +174,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     return out
 
 
+def _clean_rows(batches, index: Index, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows in which no item is found, in batches of bounded size; the text is column ``at``."""
+    for batch in batches:
+        for first, part in B.parts(batch.column(at)):
+            keep = np.ones(len(part), dtype=bool)
+            for block in clean_blocks(part):
+                for r, *_ in index.find(block):
+                    keep[block.first + r] = False
+            yield batch.slice(first, len(part)).filter(pa.array(keep))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item is found."""
     at = docs.columns.index(text)
     for index in _item_blocks(benchmark, "text"):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for block in clean_blocks(batch.column(at)):
-                    for r, *_ in shared.value.find(block):
-                        keep[block.first + r] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lambda b, shared=shared: _clean_rows(b, shared.value, at), docs.schema)
     return docs

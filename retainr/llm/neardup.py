@@ -118,11 +118,11 @@ def _describe(batches, k, rows, bands):
 
 def _sets(batches, k):
     for batch in batches:
-        packed = []
         for block in B.blocks(batch.column(1)):
             sets, bounds = shingle_sets(block, k)
-            packed += [sets[bounds[i]:bounds[i + 1]].tobytes() for i in range(len(block))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+            packed = [sets[bounds[i]:bounds[i + 1]].tobytes() for i in range(len(block))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)),
+                                              pa.array(packed, pa.binary())], ["node", "shingles"])
 
 
 def _similar(batches, percent):

@@ -286,7 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
 
 def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text", out: str = "toxicity") -> DataFrame:
     """The columns ``keep`` with ``out``, the score (0 to 1)."""
-    at = len(keep)
+    # the text goes to the workers once, also when it is kept
+    at = keep.index(text) if text in keep else len(keep)
+    n = len(keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{out}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -295,7 +297,8 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text: str = "te
         for batch in batches:
             p = np.zeros(batch.num_rows) if m is None else 1 / (1 + np.exp(-np.clip(
                 features(batch.column(at), m) @ m.weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(p)], [*keep, out])
+            done = pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(p)], [*keep, out])
+            for first, part in B.parts(batch.column(at)):
+                yield done.slice(first, len(part))
 
-    # the text comes last, also when it is kept
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
