@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, max_bytes: int) -> Iterator[None]:
+    """Jobs run inside send their workers batches of about ``max_bytes`` (a larger row is a batch of its own): by default
+    a batch is 10,000 rows, so what a task holds grows with the length of the rows.  The session's own limit goes first."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(max_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Put the folder that holds this package on the Python path of the workers, for sessions that
     were started elsewhere without ``--py-files``."""

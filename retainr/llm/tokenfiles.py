@@ -18,6 +18,8 @@ file holds about ``SHARD_BYTES``.
 Where the tokenizer file says that nothing crosses white space (``splits_at_spaces``), the tokenizer encodes each
 distinct word once (``Encoder``) and the ids are put together; otherwise it encodes text by text.
 
+Workers get batches of about ``BATCH_BYTES`` and make arrays for blocks of texts or ids, so a task holds no more where texts are longer.
+
 Documents are dealt by ranges of (doc_id, hash of the ids, row number), so that an id, or no id, that a third of all rows share is cut
 like any other range.
 
@@ -40,14 +42,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retainr.llm.blocks import blocks
-from retainr.llm.shared import shared_dir, stored
+from retainr.llm.blocks import Block, blocks, parts
+from retainr.llm.shared import arrow_batches, shared_dir, stored
 
 END_ID = 1
 MAGIC = 0x314B4F54
 SHARD_BYTES = 8 << 20
 BLOCK_IDS = 1 << 16
-TEXT_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
+TEXT_BYTES = 2 * BATCH_BYTES  # a batch is over its limit by a row
 CACHE = 1 << 19
 CHUNK = 2000
 SHARDS_A_GROUP = 1024
@@ -225,26 +228,36 @@ class Encoder:
             for lo in range(0, len(column), 64):
                 yield lo, *_ragged(self._encode([t or "" for t in column[lo:lo + 64].to_pylist()]))
             return
-        for b in blocks(column, TEXT_BYTES):
-            starts, ends, simple, word = _cut(b.data, b.starts, b.ends)
-            letters = _LOWER[b.data]
-            odd = np.flatnonzero(~simple)  # lower-cased by the tokenizer alone, which looks for special tokens first
-            at, _ = _gather(np.arange(len(b.data)), np.stack([starts[odd], ends[odd]], axis=1).ravel(), 2 * np.arange(len(odd)))
-            letters[at] = b.data[at]
-            letters = letters[_NO_SPACE[b.data]]
-            to = np.zeros(len(starts) + 1, dtype=np.int64)
-            np.cumsum(ends - starts, out=to[1:])
-            pieces = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(letters))])
-            distinct = pieces.dictionary_encode()
-            which = np.asarray(distinct.indices)
-            kinds = np.zeros(len(distinct.dictionary), dtype=bool)
-            kinds[which] = simple
-            places = self._places(distinct.dictionary, kinds)
-            ids, n = _gather(self.pool, self.offsets, places[which])
-            so_far = np.zeros(len(n) + 1, dtype=np.int64)
-            np.cumsum(n, out=so_far[1:])
-            yield b.first, ids, so_far[np.searchsorted(word, b.words)]
+        for at, texts in parts(column, TEXT_BYTES):
+            cut = [(b.first, *_pieces(b)) for b in blocks(texts)]
+            distinct = pa.concat_arrays([pieces for _, pieces, _, _ in cut]).dictionary_encode()
+            cut = [(first, simple, to) for first, _, simple, to in cut]
+            which, words = np.asarray(distinct.indices), distinct.dictionary
+            kinds = np.zeros(len(words), dtype=bool)
+            kinds[which] = np.concatenate([simple for _, simple, _ in cut])
+            places = self._places(words, kinds)
+            done = 0
+            for first, simple, to in cut:
+                ids, n = _gather(self.pool, self.offsets, places[which[done:done + len(simple)]])
+                done += len(simple)
+                so_far = np.zeros(len(n) + 1, dtype=np.int64)
+                np.cumsum(n, out=so_far[1:])
+                yield at + first, ids, so_far[to]
+
+
+def _pieces(b: Block) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """Pieces of a block's words, whether each is simple, and the bounds of the texts among them."""
+    starts, ends, simple, word = _cut(b.data, b.starts, b.ends)
+    letters = _LOWER[b.data]
+    odd = np.flatnonzero(~simple)  # lower-cased by the tokenizer alone, which looks for special tokens first
+    at, _ = _gather(np.arange(len(b.data)), np.stack([starts[odd], ends[odd]], axis=1).ravel(), 2 * np.arange(len(odd)))
+    letters[at] = b.data[at]
+    letters = letters[_NO_SPACE[b.data]]
+    to = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=to[1:])
+    pieces = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(letters))])
+    return pieces, simple, np.searchsorted(word, b.words)
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -311,7 +324,9 @@ def _flat(column: pa.Array, width: int) -> np.ndarray:
 def _frequencies(batches, width: int, size: int):
     n = np.zeros(size, dtype=np.int64)
     for batch in batches:
-        n += np.bincount(_flat(batch.column(0), width), minlength=size)
+        flat = _flat(batch.column(0), width)
+        for lo in range(0, len(flat), BLOCK_IDS):  # counting makes 8 bytes of each id
+            n += np.bincount(flat[lo:lo + BLOCK_IDS], minlength=size)
     used = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
 
@@ -323,10 +338,10 @@ def _packed(batches, rank_of, width: int):
 
     def block():
         return pa.RecordBatch.from_arrays(
-            [pa.array([write_block(ids, np.array(lengths), np.concatenate(held))], pa.binary())], ["block"])
+            [pa.array([write_block(ids, np.array(lengths), ranks[np.concatenate(held)])], pa.binary())], ["block"])
 
     for batch in batches:
-        flat = ranks[_flat(batch.column(1), width)]
+        flat = _flat(batch.column(1), width)
         at = 0
         for doc, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if ids and n + size > BLOCK_IDS:
@@ -393,7 +408,9 @@ class TokenFiles:
                 [pa.array(docs, pa.int64()), pa.array([shard] * len(docs), pa.int64()), pa.array(before + to[:-1]),
                  pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "shard", "at", "n_tokens", "ids_crc32"])
 
-        found = stored(self._map(each, "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"), "token-digests")
+        with arrow_batches(self.spark, BATCH_BYTES):
+            found = stored(
+                self._map(each, "doc_id long, shard long, at long, n_tokens long, ids_crc32 long"), "token-digests")
         # ids before each file: files are summed in groups first, so the one window without a key holds one row for 1,024 files
         group = F.floor(F.col("shard") / SHARDS_A_GROUP)
         files = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", group)
@@ -409,6 +426,11 @@ class TokenFiles:
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, path: str | None = None,
           shard_bytes: int = SHARD_BYTES) -> TokenFiles:
     """Encode the texts of (doc_id, text) and write them to ``path`` (default: a new folder in the shared one)."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _write(docs, tokenizer_path, end_id, path, shard_bytes)
+
+
+def _write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None, shard_bytes: int) -> TokenFiles:
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/retainr-llm/token-files-{uuid.uuid4().hex}"
     with open(tokenizer_path, encoding="utf-8") as f:

@@ -7,11 +7,14 @@ import numpy as np
 import pyarrow as pa
 
 from retainr.llm import blocks as B
-from retainr.llm import decontam, neardup, toxicity
+from retainr.llm import decontam, neardup, tokenfiles, toxicity
+from retainr.llm.shared import arrow_batches
+from tests.llm.test_codes_tokens_search import WORDS
 
 ITEM = " ".join(f"item{i}" for i in range(20))
 N = 6000
 SLACK = 1 << 21  # of a batch that a worker hands out
+_POOLS = []  # an encoder's pieces outlive the run that made them
 
 
 def _texts():
@@ -92,3 +95,61 @@ def test_toxicity_sends_the_text_once(spark, monkeypatch):
         got = toxicity.score(docs, model, keep, out="s").orderBy("doc_id").collect()
         assert [(r.doc_id, r.text, r.s) for r in got] == [(r.doc_id, d.text, r.s) for r, d in zip(alone, docs.collect(), strict=True)]
         assert sent.pop() == keep
+
+
+def _held(batches):
+    """Largest bytes held at once beyond the batch, by Arrow and numpy; what is handed out is let go."""
+    default = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(default)
+    _POOLS.append(pool)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        for _ in batches:
+            pass
+        return pool.max_memory() + tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(default)
+
+
+def test_token_files_hold_a_block(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "_ENCODERS", {})  # goes with the test, before the pools
+    texts = _texts()
+    texts = pa.RecordBatch.from_arrays([pa.array(range(N)), pa.array(texts)], ["doc_id", "text"])
+    with open(WORDS, encoding="utf-8") as f:
+        tokenizer = SimpleNamespace(value=f.read())
+    runs = []
+    tokenfiles._tokenized(SimpleNamespace(mapInArrow=lambda run, _: runs.append(run)), tokenizer, 1, 2)
+    out = pa.Table.from_batches(list(runs[0](iter([texts])))).combine_chunks()  # pieces of words are kept from here on
+    assert out["doc_id"].to_pylist() == list(range(N))
+    assert _held(runs[0](iter([texts]))) < 100 * B.BLOCK_BYTES
+    ids, = out.select(["doc_id", "ids", "n"]).to_batches()
+    assert ids.nbytes > 6 << 20
+    assert _held(tokenfiles._frequencies(iter([ids.select(["ids"])]), 2, 1 << 16)) < 3 * B.BLOCK_BYTES
+    ranks = SimpleNamespace(value=np.arange(1 << 16, dtype=np.uint32)[::-1].copy())
+    assert _held(tokenfiles._packed(iter([ids]), ranks, 2)) < 8 * B.BLOCK_BYTES
+
+
+def test_token_files_ask_for_batches_by_bytes(spark, monkeypatch, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    with arrow_batches(spark, 1 << 20):
+        assert max(r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()) < 3 << 19
+        with arrow_batches(spark, 1):
+            assert spark.conf.get(key) == str(1 << 20)  # the limit that is set already
+    assert spark.conf.get(key, None) is None
+
+    limits = []
+    run = type(docs).mapInArrow
+    monkeypatch.setattr(
+        type(docs), "mapInArrow", lambda self, *a, **k: limits.append(spark.conf.get(key, None)) or run(self, *a, **k))
+    got = tokenfiles.write(docs, WORDS, path=str(tmp_path / "files")).digests()
+    assert limits == [str(tokenfiles.BATCH_BYTES)] * 4
+    assert spark.conf.get(key, None) is None
+    assert got.count() == 3000 and got.agg({"start": "max", "n_tokens": "min"}).first()[:] == (2999 * 1001, 1001)
