@@ -64,6 +64,18 @@ def test_one_list_over_several_cells_is_exact(spark):
     assert by == {q: _nearest(ids, x, q) for q in range(0, 2500, 100)}
 
 
+def test_recall_beyond_the_sample(spark, monkeypatch):
+    """The table is larger than the sample: vectors that had no part in the centroids fit how far a query reads."""
+    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    monkeypatch.setattr(ann, "ASKED", 300)
+    ids, x = np.arange(6000), _vectors(6000, 24)
+    got = ann.search(_frame(spark, ids, x), F.col("vec_id") % 40 == 0, size=30).collect()
+    hits = 0
+    for q in range(0, 6000, 40):
+        hits += len({i for i, _ in _nearest(ids, x, q)} & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 750 and hits / 750 >= 0.97
+
+
 def test_repeated_ids_keep_the_smallest_vector(spark, monkeypatch):
     df = _frame(spark, [1, 2, 2, 3, 3, 3], np.array([[1, 1], [5, 0], [2, 7], [4, 4], [4, 3], [4, 3]], dtype=np.float32))
     want = [(1, [1.0, 1.0]), (2, [2.0, 7.0]), (3, [4.0, 3.0])]
